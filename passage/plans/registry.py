@@ -222,3 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# the other query groups register themselves on import
+from passage.plans import registry_reports  # noqa: E402,F401
