@@ -227,3 +227,4 @@ def oracle_sql() -> dict[str, str]:
 # the other query groups register themselves on import
 from passage.plans import registry_reports  # noqa: E402,F401
 from passage.plans import registry_models  # noqa: E402,F401
+from passage.plans import registry_streams  # noqa: E402,F401
