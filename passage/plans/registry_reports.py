@@ -173,7 +173,7 @@ def _hist_sql(src: str, value: str, bins: int, by: list[str]) -> str:
 , rng0 AS (SELECT {g + ',' if by else ''} min({value}) AS mn, max({value}) AS mx FROM {src}
            WHERE {value} IS NOT NULL {'GROUP BY ' + g if by else ''}),
 rng AS (SELECT *, CASE WHEN mx > mn THEN mn ELSE mn - 0.5 END AS lo, CASE WHEN mx > mn THEN mx ELSE mx + 0.5 END AS hi
-        FROM rng0),
+        FROM rng0 WHERE mn IS NOT NULL),
 cnt AS (SELECT {sel_by} CAST(least(floor((t.{value} - r.lo) / (r.hi - r.lo) * {bins}), {bins - 1}) AS INTEGER) AS bin,
                count(*) AS c
         FROM {src} t JOIN rng r ON {on} WHERE t.{value} IS NOT NULL GROUP BY ALL),

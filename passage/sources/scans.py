@@ -28,6 +28,10 @@ def _reader(spark: SparkSession, glob: str | None):
     return r.option("pathGlobFilter", glob) if glob else r
 
 
+def _usable():
+    return F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull()
+
+
 def read_scans_raw(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB) -> DataFrame:
     """All lines, corrupt ones included (``_corrupt_record`` not NULL)."""
     ensure_utc(spark)
@@ -53,19 +57,21 @@ def read_scans(spark: SparkSession, path: str, start=None, end=None, site_id: st
                glob: str | None = SCAN_GLOB) -> DataFrame:
     """Scan records (corrupt lines dropped), optionally within ``[start, end]``.
 
+    A usable record parsed cleanly and has a timestamp (the predicate also
+    keeps Spark from planning a read of the corrupt column alone).
     ``site_id`` fills the site of single-site logs that do not carry one."""
     df = read_scans_raw(spark, path, glob)
-    df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    df = df.where(_usable()).drop("_corrupt_record")
     if site_id is not None:
         df = df.withColumn("site_id", F.coalesce("site_id", F.lit(site_id)))
     return date_range(df, start, end)
 
 
 def corrupt_lines(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB) -> DataFrame:
-    """Malformed lines with their file, for reporting (``scan_id`` is kept
-    because Spark refuses plans that read only the corrupt-record column)."""
+    """Lines ``read_scans`` drops (malformed, or without a timestamp), with
+    their file, for reporting."""
     df = read_scans_raw(spark, path, glob).withColumn("file", F.input_file_name())
-    return df.where(F.col("_corrupt_record").isNotNull()).select("file", "scan_id", "_corrupt_record")
+    return df.where(~_usable()).select("file", "scan_id", "_corrupt_record")
 
 
 def stream_scans(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB,
@@ -79,7 +85,7 @@ def stream_scans(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB,
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return r.json(path).where(_usable()).drop("_corrupt_record")
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
