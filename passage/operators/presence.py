@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from passage.config import Config
 from passage.functions.timecols import seconds_between
 from passage.operators import DEFAULT_KEYS
+from passage.operators.clean import dedupe_strongest
 
 BREAK_RULES = ("scan", "tick", "gap")
 
@@ -58,16 +59,25 @@ def previous_scans(scans: DataFrame, cfg: Config, keys=DEFAULT_KEYS) -> DataFram
 
 
 def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",
-                   scans: DataFrame | None = None) -> DataFrame:
+                   scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
     """Adds ``session_start`` (= first_seen of the sighting's session),
-    ``dwell_s`` and ``is_transient`` to clean, de-duplicated detections."""
+    ``dwell_s`` and ``is_transient`` to clean detections.
+
+    ``dedupe=True`` also applies the strongest-signal de-duplication; it
+    then shares the ``(keys, mac_hash, bucket)`` exchange with the session
+    windows (the bucket is a function of the scan time), so detections are
+    shuffled once for both."""
     if break_rule not in BREAK_RULES:
         raise ValueError(f"break_rule must be one of {BREAK_RULES}")
     keys = list(keys)
     dev = [*keys, "mac_hash"]
     timeout = float(cfg.device_timeout)
 
-    d = det.withColumn("_b", _bucket("timestamp", cfg.presence_bucket_seconds))
+    # detections without site / device / time cannot be attributed
+    d = (det.where(F.col("timestamp").isNotNull() & F.col("mac_hash").isNotNull())
+            .withColumn("_b", _bucket("timestamp", cfg.presence_bucket_seconds)))
+    for k in keys:
+        d = d.where(F.col(k).isNotNull())
     if break_rule == "scan":
         src = scans if scans is not None else det
         d = d.join(previous_scans(src, cfg, keys), [*keys, "timestamp"], "left")
@@ -76,13 +86,15 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         ref = F.timestamp_micros(F.unix_micros("timestamp") - F.lit(int(cfg.scan_interval * 1_000_000)))
     else:
         ref = F.col("timestamp")
-    d = d.withColumn("_ref", ref)
+    d = d.withColumn("_ref", ref).repartition(*dev, "_b")
+    if dedupe:
+        d = dedupe_strongest(d, [*keys, "_b"])
 
     # level 1: inside one (device, bucket)
     wb = Window.partitionBy(*dev, "_b").orderBy("timestamp", "scan_id")
-    d = d.withColumn("_prev_seen", F.lag("timestamp").over(wb))
-    d = d.withColumn("_brk", F.col("_prev_seen").isNotNull()
-                     & (seconds_between("_ref", "_prev_seen") > F.lit(timeout)))
+    prev_seen = F.lag("timestamp").over(wb)
+    d = d.withColumn("_brk", prev_seen.isNotNull()
+                     & (seconds_between("_ref", prev_seen) > F.lit(timeout)))
     d = d.withColumn("_run_start", F.max(F.when(F.col("_brk"), F.col("timestamp"))).over(
         wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
@@ -94,35 +106,36 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         F.max(F.when(F.col("_brk"), F.col("timestamp"))).alias("_last_brk"))
     wd = Window.partitionBy(*dev).orderBy("_b")
     prev_last = F.lag("_last").over(wd)
-    summ = summ.withColumn("_head_brk", prev_last.isNull()
-                           | (seconds_between("_first_ref", prev_last) > F.lit(timeout)))
-    summ = summ.withColumn("_end_start", F.coalesce(
-        F.col("_last_brk"), F.when(F.col("_head_brk"), F.col("_first"))))
-    summ = summ.withColumn("_carry", F.last("_end_start", ignorenulls=True).over(
-        wd.rowsBetween(Window.unboundedPreceding, -1)))
-    summ = summ.select(*dev, "_b", F.when(F.col("_head_brk"), F.col("_first"))
-                       .otherwise(F.col("_carry")).alias("_head_start"))
-
-    out = (d.join(summ, [*dev, "_b"], "left")
-            .withColumn("session_start", F.coalesce("_run_start", "_head_start")))
-    out = out.withColumn("dwell_s", seconds_between("timestamp", "session_start"))
-    out = out.withColumn("is_transient", F.col("dwell_s") <= F.lit(float(cfg.stationary_threshold)))
-    return out.drop("_b", "_ref", "_prev_seen", "_brk", "_run_start", "_head_start", "prev_scan")
+    head_brk = prev_last.isNull() | (seconds_between("_first_ref", prev_last) > F.lit(timeout))
+    summ = summ.select("*", head_brk.alias("_head_brk"))
+    summ = summ.select("*", F.coalesce(F.col("_last_brk"), F.when(F.col("_head_brk"), F.col("_first")))
+                       .alias("_end_start"))
+    carry = F.last("_end_start", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, -1))
+    summ = summ.select(*dev, "_b", F.when(F.col("_head_brk"), F.col("_first")).otherwise(carry)
+                       .alias("_head_start"))
+
+    # every (device, bucket) of d has its summary row: the inner join is exact
+    out = d.join(summ, [*dev, "_b"], "inner")
+    start = F.coalesce("_run_start", "_head_start")
+    dwell = seconds_between("timestamp", start)
+    keep = [c for c in det.columns if c not in ("_b", "prev_scan")]
+    return out.select(*keep, start.alias("session_start"), dwell.alias("dwell_s"),
+                      (dwell <= F.lit(float(cfg.stationary_threshold))).alias("is_transient"))
 
 
 def transient_only(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",
-                   scans: DataFrame | None = None) -> DataFrame:
+                   scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
     """Sightings of devices passing by (stationary ones removed)."""
-    return (session_starts(det, cfg, keys, break_rule, scans)
-            .where(F.col("is_transient")).drop("session_start", "dwell_s", "is_transient"))
+    s = session_starts(det, cfg, keys, break_rule, scans, dedupe)
+    return s.where(F.col("is_transient")).drop("session_start", "dwell_s", "is_transient")
 
 
 def sessions(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",
-             scans: DataFrame | None = None) -> DataFrame:
+             scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
     """One row per presence session: first/last seen, dwell, sightings,
     stationary flag (dwell beyond the threshold)."""
     keys = list(keys)
-    s = session_starts(det, cfg, keys, break_rule, scans)
+    s = session_starts(det, cfg, keys, break_rule, scans, dedupe)
     return (s.groupBy(*keys, "mac_hash", F.col("session_start").alias("first_seen"))
              .agg(F.max("timestamp").alias("last_seen"), F.count(F.lit(1)).alias("sightings"),
                   F.sum(F.col("is_transient").cast("long")).alias("transient_sightings"))
@@ -131,10 +144,10 @@ def sessions(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "
 
 
 def scan_presence_counts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",
-                         scans: DataFrame | None = None) -> DataFrame:
+                         scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
     """Per scan: devices seen and devices kept as transient."""
     keys = list(keys)
-    s = session_starts(det, cfg, keys, break_rule, scans)
+    s = session_starts(det, cfg, keys, break_rule, scans, dedupe)
     return (s.groupBy(*keys, "scan_id", "timestamp")
              .agg(F.count(F.lit(1)).alias("total_devices"),
                   F.count_if(F.col("is_transient")).alias("transient_devices")))

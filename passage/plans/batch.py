@@ -22,9 +22,10 @@ def clean_detections(spark: SparkSession, sf_dir: str, cfg: Config) -> DataFrame
 def transient_detections(spark: SparkSession, sf_dir: str, cfg: Config,
                          break_rule: str = "scan") -> DataFrame:
     raw = raw_detections(spark, sf_dir)
-    det = clean.clean_detections(raw, cfg)
-    # every logged scan of a site counts as a scan instant, weak or not
-    return presence.transient_only(det, cfg, DEFAULT_KEYS, break_rule, scans=raw)
+    det = clean.rssi_filter(clean.fill_defaults(raw), cfg)
+    # every logged scan of a site counts as a scan instant, weak or not;
+    # de-duplication shares the presence exchange
+    return presence.transient_only(det, cfg, DEFAULT_KEYS, break_rule, scans=raw, dedupe=True)
 
 
 def process_detections(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, keep_empty: bool = False,

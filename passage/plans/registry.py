@@ -92,8 +92,8 @@ SELECT site_id, mac_hash, session_start AS first_seen, max(timestamp) AS last_se
 FROM fs GROUP BY site_id, mac_hash, session_start""")
 def q_sessions(spark, sf_dir):
     raw = batch.raw_detections(spark, sf_dir)
-    det = clean.clean_detections(raw, CFG4)
-    return present(presence.sessions(det, CFG4, scans=raw))
+    det = clean.rssi_filter(clean.fill_defaults(raw), CFG4)
+    return present(presence.sessions(det, CFG4, scans=raw, dedupe=True))
 
 
 @register("scan_presence_counts", _with(sq.base_ctes(CFG4)) + f"""
@@ -102,8 +102,8 @@ SELECT site_id, scan_id, timestamp, count(*) AS total_devices,
 FROM fs GROUP BY site_id, scan_id, timestamp""")
 def q_scan_presence(spark, sf_dir):
     raw = batch.raw_detections(spark, sf_dir)
-    det = clean.clean_detections(raw, CFG4)
-    return present(presence.scan_presence_counts(det, CFG4, scans=raw))
+    det = clean.rssi_filter(clean.fill_defaults(raw), CFG4)
+    return present(presence.scan_presence_counts(det, CFG4, scans=raw, dedupe=True))
 
 
 # ------------------------------------------------------------- aggregation --
