@@ -159,7 +159,8 @@ def validation_flags(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, how: str
 
 
 def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str = TARGET,
-                   feature_cols=None, val_how: str = "chronological") -> Forecaster:
+                   feature_cols=None, val_how: str = "chronological",
+                   rows_per_partition: int = 200_000) -> Forecaster:
     """Gradient-boosted trees with patience-based early stopping: fit
     ``n_estimators`` trees on the fit part, score every prefix on the
     validation part (``evaluateEachIteration``), stop at the first run of
@@ -180,6 +181,15 @@ def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str
                             featureSubsetStrategy=str(cfg.colsample), seed=cfg.seed)
 
     fit_part = d.where(~F.col("is_val")).cache()
+    # size-aware partitioning of the cached training rows: boosting runs
+    # several jobs per tree, so tiny inputs should not fan out to many tasks
+    n_rows = fit_part.count()
+    parts = max(1, min(fit_part.rdd.getNumPartitions(), -(-n_rows // rows_per_partition)))
+    if parts < fit_part.rdd.getNumPartitions():
+        small = fit_part.coalesce(parts).cache()
+        small.count()
+        fit_part.unpersist()
+        fit_part = small
     val_part = d.where(F.col("is_val"))
     best_n = cfg.n_estimators
     model = gbt(cfg.n_estimators).fit(fit_part)

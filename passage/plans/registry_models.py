@@ -9,7 +9,7 @@ from passage.functions.present import present
 from passage.operators import features, forecast, patterns, snapshot
 from passage.operators.features import cyclic_features
 from passage.plans import sqltwins as sq
-from passage.plans.registry import CFG1, CFG4, _with, register
+from passage.plans.catalog import CFG1, CFG4, _with, register
 from passage.plans.registry_reports import TIERS_SQL, ml1, target1, tiers4
 
 Z = [f"{c}_z" for c in patterns.PATTERN_FEATURES]

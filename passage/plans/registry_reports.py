@@ -9,7 +9,7 @@ from passage.functions.present import present
 from passage.operators import declared, features, forecast, patterns, reports
 from passage.plans import batch
 from passage.plans import sqltwins as sq
-from passage.plans.registry import CFG1, CFG4, _with, register
+from passage.plans.catalog import CFG1, CFG4, _with, register
 
 W = sq.WINDOW_DOUBLES
 ML_DOUBLES = [*W, *sq.feature_doubles(CFG1)]
