@@ -46,11 +46,11 @@ def union_protocols(classic: DataFrame, ble: DataFrame) -> DataFrame:
 def fill_defaults(det: DataFrame) -> DataFrame:
     """Missing protocol → 'unknown'; missing RSSI stays NULL."""
     cols = det.columns
-    if "protocol" not in cols:
-        det = det.withColumn("protocol", F.lit(None).cast("string"))
+    out = [F.col(c) for c in cols if c != "protocol"]
     if "rssi" not in cols:
-        det = det.withColumn("rssi", F.lit(None).cast("int"))
-    return det.withColumn("protocol", F.coalesce(F.col("protocol"), F.lit("unknown")))
+        out.append(F.lit(None).cast("int").alias("rssi"))
+    proto = F.col("protocol") if "protocol" in cols else F.lit(None).cast("string")
+    return det.select(*out, F.coalesce(proto, F.lit("unknown")).alias("protocol"))
 
 
 def dedupe_strongest(det: DataFrame, keys=DEFAULT_KEYS, order_col: str = "arrival") -> DataFrame:
@@ -67,8 +67,8 @@ def dedupe_strongest(det: DataFrame, keys=DEFAULT_KEYS, order_col: str = "arriva
     else:
         order.append(F.when(F.col("protocol") == "classic", 0).otherwise(1))
     w = Window.partitionBy(*part).orderBy(*order)
-    return (det.withColumn("_rank", F.row_number().over(w))
-               .where(F.col("_rank") == 1).drop("_rank"))
+    cols = det.columns
+    return det.select("*", F.row_number().over(w).alias("_rank")).where(F.col("_rank") == 1).select(*cols)
 
 
 def clean_detections(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS) -> DataFrame:

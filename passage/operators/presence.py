@@ -46,14 +46,14 @@ def _bucket(ts: str, seconds: int):
 def previous_scans(scans: DataFrame, cfg: Config, keys=DEFAULT_KEYS) -> DataFrame:
     """``(keys, timestamp, prev_scan)`` for every scan instant of a site."""
     keys = list(keys)
-    sc = (scans.select(*keys, "timestamp").where(F.col("timestamp").isNotNull())
-               .withColumn("_b", _bucket("timestamp", cfg.presence_bucket_seconds))
+    sc = (scans.where(F.col("timestamp").isNotNull())
+               .select(*keys, "timestamp", _bucket("timestamp", cfg.presence_bucket_seconds).alias("_b"))
                .distinct())
     w = Window.partitionBy(*keys, "_b").orderBy("timestamp")
-    sc = sc.withColumn("_prev", F.lag("timestamp").over(w))
+    sc = sc.select("*", F.lag("timestamp").over(w).alias("_prev"))
     last = sc.groupBy(*keys, "_b").agg(F.max("timestamp").alias("_last"))
-    last = last.withColumn("_prev_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
-    return (sc.join(last.select(*keys, "_b", "_prev_last"), [*keys, "_b"], "left")
+    last = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_prev_last"))
+    return (sc.join(last, [*keys, "_b"], "left")
               .select(*keys, "timestamp",
                       F.coalesce("_prev", "_prev_last").alias("prev_scan")))
 
@@ -74,10 +74,10 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
     timeout = float(cfg.device_timeout)
 
     # detections without site / device / time cannot be attributed
-    d = (det.where(F.col("timestamp").isNotNull() & F.col("mac_hash").isNotNull())
-            .withColumn("_b", _bucket("timestamp", cfg.presence_bucket_seconds)))
+    known = F.col("timestamp").isNotNull() & F.col("mac_hash").isNotNull()
     for k in keys:
-        d = d.where(F.col(k).isNotNull())
+        known = known & F.col(k).isNotNull()
+    d = det.where(known).select("*", _bucket("timestamp", cfg.presence_bucket_seconds).alias("_b"))
     if break_rule == "scan":
         src = scans if scans is not None else det
         d = d.join(previous_scans(src, cfg, keys), [*keys, "timestamp"], "left")
@@ -86,17 +86,17 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         ref = F.timestamp_micros(F.unix_micros("timestamp") - F.lit(int(cfg.scan_interval * 1_000_000)))
     else:
         ref = F.col("timestamp")
-    d = d.withColumn("_ref", ref).repartition(*dev, "_b")
+    d = d.select("*", ref.alias("_ref")).repartition(*dev, "_b")
     if dedupe:
         d = dedupe_strongest(d, [*keys, "_b"])
 
     # level 1: inside one (device, bucket)
     wb = Window.partitionBy(*dev, "_b").orderBy("timestamp", "scan_id")
     prev_seen = F.lag("timestamp").over(wb)
-    d = d.withColumn("_brk", prev_seen.isNotNull()
-                     & (seconds_between("_ref", prev_seen) > F.lit(timeout)))
-    d = d.withColumn("_run_start", F.max(F.when(F.col("_brk"), F.col("timestamp"))).over(
-        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.select("*", (prev_seen.isNotNull() & (seconds_between("_ref", prev_seen) > F.lit(timeout)))
+                 .alias("_brk"))
+    d = d.select("*", F.max(F.when(F.col("_brk"), F.col("timestamp"))).over(
+        wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run_start"))
 
     # level 2: one row per (device, bucket), scanned per device
     summ = d.groupBy(*dev, "_b").agg(
@@ -109,7 +109,7 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
     head_brk = prev_last.isNull() | (seconds_between("_first_ref", prev_last) > F.lit(timeout))
     summ = summ.select("*", head_brk.alias("_head_brk"))
     summ = summ.select("*", F.coalesce(F.col("_last_brk"), F.when(F.col("_head_brk"), F.col("_first")))
-                       .alias("_end_start"))
+                       .alias("_end_start"))  # latest session start in the bucket
     carry = F.last("_end_start", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, -1))
     summ = summ.select(*dev, "_b", F.when(F.col("_head_brk"), F.col("_first")).otherwise(carry)
                        .alias("_head_start"))
@@ -127,7 +127,8 @@ def transient_only(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
                    scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
     """Sightings of devices passing by (stationary ones removed)."""
     s = session_starts(det, cfg, keys, break_rule, scans, dedupe)
-    return s.where(F.col("is_transient")).drop("session_start", "dwell_s", "is_transient")
+    return s.where(F.col("is_transient")).select(*[c for c in s.columns
+                                                   if c not in ("session_start", "dwell_s", "is_transient")])
 
 
 def sessions(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",

@@ -80,7 +80,7 @@ def q_scan_presence(spark, sf_dir):
 SELECT * FROM counts""")
 def q_scan_counts(spark, sf_dir):
     tr = batch.transient_detections(spark, sf_dir, CFG4)
-    return present(windows.scan_counts(tr))
+    return present(windows.scan_counts(tr, distinct=False))  # tr is de-duplicated per device and scan
 
 
 @register("window_counts_4h", _with(sq.base_ctes(CFG4), sq.window_cte("win", CFG4, 4)) + f"""

@@ -28,8 +28,20 @@ EVENTS_SALT = "salt"
 CLASSIC_EVENT_TYPES = ("click", "view")
 
 
+# the driver table's schema, so reads skip footer inference
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+SCHEMAS = {"events": EVENTS_SCHEMA}
+_TABLES: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the (lazy) DataFrame is reused within one application."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        r = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+        _TABLES[key] = r.parquet(path)
+    return _TABLES[key]
 
 
 def events_to_detections(events: DataFrame, salt: str = EVENTS_SALT) -> DataFrame:
