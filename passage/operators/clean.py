@@ -60,7 +60,9 @@ def dedupe_strongest(det: DataFrame, keys=DEFAULT_KEYS, order_col: str = "arriva
     ``order_col`` gives arrival order; without it ties are broken by
     protocol ('classic' < 'ble' in arrival order) then RSSI.
     """
-    part = [*keys, *SCAN_KEYS, "mac_hash"]
+    # (keys, device, time, scan): the sort this window needs also serves a
+    # later per-device window ordered by time (one sort instead of two)
+    part = [*keys, "mac_hash", "timestamp", "scan_id"]
     order = [F.col("rssi").desc_nulls_last()]
     if order_col in det.columns:
         order.append(F.col(order_col).asc())

@@ -91,7 +91,7 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         d = dedupe_strongest(d, [*keys, "_b"])
 
     # level 1: inside one (device, bucket)
-    wb = Window.partitionBy(*dev, "_b").orderBy("timestamp", "scan_id")
+    wb = Window.partitionBy(*keys, "_b", "mac_hash").orderBy("timestamp", "scan_id")
     prev_seen = F.lag("timestamp").over(wb)
     d = d.select("*", (prev_seen.isNotNull() & (seconds_between("_ref", prev_seen) > F.lit(timeout)))
                  .alias("_brk"))
@@ -99,7 +99,7 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run_start"))
 
     # level 2: one row per (device, bucket), scanned per device
-    summ = d.groupBy(*dev, "_b").agg(
+    summ = d.groupBy(*keys, "_b", "mac_hash").agg(
         F.min("timestamp").alias("_first"),
         F.max("timestamp").alias("_last"),
         F.min_by("_ref", "timestamp").alias("_first_ref"),
@@ -115,7 +115,7 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
                        .alias("_head_start"))
 
     # every (device, bucket) of d has its summary row: the inner join is exact
-    out = d.join(summ, [*dev, "_b"], "inner")
+    out = d.join(summ, [*keys, "_b", "mac_hash"], "inner")
     start = F.coalesce("_run_start", "_head_start")
     dwell = seconds_between("timestamp", start)
     keep = [c for c in det.columns if c not in ("_b", "prev_scan")]
