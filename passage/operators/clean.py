@@ -53,12 +53,13 @@ def fill_defaults(det: DataFrame) -> DataFrame:
     return det.select(*out, F.coalesce(proto, F.lit("unknown")).alias("protocol"))
 
 
-def dedupe_strongest(det: DataFrame, keys=DEFAULT_KEYS, order_col: str = "arrival") -> DataFrame:
+def dedupe_strongest(det: DataFrame, keys=DEFAULT_KEYS, order_col: str = "arrival", then=()) -> DataFrame:
     """One row per device per scan: the strongest reported RSSI wins, a
     missing RSSI never replaces a reading, ties keep the first arrival.
 
     ``order_col`` gives arrival order; without it ties are broken by
-    protocol ('classic' < 'ble' in arrival order) then RSSI.
+    protocol ('classic' < 'ble' in arrival order) then RSSI. ``then`` adds
+    further tie-breakers after the arrival order.
     """
     # (keys, device, time, scan): the sort this window needs also serves a
     # later per-device window ordered by time (one sort instead of two)
@@ -68,6 +69,7 @@ def dedupe_strongest(det: DataFrame, keys=DEFAULT_KEYS, order_col: str = "arriva
         order.append(F.col(order_col).asc())
     else:
         order.append(F.when(F.col("protocol") == "classic", 0).otherwise(1))
+    order += [F.col(c).asc() for c in then]
     w = Window.partitionBy(*part).orderBy(*order)
     cols = det.columns
     return det.select("*", F.row_number().over(w).alias("_rank")).where(F.col("_rank") == 1).select(*cols)

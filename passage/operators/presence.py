@@ -78,6 +78,7 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
     for k in keys:
         known = known & F.col(k).isNotNull()
     d = det.where(known).select("*", _bucket("timestamp", cfg.presence_bucket_seconds).alias("_b"))
+    d = d.where(F.col("_b").isNotNull())  # stated, so both uses of d carry the same filters
     if break_rule == "scan":
         src = scans if scans is not None else det
         d = d.join(previous_scans(src, cfg, keys), [*keys, "timestamp"], "left")
@@ -88,7 +89,12 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         ref = F.col("timestamp")
     d = d.select("*", ref.alias("_ref")).repartition(*dev, "_b")
     if dedupe:
-        d = dedupe_strongest(d, [*keys, "_b"])
+        # the pass-through columns close the tie-break order (arrival is
+        # unique, so they never decide); both uses of d below then read the
+        # same columns and Spark reuses this exchange for both
+        rest = [c for c in d.columns if c not in {*dev, "_b", "_ref", "timestamp", "scan_id", "rssi", "arrival"}
+                and dict(d.dtypes)[c] not in ("binary",) and not dict(d.dtypes)[c].startswith(("array", "map", "struct"))]
+        d = dedupe_strongest(d, [*keys, "_b"], then=rest)
 
     # level 1: inside one (device, bucket)
     wb = Window.partitionBy(*keys, "_b", "mac_hash").orderBy("timestamp", "scan_id")

@@ -34,3 +34,12 @@ def test_filter_pushdown_to_parquet(spark):
     p = plan_of(ev)
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,50.0)]" in p
     assert "ReadSchema: struct<user_id:bigint,value:double>" in p
+
+
+def test_presence_shuffles_detections_once(spark):
+    """The bucket summary and the main branch read one shared exchange."""
+    cfg = Config.for_events()
+    df = batch.window_table(spark, SF_SMALL, cfg)
+    df.collect()  # final adaptive plan
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "Reused" in p
