@@ -53,8 +53,17 @@ def cyclic_features(df: DataFrame) -> DataFrame:
     return df.select("*", *cols)
 
 
-def lag_columns(cfg: Config, keys=DEFAULT_KEYS, value: str | None = None):
+def lag_columns(cfg: Config, keys=DEFAULT_KEYS, value: str | None = None, unit: str = "rows"):
+    """``unit="rows"``: n rows back (the original semantics). ``unit="hours"``:
+    the value exactly n hours earlier (NULL when that window is missing), a
+    one-point range frame on epoch seconds."""
     v = value or cfg.value_col
+    if unit == "hours":
+        w = Window.partitionBy(*keys).orderBy(F.unix_seconds("timestamp"))
+        return [F.first(v).over(w.rangeBetween(-n * 3600, -n * 3600)).alias(f"{v}_lag_{n}h")
+                for n in cfg.lag_periods]
+    if unit != "rows":
+        raise ValueError("unit must be 'rows' or 'hours'")
     w = _spec(keys)
     return [F.lag(v, n).over(w).alias(f"{v}_lag_{n}h") for n in cfg.lag_periods]
 
@@ -71,8 +80,8 @@ def rolling_columns(cfg: Config, keys=DEFAULT_KEYS, value: str | None = None):
     return out
 
 
-def lags(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = None) -> DataFrame:
-    return df.select("*", *lag_columns(cfg, keys, value))
+def lags(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = None, unit: str = "rows") -> DataFrame:
+    return df.select("*", *lag_columns(cfg, keys, value, unit))
 
 
 def rolling(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = None) -> DataFrame:

@@ -92,8 +92,9 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         # the pass-through columns close the tie-break order (arrival is
         # unique, so they never decide); both uses of d below then read the
         # same columns and Spark reuses this exchange for both
+        kinds = dict(d.dtypes)
         rest = [c for c in d.columns if c not in {*dev, "_b", "_ref", "timestamp", "scan_id", "rssi", "arrival"}
-                and dict(d.dtypes)[c] not in ("binary",) and not dict(d.dtypes)[c].startswith(("array", "map", "struct"))]
+                and kinds[c] != "binary" and not kinds[c].startswith(("array", "map", "struct"))]
         d = dedupe_strongest(d, [*keys, "_b"], then=rest)
 
     # level 1: inside one (device, bucket)

@@ -26,7 +26,7 @@ def explode_devices(scans: DataFrame, keep_empty: bool = False) -> DataFrame:
     return out
 
 
-def scan_counts(det: DataFrame, keys=DEFAULT_KEYS, distinct: bool = True) -> DataFrame:
+def scan_counts(det: DataFrame, keys=DEFAULT_KEYS, distinct: bool = True, legacy_key: bool = False) -> DataFrame:
     """Distinct devices per scan (the stored ``device_count`` is ignored).
 
     Keyed by ``(keys, scan_id, timestamp)``: the capture counter restarts

@@ -44,6 +44,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}{sep}{name}"
 
 
+def cluster_conf(total_input_bytes: int, advisory_mb: int = 256) -> dict:
+    """Suggested settings for a large cluster: AQE with coalescing and skew
+    splitting, ~``advisory_mb`` shuffle partitions, file splits of the same
+    size. ``total_input_bytes`` sizes the initial shuffle partition count."""
+    parts = max(200, int(total_input_bytes // (advisory_mb * 1024 * 1024)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": f"{advisory_mb}m",
+        "spark.sql.session.timeZone": SESSION_ZONE,
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.enabled": "false",
+    }
+
+
 def local_session(cores: int | str = "*", app: str = "passage",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (never used on a cluster)."""

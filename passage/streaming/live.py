@@ -129,6 +129,20 @@ def live_sessions(det: DataFrame, cfg: Config, watermark: str = "6 hours", keys=
                        ((F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1e6).alias("dwell_s")))
 
 
+def start_scan_log(scans: DataFrame, out_path: str, name: str, fmt: str = "json",
+                   trigger: str | None = None):
+    """Streaming twin of ``sinks.files.append_scans``: clean scan records
+    appended per site and scan date, exactly once through the checkpoint."""
+    spark = scans.sparkSession
+    ckpt = scratch_path(spark, f"streams/{name}/checkpoint")
+    w = (scans.withColumn("scan_date", F.to_date("timestamp")).writeStream.format(fmt)
+         .option("path", out_path).option("checkpointLocation", ckpt)
+         .partitionBy("site_id", "scan_date").outputMode("append"))
+    if fmt == "json":
+        w = w.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return w.trigger(processingTime=trigger).start() if trigger else w.trigger(availableNow=True).start()
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, available_now: bool = True,
                  fmt: str = "parquet"):
     """Run a stream into a fresh ``<checkpoint dir>/streams/<name>-<id>``

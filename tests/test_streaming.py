@@ -87,3 +87,18 @@ def test_union_protocols_keeps_classic_first(spark):
                               "site_id string, timestamp timestamp, scan_id long, mac_hash string, rssi int, protocol string, arrival long")
     out = clean.dedupe_strongest(clean.union_protocols(c, b)).collect()
     assert [(r.protocol, r.rssi) for r in out] == [("ble", -70)]
+
+
+def test_streaming_scan_log_sink(spark, tmpdir_str):
+    src = os.path.join(tmpdir_str, "in")
+    os.makedirs(src)
+    recs = [{"site_id": "s", "timestamp": f"2024-01-0{d}T10:00:00", "scan_id": d, "device_count": 1,
+             "devices": [{"mac_hash": "a", "rssi": -50, "protocol": "ble"}]} for d in (1, 2)]
+    with open(os.path.join(src, "scan_20240101.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in recs) + "\n")
+    out = os.path.join(tmpdir_str, "log")
+    q = live.start_scan_log(live.live_clean(S.stream_scans(spark, src), CFG), out, "log")
+    q.awaitTermination()
+    back = S.read_scans(spark, out, glob=None)
+    assert back.count() == 2
+    assert os.path.isdir(os.path.join(out, "site_id=s", "scan_date=2024-01-02"))

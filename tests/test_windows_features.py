@@ -102,3 +102,23 @@ def test_sequences_exclude_current_row(spark):
     first = seq[0]
     assert [round(v[0] * (hi - lo) + lo, 9) for v in first.sequence] == [0, 1, 2, 3, 4]
     assert first.avg_devices_future == 9.0
+
+
+def test_legacy_scan_key_merges_restarted_ids(spark):
+    det = spark.createDataFrame([
+        ("s", T0, 0, "a"), ("s", T0, 0, "b"),
+        ("s", T0 + dt.timedelta(hours=1), 0, "a"),  # capture restarted: id 0 again
+    ], "site_id string, timestamp timestamp, scan_id long, mac_hash string")
+    assert windows.scan_counts(det).count() == 2
+    legacy = windows.scan_counts(det, legacy_key=True).collect()
+    assert [(r.timestamp, r.device_count) for r in legacy] == [(T0, 2)]
+
+
+def test_hour_lags_skip_missing_windows(spark):
+    pdf = pd.DataFrame({"site_id": "s", "timestamp": pd.to_datetime(
+        ["2024-01-01 00:00", "2024-01-01 01:00", "2024-01-01 03:00"]), "avg_devices": [1.0, 2.0, 3.0]})
+    cfg = Config(lag_periods=(1, 2))
+    rows = features.lags(spark.createDataFrame(pdf), cfg, unit="hours").orderBy("timestamp").collect()
+    assert [(r.avg_devices_lag_1h, r.avg_devices_lag_2h) for r in rows] == [(None, None), (1.0, None), (None, 2.0)]
+    by_rows = features.lags(spark.createDataFrame(pdf), cfg).orderBy("timestamp").collect()
+    assert by_rows[2].avg_devices_lag_1h == 2.0
