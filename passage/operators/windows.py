@@ -34,6 +34,9 @@ def scan_counts(det: DataFrame, keys=DEFAULT_KEYS, distinct: bool = True, legacy
     ``distinct=False`` counts rows — only for input already de-duplicated per
     device and scan (``clean.dedupe_strongest``); it saves one exchange."""
     n = F.count_distinct("mac_hash") if distinct else F.count("mac_hash")
+    if legacy_key:  # group by the id alone, earliest timestamp (original merge of restarted ids)
+        return (det.groupBy(*keys, "scan_id")
+                   .agg(F.min("timestamp").alias("timestamp"), F.count_distinct("mac_hash").alias("device_count")))
     return det.groupBy(*keys, "scan_id", "timestamp").agg(n.alias("device_count"))
 
 
