@@ -388,3 +388,15 @@ SELECT timestamp, sum(avg_devices) AS total_avg_devices, sum(total_devices) AS t
 FROM win GROUP BY timestamp""", doubles=("total_avg_devices",))
 def q_city(spark, sf_dir):
     return present(declared.city_rollup(win4(spark, sf_dir)))
+
+
+@register("lag_features_hours_1h", _with(sq.base_ctes(CFG1), sq.window_cte("win0", CFG1, 1),
+                                         f"\nwin AS ({sq.with_time('win0')})") + f"""
+SELECT *, {", ".join(
+    f"first(avg_devices) OVER (PARTITION BY site_id ORDER BY timestamp RANGE BETWEEN INTERVAL {n} HOUR PRECEDING "
+    f"AND INTERVAL {n} HOUR PRECEDING) AS avg_devices_lag_{n}h" for n in CFG1.lag_periods)}
+FROM win""", doubles=[*W, *sq.feature_doubles(CFG1, rolling=False)])
+def q_hour_lags(spark, sf_dir):
+    """Lags by elapsed hours: a missing window gives NULL instead of
+    shifting the lag onto an older window."""
+    return present(features.lags(batch.window_table(spark, sf_dir, CFG1), CFG1, unit="hours"))
