@@ -12,6 +12,10 @@ from dataclasses import dataclass, field, replace
 
 @dataclass(frozen=True)
 class Config:
+    # fixed values: the defaults below are the original system's shipped
+    # configuration (capture, privacy, aggregation, features, models,
+    # retention); the remaining fields are this engine's own parameters.
+
     # --- capture (seconds / dBm) -------------------------------------------
     scan_interval: int = 3
     scan_duration: int = 8
