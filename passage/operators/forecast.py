@@ -161,11 +161,12 @@ def validation_flags(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, how: str
 def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str = TARGET,
                    feature_cols=None, val_how: str = "chronological",
                    rows_per_partition: int = 200_000) -> Forecaster:
-    """Gradient-boosted trees with patience-based early stopping: fit
-    ``n_estimators`` trees on the fit part, score every prefix on the
-    validation part (``evaluateEachIteration``), stop at the first run of
-    ``early_stopping_rounds`` non-improving trees and refit with the best
-    number of trees."""
+    """Gradient-boosted trees with patience-based early stopping: fit trees
+    on the fit part, score every prefix on the validation part
+    (``evaluateEachIteration``), stop at the first run of
+    ``early_stopping_rounds`` non-improving trees (growing the ensemble in
+    doubling steps up to ``n_estimators`` until that happens) and refit with
+    the best number of trees."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -190,11 +191,12 @@ def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str
         small.count()
         fit_part.unpersist()
         fit_part = small
-    val_part = d.where(F.col("is_val"))
-    best_n = cfg.n_estimators
-    model = gbt(cfg.n_estimators).fit(fit_part)
-    if val_part.limit(1).count() > 0:
-        errs = model.evaluateEachIteration(val_part.withColumnRenamed("_label", "_label"), "squared")
+    val_part = d.where(F.col("is_val")).cache()
+    has_val = val_part.limit(1).count() > 0
+
+    def patience_stop(errs):
+        """Best tree count and whether a run of ``early_stopping_rounds``
+        non-improving trees was seen."""
         best, best_i, since = float("inf"), 0, 0
         for i, e in enumerate(errs):
             if e < best:
@@ -202,9 +204,23 @@ def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str
             else:
                 since += 1
                 if since >= cfg.early_stopping_rounds:
-                    break
-        best_n = best_i + 1
-        if best_n < cfg.n_estimators:
-            model = gbt(best_n).fit(fit_part)
+                    return best_i + 1, True
+        return best_i + 1, False
+
+    # grow the ensemble in doubling steps until the patience rule fires:
+    # noisy targets stop after a few dozen trees instead of all of them
+    n = cfg.n_estimators if not has_val else min(cfg.n_estimators, 2 * cfg.early_stopping_rounds)
+    while True:
+        model = gbt(n).fit(fit_part)
+        if not has_val:
+            best_n = n
+            break
+        best_n, stopped = patience_stop(model.evaluateEachIteration(val_part, "squared"))
+        if stopped or n >= cfg.n_estimators:
+            break
+        n = min(cfg.n_estimators, 2 * n)
+    if best_n < n:
+        model = gbt(best_n).fit(fit_part)
+    val_part.unpersist()
     fit_part.unpersist()
     return Forecaster(model=model, feature_cols=feats, best_iterations=best_n, label=label)
