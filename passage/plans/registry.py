@@ -11,14 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from passage.config import Config
 from passage.functions.present import present
 from passage.operators import clean, features, presence, windows
 from passage.plans import batch
 from passage.plans import sqltwins as sq
-from passage.sources.events import detections_from_events
 
 from passage.plans.catalog import CFG1, CFG4, QUERIES, SQL, _gap_sql, _with, register  # noqa: F401
 
