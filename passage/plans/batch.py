@@ -56,7 +56,9 @@ def process_scans(scans: DataFrame, cfg: Config, keys=DEFAULT_KEYS, capture_clea
     instants."""
     det = windows.explode_devices(scans)
     if capture_clean:
-        det = clean.clean_detections(det, cfg, keys)
-        det = presence.transient_only(det, cfg, keys, break_rule, scans=scans)
+        det = clean.rssi_filter(clean.fill_defaults(det), cfg)
+        # de-duplication shares the presence exchange; the records give the scan instants
+        det = presence.transient_only(det, cfg, keys, break_rule, scans=scans.select(*keys, "timestamp"),
+                                      dedupe=True)
     win = process_detections(det, cfg, keys, window_hours=window_hours)
     return win, features.ml_dataset(win, cfg, keys)
