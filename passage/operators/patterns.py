@@ -49,6 +49,17 @@ def zscore_stats(df: DataFrame, cols, keys=DEFAULT_KEYS) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
+def zscore_window(df: DataFrame, cols, keys=DEFAULT_KEYS, suffix: str = "_z") -> DataFrame:
+    """Per-key z-scores as window aggregates: no join, and no shuffle when
+    the input is already partitioned by the keys."""
+    part = Window.partitionBy(*keys)
+    out = []
+    for c in cols:
+        sd = F.stddev_pop(c).over(part)
+        out.append(F.when(sd > 0, (F.col(c) - F.avg(c).over(part)) / sd).otherwise(0.0).alias(f"{c}{suffix}"))
+    return df.select("*", *out)
+
+
 def apply_zscore(df: DataFrame, stats: DataFrame, cols, keys=DEFAULT_KEYS, suffix: str = "_z") -> DataFrame:
     d = df.join(stats, list(keys), "left")
     for c in cols:
@@ -102,7 +113,10 @@ def silhouette_sq(df: DataFrame, cols, label: str) -> DataFrame:
     mean ||x-y||² over cluster C = ||x||² - 2 x·mean_C + mean_C(||y||²).
     A point alone in its cluster scores 0."""
     dims = len(cols)
-    ct = _cluster_table(df, cols, label)
+    # one pass: n, centroid and sum of squared norms per cluster (k rows)
+    norm2 = sum(F.col(c) * F.col(c) for c in cols)
+    ct = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(norm2).alias("q"),
+                               F.array(*[F.avg(c) for c in cols]).alias("centroid"))
     one = ct.agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "centroid", "q")).alias("cl"))
     d = df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
     x = F.array(*[F.col(c).cast("double") for c in cols])

@@ -16,9 +16,7 @@ Z = [f"{c}_z" for c in patterns.PATTERN_FEATURES]
 
 
 def _z_points(spark, sf_dir):
-    d = cyclic_features(tiers4(spark, sf_dir))
-    stats = patterns.zscore_stats(d, patterns.PATTERN_FEATURES)
-    return patterns.apply_zscore(d, stats, patterns.PATTERN_FEATURES)
+    return patterns.zscore_window(cyclic_features(tiers4(spark, sf_dir)), patterns.PATTERN_FEATURES)
 
 
 def _z_sql() -> str:
