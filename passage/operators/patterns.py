@@ -117,8 +117,9 @@ def silhouette_sq(df: DataFrame, cols, label: str) -> DataFrame:
     norm2 = sum(F.col(c) * F.col(c) for c in cols)
     ct = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(norm2).alias("q"),
                                F.array(*[F.avg(c) for c in cols]).alias("centroid"))
-    one = ct.agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "centroid", "q")).alias("cl"))
-    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    # the k cluster rows as one array, a scalar subquery evaluated once
+    cl = ct.agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "centroid", "q")).alias("cl")).scalar()
+    d = df.withColumn("cl", cl)
     x = F.array(*[F.col(c).cast("double") for c in cols])
     x2 = sum(F.col(c) * F.col(c) for c in cols)
 

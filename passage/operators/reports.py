@@ -97,8 +97,8 @@ def histogram(df: DataFrame, value: str, bins: int, by=()) -> DataFrame:
     last bin is closed; a constant group spans value ± 0.5). Empty bins are
     emitted with count 0. Output: by…, bin, bin_lo, bin_hi, count."""
     by = list(by)
-    if not by:  # one group: join on a constant key (the range side is one row)
-        return histogram(df.withColumn("_g", F.lit(0)), value, bins, ["_g"]).drop("_g")
+    if not by:
+        return _histogram_global(df, value, bins)
     rng = (df.where(F.col(value).isNotNull()).groupBy(*by)
              .agg(F.min(value).alias("_mn"), F.max(value).alias("_mx")))
     rng = (rng.withColumn("_lo", F.when(F.col("_mx") > F.col("_mn"), F.col("_mn")).otherwise(F.col("_mn") - 0.5))
@@ -116,6 +116,24 @@ def histogram(df: DataFrame, value: str, bins: int, by=()) -> DataFrame:
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+def _histogram_global(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """One histogram over all rows: the range is a scalar subquery (one
+    row, evaluated once), so no join with the data is planned."""
+    v = F.col(value)
+    mn, mx = F.min(v), F.max(v)
+    rng = df.agg(F.struct(F.when(mx > mn, mn).otherwise(mn - 0.5).alias("lo"),
+                          F.when(mx > mn, mx).otherwise(mx + 0.5).alias("hi")).alias("r")).scalar()
+    lo, hi = rng["lo"], rng["hi"]
+    width = (hi - lo) / F.lit(float(bins))
+    idx = F.least(F.floor((v - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
+    counts = df.where(v.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    spine = (df.where(v.isNotNull()).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
+               .select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")))
+    out = spine.join(counts, "bin", "left")
+    return out.select("bin", (lo + F.col("bin") * width).alias("bin_lo"), (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
+                      F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
 def group_profile(df: DataFrame, label: str, keys=(), value: str = V) -> DataFrame:
     """count, mean, sample std of ``value`` per label."""
     return df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"),

@@ -43,3 +43,20 @@ def test_presence_shuffles_detections_once(spark):
     df.collect()  # final adaptive plan
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "Reused" in p
+
+
+def test_no_cross_join_in_registered_queries(spark):
+    """Every registered batch query: no Cartesian product and no nested-loop
+    join (one-row global results merge partial aggregates in one partition,
+    which is fine; windows never run without keys — see the flagship test)."""
+    import __spark_entry__ as entry
+    skip = ("stream_", "forecast_", "prediction_", "pattern_")
+    bad = {}
+    for name, fn in entry.queries().items():
+        if name.startswith(skip):
+            continue
+        p = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        hits = [t for t in ("CartesianProduct", "BroadcastNestedLoopJoin") if t in p]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
