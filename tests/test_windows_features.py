@@ -122,3 +122,15 @@ def test_hour_lags_skip_missing_windows(spark):
     assert [(r.avg_devices_lag_1h, r.avg_devices_lag_2h) for r in rows] == [(None, None), (1.0, None), (None, 2.0)]
     by_rows = features.lags(spark.createDataFrame(pdf), cfg).orderBy("timestamp").collect()
     assert by_rows[2].avg_devices_lag_1h == 2.0
+
+
+def test_unique_devices_approx_close_to_exact(spark):
+    from passage.operators import declared
+    rows = [("s", T0 + dt.timedelta(minutes=m % 240), m, f"d{m % 500}") for m in range(3000)]
+    det = spark.createDataFrame(rows, "site_id string, timestamp timestamp, scan_id long, mac_hash string")
+    cfg = Config(window_hours=4)
+    exact = windows.unique_devices(det, cfg).first().unique_devices
+    approx = windows.unique_devices(det, cfg, approx=True, rsd=0.02).first().unique_devices
+    assert exact == 500 and abs(approx - exact) <= 0.1 * exact
+    kept = declared.retain(det, "2024-01-01 03:00:00", days=0)
+    assert kept.count() == sum(1 for r in rows if r[1] >= dt.datetime(2024, 1, 1, 3))
