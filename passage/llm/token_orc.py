@@ -79,7 +79,8 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     bases = totals.select("part", before.alias("base"))
     if doc_ids is not None:
         table = table.where(F.col("doc_id").isin([int(d) for d in doc_ids]))
-    return table.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "ids")
+    # a few bytes for each file, whatever the files hold: else the ids would be shuffled to meet them
+    return table.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "ids")
 
 
 def _digest(batches):
