@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passage.llm import packing, token_orc
+from passage.llm import packing, quality, token_orc
 from passage.llm._common import new_path, read_table
 from passage.llm.tokens import word_tokenizer
 
@@ -17,11 +17,16 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(token_orc.read_tokens(spark, path))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_orc, op8_best_fit_packing)
+    f.__name__: f for f in (op2_token_orc, op7_quality_rules, op8_best_fit_packing)
 }
 SQL: dict[str, str] = {}
