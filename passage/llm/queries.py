@@ -6,17 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passage.llm import packing, quality, token_orc
+from passage.llm import packing, pii, quality, secret_scan, token_orc, toxicity
 from passage.llm._common import new_path, read_table
 from passage.llm.tokens import word_tokenizer
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    costs = toxicity.char_model(docs)
+    model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"), costs)
+    return toxicity.score_documents(docs, model, costs)
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token_orc")
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path, word_tokenizer())
     return token_orc.digests(token_orc.read_tokens(spark, path))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit_pii(docs))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
@@ -27,6 +45,6 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_orc, op7_quality_rules, op8_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_token_orc, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing)
 }
 SQL: dict[str, str] = {}

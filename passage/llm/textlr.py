@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from passage.llm._common import BASES, LOWER, byte_codes, mix64, powers, row_sums, text_or_empty, utf8, word_bounds
 
 BITS = 18
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6)
 #: Labelled rows used for fitting, the rest are not needed; one in FOLD of them calibrates.
 SAMPLE_ROWS = 6000
 FOLD = 5
-EPOCHS = 12
+EPOCHS = 16
 BATCH = 64
 RATE = 0.3
 L2 = 1e-5
