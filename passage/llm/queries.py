@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passage.llm import packing, pii, quality, secret_scan, token_orc, toxicity
+from passage.llm import mixing, packing, pii, quality, secret_scan, token_orc, toxicity
 from passage.llm._common import new_path, read_table
 from passage.llm.tokens import word_tokenizer
 
@@ -24,6 +24,10 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(token_orc.read_tokens(spark, path))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(read_table(spark, sf_dir, "documents")).drop("shards")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +49,6 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_orc, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_token_orc, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing)
 }
 SQL: dict[str, str] = {}
