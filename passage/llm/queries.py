@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passage.llm import mixing, packing, pii, quality, secret_scan, token_orc, toxicity
+from passage.llm import knn, mixing, packing, pii, quality, secret_scan, token_orc, toxicity
 from passage.llm._common import new_path, read_table
 from passage.llm.tokens import word_tokenizer
 
@@ -48,7 +49,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_orc, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_token_orc, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing, op10_voronoi_topk)
+}
+SQL: dict[str, str] = {
+    "op10_voronoi_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
-SQL: dict[str, str] = {}
