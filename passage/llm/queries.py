@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passage.llm import knn, mixing, packing, pii, quality, secret_scan, token_orc, toxicity
+from passage.llm import knn, mixing, packing, pii, quality, secret_scan, suffix_dedup, token_orc, toxicity
 from passage.llm._common import new_path, read_table
 from passage.llm.tokens import word_tokenizer
 
@@ -49,12 +49,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_orc, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing, op10_voronoi_topk)
+    f.__name__: f for f in (op1_toxicity, op2_token_orc, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_suffix_dedup, op10_voronoi_topk)
 }
 SQL: dict[str, str] = {
     "op10_voronoi_topk": """
