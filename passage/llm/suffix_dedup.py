@@ -48,7 +48,7 @@ from passage.llm._common import BASES, byte_codes, materialise, mix64, powers, s
 
 LENGTH = 100
 GRAM = 48
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Sampled records for each partition.
 SAMPLE = 100
 #: Bits of the Bloom filter for each record to find again, and its largest size in bits (64 MB).
@@ -120,15 +120,15 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     one, two = _Prefix(raw, 0), _Prefix(raw, 1)
     place = np.arange(n - gram + 1)
-    g = one.hash(place, place + gram)
-    value = (g & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
-    padded = np.full(-(-len(value) // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:len(value)] = value
+    padded = np.full(-(-len(place) // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    padded[:len(place)] = (one.hash(place, place + gram) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
+    count = len(place) - w + 1
+    del place
     blocks = padded.reshape(-1, w)  # a sliding minimum from the minima of block heads and tails
     head = np.minimum.accumulate(blocks, axis=1).ravel()
     tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(value) - w + 1
     anchor = (np.minimum(tail[:count], head[w - 1:w - 1 + count]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del padded, blocks, head, tail
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at = np.flatnonzero(row[:count] == row[length - 1:length - 1 + count])
     if not len(at):
@@ -139,7 +139,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int):
     s = np.flatnonzero(new)
     first, last = at[s], at[np.append(s[1:], len(at)) - 1]
     context = mix64(two.hash(first, last + length) + (last - first).astype(np.uint64))
-    return row[s], first, last, g[anchor[s]], context
+    return row[s], first, last, one.hash(anchor[s], anchor[s] + gram), context
 
 
 def _pids(a: np.ndarray, b: np.ndarray, c: np.ndarray, split: np.ndarray) -> np.ndarray:
