@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,18 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Another bound of Arrow batches while a table is written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
@@ -146,3 +159,41 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind in "fiu" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+# Bloom filters of 64-bit keys: a filter's errors only let too much through.
+BLOOM_BITS, BLOOM_MAX, BLOOM_HASHES = 16, 1 << 29, 4
+
+
+def bloom_bits(keys: np.ndarray, size: int) -> np.ndarray:
+    h = mix64(keys.astype(np.uint64))
+    return np.stack([(mix64(h + np.uint64(j)) % np.uint64(size)).astype(np.int64) for j in range(BLOOM_HASHES)])
+
+
+def bloom_add(words: np.ndarray, keys: np.ndarray) -> None:
+    bits = bloom_bits(keys, len(words) * 64).ravel()
+    np.bitwise_or.at(words, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
+
+
+def in_bloom(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = bloom_bits(keys, len(words) * 64)
+    return np.all((words[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1), axis=0)
+
+
+def bloom_filter(keys: DataFrame, count: int) -> np.ndarray:
+    """The filter of the column ``key`` as 64-bit words: BLOOM_BITS bits a key, never more than BLOOM_MAX bits (64 MB)."""
+    size = 1 << 12
+    while size < min(count * BLOOM_BITS, BLOOM_MAX):
+        size *= 2
+
+    def run(batches):
+        words = np.zeros(size // 64, np.uint64)
+        for b in batches:
+            bloom_add(words, np.asarray(b.column("key")))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].astype(np.int64))], names=["at", "word"])
+
+    got = keys.select("key").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(size // 64, np.uint64)
+    words[np.asarray(got["at"])] = np.asarray(got["word"]).astype(np.uint64)
+    return words

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passage.llm import knn, mixing, packing, pii, quality, secret_scan, suffix_dedup, token_orc, toxicity
+from passage.llm import knn, mixing, near_dup, packing, pii, quality, secret_scan, suffix_dedup, token_orc, toxicity
 from passage.llm._common import new_path, read_table
 from passage.llm.tokens import word_tokenizer
 
@@ -25,6 +25,10 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digests(token_orc.read_tokens(spark, path))
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.clusters(read_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents")).drop("shards")
 
@@ -58,7 +62,7 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_token_orc, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_suffix_dedup, op10_voronoi_topk)
+    f.__name__: f for f in (op1_toxicity, op2_token_orc, op3_bagminhash, op4_source_mix, op5_secret_scan, op6_pii, op7_quality_rules, op8_best_fit_packing, op9_suffix_dedup, op10_voronoi_topk)
 }
 SQL: dict[str, str] = {
     "op10_voronoi_topk": """

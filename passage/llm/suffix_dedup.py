@@ -35,7 +35,6 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passage.llm._common import BASES, byte_codes, materialise, mix64, powers, slices, text_or_empty, utf8
+from passage.llm._common import BASES, arrow_rows, byte_codes, materialise, mix64, powers, slices, text_or_empty, utf8
 
 LENGTH = 100
 GRAM = 48
@@ -61,17 +60,6 @@ _LEN_BITS = 7   # windows in a record: at most LENGTH - GRAM + 1
 _MAX_DOC = 1 << (62 - _LEN_BITS)
 
 
-@contextmanager
-def _arrow_rows(spark, rows: int):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _inverse(base: int) -> int:
     x = base
     for _ in range(6):
@@ -279,7 +267,7 @@ def _repeats(texts: DataFrame, sample: DataFrame, rate: int, n: int, length: int
     split = _splitters(rows, n)
     records = texts.mapInArrow(_extract(length, gram, split, bloom), _RECORD)
     sorted_ = records.repartitionById(n, F.col("pid")).select("a", "b", "c").sortWithinPartitions("a", "b", "c")
-    with _arrow_rows(spark, RECORD_ROWS):
+    with arrow_rows(spark, RECORD_ROWS):
         scanned = materialise(sorted_.mapInArrow(_scan(bloom is None), _SCANNED), "suffixes")
     ends = scanned.where("kind = 2").orderBy("pid", "end").collect()  # two rows a partition
     repeats, multi = _across(ends)
