@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passage.llm._common import (BASES, LOWER, arrow_rows, bloom_filter, in_bloom, materialise, mix64, slices, text_or_empty,
                                  utf8, word_bounds, word_hashes)
@@ -248,22 +249,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _hubs(buckets: DataFrame) -> DataFrame:
-    """(node, hub): every member with the most central member of each of its buckets."""
+def _shared(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets with several members, and each member's score: how many members its buckets hold."""
     size = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = buckets.join(size, "bucket")
     score = rows.groupBy("node").agg(F.sum("n").alias("score"))
-    rows = materialise(rows.join(score, "node").select("bucket", "node", "score"), "members")
-    top = rows.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score"))
-    return materialise(rows.select("bucket", "node").join(top, "bucket").where("node != hub").groupBy("node", "hub").agg(F.max("hub_score").alias("hub_score")), "hubs")
+    return materialise(rows.join(score, "node").select("bucket", "node", "score"), "members")
+
+
+def _hubs(shared: DataFrame) -> DataFrame:
+    """(node, hub): every member with the most central member of each of its buckets."""
+    top = shared.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score"))
+    return materialise(shared.select("bucket", "node").join(top, "bucket").where("node != hub").groupBy("node", "hub").agg(F.max("hub_score").alias("hub_score")), "hubs")
 
 
 def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILARITY, more_rounds: int = MORE_ROUNDS) -> DataFrame:
     """node and label of all classes that have a near duplicate; ``sketch`` is a written table of ``sketches(docs)``."""
     texts = docs.select(text_or_empty().alias("text"))
     reps = materialise(sketch.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "reps")
-    buckets = materialise(reps.select("node", "sig").mapInArrow(_bands, "node binary, bucket long"), "buckets")
-    hubs = _hubs(buckets)
+    shared = _shared(reps.select("node", "sig").mapInArrow(_bands, "node binary, bucket long"))
+    hubs = _hubs(shared)
     best = materialise(hubs.groupBy("node").agg(F.max(F.struct("hub_score", "hub")).alias("b")).select(F.col("node").alias("h"), F.col("b.hub").alias("next")), "best")
     pairs = hubs.select(F.col("node").alias("x"), F.col("hub").alias("y"))
     for _ in range(2):  # hubs of hubs: members of a family meet its centre
@@ -273,13 +278,12 @@ def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILAR
     tried = pairs
     labels = components(links)
     for _ in range(more_rounds):
-        placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+        placed = materialise(shared.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
         # members outside the largest component of their bucket
-        parts = placed.join(several, "bucket").groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
+        parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
         rest = placed.join(main, "bucket").where("label != main").select("bucket", "node")
-        new = _hubs(rest).select(F.col("node").alias("x"), F.col("hub").alias("y"))
+        new = _hubs(_shared(rest)).select(F.col("node").alias("x"), F.col("hub").alias("y"))
         new = materialise(new.join(tried.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
         if not new.limit(1).count():
             break
@@ -305,14 +309,12 @@ def clusters(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")).alias("cluster_id"))
 
 
-def _with_node(schema_names: list[str]):
-    def run(batches):
-        for b in slices(batches, limit=SLICE):
-            raw, off = utf8(b.column(b.schema.get_field_index("text")))
-            *_, words, ident = shingles(raw, off)
-            node = pa.array([n if w else None for n, w in zip(_node(ident), words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), node], names=[*schema_names, "_node"])
-    return run
+def _with_node(batches):
+    for b in slices(batches, limit=SLICE):
+        raw, off = utf8(b.column("text"))
+        *_, words, ident = shingles(raw, off)
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array([n if w else None for n, w in zip(_node(ident), words)], pa.binary())],
+                                         names=["row", "id", "node"])
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -323,7 +325,9 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     last = F.coalesce("first", F.lit(np.iinfo(np.int64).max))
     keepers = named.groupBy("label").agg(F.min(F.struct(last.alias("id"), "node", "first")).alias("k")).select(F.col("k.node").alias("_n"), F.col("k.first").alias("_first"))
-    rows = docs.mapInArrow(_with_node(docs.columns), docs.schema.add("_node", "binary") if "_node" not in docs.columns else docs.schema)
-    wordless = rows.where("_node is null").drop("_node")
-    mine = rows.where("_node is not null").join(keepers, (F.col("_node") == F.col("_n")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_first")))
-    return mine.dropDuplicates(["_node"]).select(*docs.columns).unionByName(wordless)
+    # the row travels as one value, so its columns' names can't clash with those added here
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    rows = packed.mapInArrow(_with_node, T.StructType([*packed.schema.fields[:2], T.StructField("node", T.BinaryType())]))
+    wordless = rows.where("node is null").select("row.*")
+    mine = rows.where("node is not null").join(keepers, (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_first")))
+    return mine.dropDuplicates(["node"]).select("row.*").union(wordless)
