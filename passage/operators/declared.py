@@ -30,16 +30,13 @@ def rotating_hash(df: DataFrame, secret: str, cfg: Config, id_col: str = "mac",
               .withColumn(out, F.sha2(F.concat(F.col(id_col).cast("string"), salt), 256)))
 
 
-def holiday_flags(df: DataFrame, calendar: DataFrame, ts: str = "timestamp",
-                  max_broadcast_rows: int = 100_000) -> DataFrame:
+def holiday_flags(df: DataFrame, calendar: DataFrame, ts: str = "timestamp") -> DataFrame:
     """``is_holiday`` (and ``holiday`` name) from a calendar
-    ``(date, holiday)``. The calendar is broadcast only when its row count
-    is checked to be within ``max_broadcast_rows``; otherwise a shuffle join."""
-    cal = calendar.select(F.col("date").cast("date").alias("_date"), F.col("holiday")).dropDuplicates(["_date"])
-    n = cal.count()
-    side = F.broadcast(cal) if n <= max_broadcast_rows else cal
-    d = df.withColumn("_date", F.to_date(ts)).join(side, "_date", "left")
-    return d.withColumn("is_holiday", F.col("holiday").isNotNull()).drop("_date")
+    ``(date, holiday)``; several holidays of a date are listed by name."""
+    cal = (calendar.groupBy(F.col("date").cast("date").alias("_date"))
+                   .agg(F.concat_ws(", ", F.array_sort(F.collect_set("holiday"))).alias("holiday"), F.lit(True).alias("_known")))
+    d = df.withColumn("_date", F.to_date(ts)).join(cal, "_date", "left")
+    return d.withColumn("is_holiday", F.col("_known").isNotNull()).drop("_date", "_known")
 
 
 def interpolate_single_gaps(df: DataFrame, keys=DEFAULT_KEYS, value: str = V) -> DataFrame:

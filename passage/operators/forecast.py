@@ -64,10 +64,10 @@ def metric_columns(actual: str, predicted: str):
     sst = F.var_pop(F.when(err.isNotNull(), y)) * n
     return [
         n.alias("n"),
-        (sse / n).alias("mse"),
-        F.sqrt(sse / n).alias("rmse"),
+        F.try_divide(sse, n).alias("mse"),
+        F.sqrt(F.try_divide(sse, n)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
-        (F.lit(1.0) - sse / sst).alias("r2"),
+        (F.lit(1.0) - F.try_divide(sse, sst)).alias("r2"),
         (F.avg(F.abs(F.try_divide(err, F.when(y != 0, y)))) * F.lit(100.0)).alias("mape"),
         F.count_if(err.isNotNull() & (y == 0)).alias("zero_actuals"),
     ]
@@ -76,7 +76,8 @@ def metric_columns(actual: str, predicted: str):
 def metrics(df: DataFrame, actual: str, predicted: str, keys=()) -> DataFrame:
     """mse, rmse, mae, r2 and mape (%) of ``predicted`` vs ``actual`` per key
     (rows with a NULL prediction are skipped; zero actuals are left out of
-    mape and counted in ``zero_actuals``)."""
+    mape and counted in ``zero_actuals``; r2 is NULL where the actuals do
+    not vary, as with a single row)."""
     return df.groupBy(*keys).agg(*metric_columns(actual, predicted))
 
 
@@ -159,14 +160,15 @@ def validation_flags(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, how: str
 
 
 def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str = TARGET,
-                   feature_cols=None, val_how: str = "chronological",
-                   rows_per_partition: int = 200_000) -> Forecaster:
+                   feature_cols=None, val_how: str = "chronological", num_partitions: int | None = None) -> Forecaster:
     """Gradient-boosted trees with patience-based early stopping: fit trees
     on the fit part, score every prefix on the validation part
     (``evaluateEachIteration``), stop at the first run of
     ``early_stopping_rounds`` non-improving trees (growing the ensemble in
     doubling steps up to ``n_estimators`` until that happens) and refit with
-    the best number of trees."""
+    the best number of trees. Row sub-sampling draws per partition:
+    ``num_partitions`` fixes the training rows' partitioning where models must
+    agree between inputs laid out differently."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -181,16 +183,8 @@ def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str
                             stepSize=cfg.learning_rate, subsamplingRate=cfg.subsample,
                             featureSubsetStrategy=str(cfg.colsample), seed=cfg.seed)
 
-    fit_part = d.where(~F.col("is_val")).cache()
-    # size-aware partitioning of the cached training rows: boosting runs
-    # several jobs per tree, so tiny inputs should not fan out to many tasks
-    n_rows = fit_part.count()
-    parts = max(1, min(fit_part.rdd.getNumPartitions(), -(-n_rows // rows_per_partition)))
-    if parts < fit_part.rdd.getNumPartitions():
-        small = fit_part.coalesce(parts).cache()
-        small.count()
-        fit_part.unpersist()
-        fit_part = small
+    fit_part = d.where(~F.col("is_val"))
+    fit_part = (fit_part.repartition(num_partitions) if num_partitions else fit_part).cache()
     val_part = d.where(F.col("is_val")).cache()
     has_val = val_part.limit(1).count() > 0
 

@@ -75,8 +75,7 @@ def _cluster_table(df: DataFrame, cols, label: str) -> DataFrame:
     (s), within sum of squares (w), sum of squared norms (q)."""
     cen = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     cen = cen.withColumn("centroid", F.array(*[F.col(f"_c{i}") for i in range(len(cols))]))
-    # k rows: broadcast is bounded by the number of clusters
-    d = df.join(F.broadcast(cen.select(label, "centroid")), label)
+    d = df.join(cen.select(label, "centroid"), label)
     sq = sum((F.col(c) - F.col("centroid")[i]) * (F.col(c) - F.col("centroid")[i]) for i, c in enumerate(cols))
     norm2 = sum(F.col(c) * F.col(c) for c in cols)
     per = d.groupBy(label).agg(F.avg(F.sqrt(sq)).alias("s"), F.sum(sq).alias("w"), F.sum(norm2).alias("q"))
@@ -89,7 +88,9 @@ def _dist2(a: Column, b: Column, dims: int) -> Column:
 
 def cluster_quality(df: DataFrame, cols, label: str) -> DataFrame:
     """Davies–Bouldin and Calinski–Harabasz indices over feature columns
-    ``cols`` for the given cluster labels (one row)."""
+    ``cols`` for the given cluster labels (one row). With fewer than two
+    clusters both are NULL; clusters with one centroid are left out of each
+    other's comparison; without spread inside clusters the second is NULL."""
     dims = len(cols)
     ct = _cluster_table(df, cols, label)
     one = ct.agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "centroid", "s", "w")).alias("cl"),
@@ -99,10 +100,10 @@ def cluster_quality(df: DataFrame, cols, label: str) -> DataFrame:
     cl = F.col("cl")
     ratio = F.transform(cl, lambda a: F.array_max(F.transform(
         F.filter(cl, lambda b: b["l"] != a["l"]),
-        lambda b: (a["s"] + b["s"]) / F.sqrt(_dist2(a["centroid"], b["centroid"], dims)))))
+        lambda b: F.try_divide(a["s"] + b["s"], F.sqrt(_dist2(a["centroid"], b["centroid"], dims))))))
     db = F.aggregate(ratio, F.lit(0.0), lambda acc, x: acc + x) / F.size(ratio)
     b_ss = F.aggregate(cl, F.lit(0.0), lambda acc, a: acc + a["n"] * _dist2(a["centroid"], g, dims))
-    ch = (b_ss / (F.col("k") - 1)) / (F.col("W") / (F.col("N") - F.col("k")))
+    ch = F.try_divide(F.try_divide(b_ss, F.col("k") - 1), F.try_divide(F.col("W"), F.col("N") - F.col("k")))
     return one.select(F.col("k").alias("clusters"), F.col("N").alias("n"),
                       db.alias("davies_bouldin"), ch.alias("calinski_harabasz"))
 
@@ -111,7 +112,8 @@ def silhouette_sq(df: DataFrame, cols, label: str) -> DataFrame:
     """Mean silhouette with *squared* Euclidean distances (the measure Spark
     ML's ``ClusteringEvaluator`` reports), computed from per-cluster sums:
     mean ||x-y||² over cluster C = ||x||² - 2 x·mean_C + mean_C(||y||²).
-    A point alone in its cluster scores 0."""
+    A point alone in its cluster, or at no distance from any point, scores
+    0; with a single cluster the mean is NULL."""
     dims = len(cols)
     # one pass: n, centroid and sum of squared norms per cluster (k rows)
     norm2 = sum(F.col(c) * F.col(c) for c in cols)
@@ -128,9 +130,9 @@ def silhouette_sq(df: DataFrame, cols, label: str) -> DataFrame:
         return x2 - F.lit(2.0) * dot + c["q"] / c["n"]
 
     own = F.filter(F.col("cl"), lambda c: c["l"] == F.col(label))[0]
-    a = mean_d2(own) * own["n"] / (own["n"] - 1)
+    a = F.try_divide(mean_d2(own) * own["n"], own["n"] - 1)
     b = F.array_min(F.transform(F.filter(F.col("cl"), lambda c: c["l"] != F.col(label)), mean_d2))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    s = F.when(b.isNotNull(), F.when(own["n"] <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))))
     return d.agg(F.avg(s).alias("silhouette_sq"), F.count(F.lit(1)).alias("n"))
 
 

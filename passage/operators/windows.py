@@ -91,7 +91,12 @@ def fill_empty_windows(agg: DataFrame, hours: int, keys=DEFAULT_KEYS) -> DataFra
     spine = (agg.groupBy(*keys).agg(F.min("timestamp").alias("_lo"), F.max("timestamp").alias("_hi"))
                 .select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {hours} HOURS")))
                         .alias("timestamp")))
-    out = spine.join(agg, [*keys, "timestamp"], "left")
+    # null-safe: a window without a site keeps its statistics
+    known = agg.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "timestamp"]], *[c for c in agg.columns if c not in {*keys, "timestamp"}])
+    on = F.col("timestamp") == F.col("_k_timestamp")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = spine.join(known, on, "left").select(*agg.columns)
     return (out.withColumn("num_scans", F.coalesce("num_scans", F.lit(0)).cast("long"))
                .withColumn("total_devices", F.coalesce("total_devices", F.lit(0)).cast("long")))
 

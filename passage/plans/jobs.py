@@ -20,11 +20,15 @@ from passage.sources import scans as scan_source
 
 def processing_job(spark: SparkSession, raw_path: str, out_path: str, cfg: Config, start=None, end=None,
                    capture_clean: bool = False, keys=DEFAULT_KEYS,
-                   glob: str | None = scan_source.SCAN_GLOB) -> dict:
+                   glob: str | None = scan_source.SCAN_GLOB, site_id: str | None = None) -> dict:
     """Read scan logs, build the window table and the ML dataset, write both
     (partitioned by site) with metadata; returns the output paths.
-    ``glob=None`` reads logs written by ``sinks.files.append_scans``."""
-    scans = scan_source.read_scans(spark, raw_path, start, end, glob=glob)
+    ``glob=None`` reads logs written by ``sinks.files.append_scans``;
+    ``site_id`` names the site of logs that carry none. Records without a
+    site are an error: no window could be attributed to them."""
+    scans = scan_source.read_scans(spark, raw_path, start, end, site_id=site_id, glob=glob)
+    if scans.where(F.col("site_id").isNull()).limit(1).count():
+        raise ValueError("scan records without site_id: pass site_id")
     win, ml = process_scans(scans, cfg, keys, capture_clean=capture_clean)
     files.write_dataset(win, f"{out_path}/windows")
     # the ML dataset is read back from storage: lineage is cut at the write
@@ -44,7 +48,7 @@ class TrainingResult:
 
 
 def training_job(spark: SparkSession, ml_path: str, models_path: str, cfg: Config,
-                 keys=DEFAULT_KEYS) -> TrainingResult:
+                 keys=DEFAULT_KEYS, val_how: str = "chronological") -> TrainingResult:
     """Fit the pattern model (all sites at once), evaluate it, fit the
     forecaster on each site's first ``train_fraction`` of rows, evaluate on
     the rest, save models and metrics."""
@@ -55,10 +59,10 @@ def training_job(spark: SparkSession, ml_path: str, models_path: str, cfg: Confi
     zcols = [f"{c}_z" for c in pm.features]
     z = patterns.apply_zscore(labelled, pm.scaler, pm.features, keys)
     quality = (patterns.cluster_quality(z, zcols, "cluster")
-               .join(patterns.silhouette_sq(z, zcols, "cluster").drop("n"), how="inner"))
+               .withColumn("silhouette_sq", patterns.silhouette_sq(z, zcols, "cluster").select("silhouette_sq").scalar()))
     profile = reports.group_profile(labelled, "cluster_label")
     tgt = features.split_flags(features.target(ml, cfg, keys), cfg, keys)
-    fc = forecast.fit_forecaster(tgt.where("is_train").drop("row_index", "is_train"), cfg, keys)
+    fc = forecast.fit_forecaster(tgt.where("is_train").drop("row_index", "is_train"), cfg, keys, val_how=val_how)
     test = fc.predict(tgt.where("NOT is_train").drop("row_index", "is_train"))
     fm = forecast.metrics(test, "avg_devices_future", "prediction")
     files.save_pattern_model(pm, f"{models_path}/patterns")

@@ -102,29 +102,14 @@ def q_sequences(spark, sf_dir):
 
 # ------------------------------------------------------------ model fits ----
 
-_MODELS: dict = {}
-
-
-def _memo(spark, kind: str, sf_dir: str, fit):
-    """Fitted models are reused within one Spark application (same inputs,
-    same model) so dependent queries do not refit."""
-    key = (spark.sparkContext.applicationId, kind, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = fit()
-    return _MODELS[key]
-
-
 def _forecaster(spark, sf_dir):
-    def fit():
-        d = features.split_flags(target1(spark, sf_dir), CFG1)
-        train = d.where(F.col("is_train")).drop("row_index", "is_train")
-        return forecast.fit_forecaster(train, CFG1)
-    return _memo(spark, "forecaster", sf_dir, fit)
+    d = features.split_flags(target1(spark, sf_dir), CFG1)
+    return forecast.fit_forecaster(d.where(F.col("is_train")).drop("row_index", "is_train"), CFG1)
 
 
 def _patterns1(spark, sf_dir):
-    return _memo(spark, "patterns1", sf_dir,
-                 lambda: patterns.fit_patterns(cyclic_features(ml1(spark, sf_dir)), CFG1))
+    return patterns.fit_patterns(cyclic_features(ml1(spark, sf_dir)), CFG1)
+
 
 @register("pattern_clusters")
 def q_pattern_clusters(spark, sf_dir):

@@ -36,7 +36,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 
 def write_one_row_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Metadata / metrics tables (few rows) as JSON lines."""
-    df.coalesce(1).write.mode(mode).json(path)
+    df.write.mode(mode).json(path)
 
 
 def save_pattern_model(model, path: str) -> None:
@@ -51,10 +51,15 @@ def save_pattern_model(model, path: str) -> None:
 
 
 def load_pattern_model(spark: SparkSession, path: str):
+    """Load a saved pattern model; a missing model raises ``FileNotFoundError``."""
+    from pyspark.errors import AnalysisException
     from pyspark.ml.clustering import GaussianMixtureModel
 
     from passage.operators.patterns import PatternModel
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no pattern model at {path}") from e
     return PatternModel(scaler=spark.read.parquet(f"{path}/scaler"),
                         gmm=GaussianMixtureModel.load(f"{path}/gmm"),
                         mapping={int(k): int(v) for k, v in meta["mapping"].items()},

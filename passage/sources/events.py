@@ -31,17 +31,12 @@ CLASSIC_EVENT_TYPES = ("click", "view")
 # the driver table's schema, so reads skip footer inference
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 SCHEMAS = {"events": EVENTS_SCHEMA}
-_TABLES: dict = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the (lazy) DataFrame is reused within one application."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _TABLES:
-        r = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-        _TABLES[key] = r.parquet(path)
-    return _TABLES[key]
+    """A driver table as it is now (a file or a folder of part files)."""
+    r = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def events_to_detections(events: DataFrame, salt: str = EVENTS_SALT) -> DataFrame:
@@ -53,7 +48,7 @@ def events_to_detections(events: DataFrame, salt: str = EVENTS_SALT) -> DataFram
     ts = F.col("ts").cast("timestamp")
     scan_id = F.floor(F.unix_micros(ts) / F.lit(SCAN_SECONDS * 1_000_000)).cast("long")
     classic = F.col("event_type").isin(*CLASSIC_EVENT_TYPES)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     rssi = (F.when(classic & (k % 10 == 0), F.lit(None).cast("int"))
             .otherwise(F.lit(-40) - (F.floor("value").cast("int") % 60)))
     return events.select(
@@ -79,7 +74,7 @@ SELECT CAST(user_id % {N_SITES} AS VARCHAR) AS site_id,
        CAST(floor(epoch_us(ts) / {SCAN_SECONDS * 1_000_000}) AS BIGINT) AS scan_id,
        sha256(CAST(user_id AS VARCHAR) || '{EVENTS_SALT}') AS mac_hash,
        CASE WHEN event_type IN ('click', 'view')
-                 AND CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN NULL
+                 AND TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN NULL
             ELSE -40 - (CAST(floor(value) AS INTEGER) % 60) END AS rssi,
        CASE WHEN event_type IN ('click', 'view') THEN 'classic' ELSE 'ble' END AS protocol,
        event_id AS arrival

@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from passage.operators import DEFAULT_KEYS
 
 from passage.schemas import SCAN, SCAN_WITH_CORRUPT
 from passage.session import ensure_utc
@@ -88,8 +91,9 @@ def stream_scans(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB,
     return r.json(path).where(_usable()).drop("_corrupt_record")
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """A processed dataset written by ``sinks.files.write_dataset``."""
+def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, keys=DEFAULT_KEYS) -> DataFrame:
+    """A processed dataset written by ``sinks.files.write_dataset``. The keys
+    are text: a site "007" in a folder's name stays "007"."""
     ensure_utc(spark)
     r = spark.read.format(fmt)
     if fmt == "csv":
@@ -97,7 +101,11 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=No
         r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
     elif schema is not None:
         r = r.schema(schema)
-    return r.load(path)
+    df = r.load(path)
+    if schema is None and any(t != "string" for c, t in df.dtypes if c in keys):
+        typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in df.schema.fields])
+        df = r.schema(typed).load(path)
+    return df
 
 
 __all__ = ["SCAN", "read_scans", "read_scans_raw", "corrupt_lines", "date_range", "stream_scans", "read_dataset"]

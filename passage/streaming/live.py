@@ -21,7 +21,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,7 +42,7 @@ def live_clean(scans: DataFrame, cfg: Config, log_empty: bool | None = None) ->
     return out if keep_empty else drop_empty_scans(out)
 
 
-TRANSIENT_STATE = "first_seen_us long, last_seen_us long"
+TRANSIENT_STATE = "first_seen_us long, last_seen_us long, seen_us array<long>"
 
 
 def _transient_fn(cfg: Config, out_cols: list[str]):
@@ -51,25 +53,37 @@ def _transient_fn(cfg: Config, out_cols: list[str]):
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
             return
-        us = pdf["timestamp"].astype("datetime64[us]").astype("int64")
-        pdf = pdf.assign(_us=us.values, _r=pdf["rssi"].fillna(-(1 << 30)))
-        order = ["_us", "_r"] + (["arrival"] if "arrival" in pdf.columns else [])
-        asc = [True, False] + ([True] if "arrival" in pdf.columns else [])
-        # one sighting per scan: strongest reading, then first arrival
-        pdf = pdf.sort_values(order, ascending=asc, kind="stable").drop_duplicates("_us", keep="first")
-        first, last = (state.get if state.exists else (None, None))
-        keep = []
-        for t in pdf["_us"].tolist():  # one device's sightings in this batch
-            if first is None or t - last > timeout_us:
-                first = t
-            keep.append(t - first <= threshold_us)
-            last = max(last, t) if last is not None else t
-        state.update((first, last))
-        state.setTimeoutTimestamp(int(last // 1000) + int(timeout_us // 1000))
-        out = pdf[keep]
+        pdf = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
+        first, last, seen = state.get if state.exists else (None, None, [])
+        us = pdf["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+        reading = pdf["rssi"].astype("float64").fillna(-np.inf).to_numpy()
+        arrival = pdf["arrival"].to_numpy() if "arrival" in pdf.columns else np.zeros(len(pdf))
+        # one sighting per scan: strongest reading of the batch, then first arrival; a scan
+        # that an earlier batch has passed on keeps that batch's reading
+        order = np.lexsort((arrival, -reading, us))
+        t = us[order]
+        keep = np.ones(len(t), bool)
+        keep[1:] = t[1:] != t[:-1]
+        keep &= ~np.isin(t, np.array(seen, dtype="int64"))
+        order, t = order[keep], t[keep]
+        if not len(t):
+            return
+        low = np.iinfo(np.int64).min
+        latest = np.maximum.accumulate(np.concatenate([[low if last is None else last], t]))
+        breaks = np.zeros(len(t), bool)
+        breaks[0] = first is None
+        breaks |= (latest[:-1] != low) & (t - np.where(latest[:-1] == low, t, latest[:-1]) > timeout_us)
+        at = np.maximum.accumulate(np.where(breaks, np.arange(len(t)), -1))
+        start = np.where(at >= 0, t[np.maximum(at, 0)], 0 if first is None else first)
+        last = int(latest[-1])
+        # scans a repeat could still arrive for before the state is evicted
+        recent = [int(x) for x in [*seen, *t.tolist()] if x >= last - timeout_us]
+        state.update((int(start[-1]), last, recent))
+        state.setTimeoutTimestamp(last // 1000 + timeout_us // 1000)
+        out = pdf.iloc[order[t - start <= threshold_us]]
         if len(out):
             yield out[out_cols]
 
@@ -115,11 +129,15 @@ def live_detection_windows(det: DataFrame, cfg: Config, watermark: str = "1 hour
                  .agg(F.count(F.lit(1)).alias("device_count")))
     return (per_scan.groupBy(*keys, F.window("scan", f"{h} hours").alias("w")).agg(*_stats())
                     .select(*keys, F.col("w.start").alias("timestamp"), "avg_devices", "std_devices",
-                            "min_devices", "max_devices", "total_devices", "num_scans"))
+                            "min_devices", "max_devices", "total_devices", "num_scans")
+                    .where(F.col("num_scans") >= F.lit(cfg.min_scans_per_window)))
 
 
 def live_sessions(det: DataFrame, cfg: Config, watermark: str = "6 hours", keys=DEFAULT_KEYS) -> DataFrame:
-    """Presence sessions closed by a silence longer than ``device_timeout``."""
+    """Presence sessions closed by a silence longer than ``device_timeout``.
+    Sessions are merged before the exchange, so a chatty device sends a row a
+    session and task instead of all its sightings."""
+    det.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     gap = f"{cfg.device_timeout} seconds"
     return (det.withWatermark("timestamp", watermark)
                .groupBy(*keys, "mac_hash", F.session_window("timestamp", gap).alias("s"))
@@ -159,17 +177,35 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, available_no
 
 
 def start_snapshot_refresh(windows_stream: DataFrame, score, out_path: str, name: str,
-                           interval: str = "60 seconds"):
+                           interval: str = "60 seconds", keys=DEFAULT_KEYS):
     """Every ``interval``: score the newest windows with ``score(batch_df)``
-    (e.g. ``snapshot.score_latest`` with fitted models) and overwrite the
-    snapshot table at ``out_path``."""
+    (e.g. ``snapshot.score_latest`` with fitted models) and renew those sites
+    in the snapshot table at ``out_path``; sites without news keep their row.
+    Each snapshot is first written whole to the shared folder, from where the
+    next one starts, so a failed overwrite loses nothing."""
     spark = windows_stream.sparkSession
     ckpt = scratch_path(spark, f"streams/{name}/checkpoint")
+    run = uuid.uuid4().hex[:12]
+    last: dict[str, str] = {}
 
     def refresh(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
-        score(batch).write.mode("overwrite").parquet(out_path)
+        session = batch.sparkSession
+        new = score(batch)
+        path = scratch_path(spark, f"streams/{name}/snapshots/{run}-{epoch_id}")
+        new.write.mode("overwrite").parquet(f"{path}-new")
+        new = session.read.schema(new.schema).parquet(f"{path}-new")
+        merged = new
+        try:  # after a restart the published table is the last snapshot
+            old = session.read.schema(new.schema).parquet(last.get("path", out_path))
+        except AnalysisException:
+            old = None
+        if old is not None:
+            merged = new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns))
+        merged.write.mode("overwrite").parquet(path)
+        session.read.schema(new.schema).parquet(path).write.mode("overwrite").parquet(out_path)
+        last["path"] = path
 
     return (windows_stream.writeStream.foreachBatch(refresh).option("checkpointLocation", ckpt)
             .trigger(processingTime=interval).start())

@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from passage.plans import registry
 from tests.conftest import SF_SMALL
 from tools.oracle_check import TABLES, digest
 
-FAST = [n for n in entry.oracle_sql() if not n.startswith(("forecast", "prediction", "pattern"))]
+FAST = [n for n in registry.oracle_sql() if not n.startswith(("forecast", "prediction", "pattern"))]
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +24,9 @@ def con():
 
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_sql_twin(spark, con, name):
-    sdf = entry.queries()[name](spark, SF_SMALL)
+    sdf = registry.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
-    res = con.execute(entry.oracle_sql()[name])
+    res = con.execute(registry.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
