@@ -42,7 +42,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
 # costs (negative natural logarithms) of the channel's arcs
-KEEP, SUBSTITUTE, DROP_SIGN, DROP_MARK, DROP_REPEAT = 0.0, 1.0, 6.0, 0.5, 0.7
+KEEP, SUBSTITUTE, DROP_SIGN, DROP_MARK, DROP_REPEAT = 0.0, 1.0, 12.0, 0.5, 0.7
 #: Runs of this many equal letters, or of one-letter words, count as disguise.
 RUN = 3
 #: A longer written word is decoded in consecutive pieces.
