@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from passage.llm._common import LOWER, SPACE, utf8
 
 #: Units kept in a worker process; beyond that the memory is emptied and filled anew.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 700_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
