@@ -14,9 +14,12 @@
    one of BANDS buckets except for about 6 pairs in 100,000.
 4. No bucket is expanded into pairs: its most central class (whose buckets
    hold most classes) is its hub. Members are compared with the hubs of their
-   buckets and with the hubs of those hubs. Members that no hub explains go
-   through further rounds with hubs of their own, until a round has no bucket
-   left that could join different components.
+   buckets and with the hubs of those hubs, and links make components. Then
+   rounds follow: of the members outside the largest component of a bucket the
+   most central ones (1, then 8, 64, ... a bucket) are compared with every
+   member of another component and retire from the bucket. Rounds end when no
+   bucket holds two components, so every pair of a bucket was compared or is
+   in one component.
 5. A candidate whose signatures agree on under SCREEN of the positions is
    dropped (seven standard deviations below 0.8); the others are verified on
    the full multisets. Links make components by minimum labels with pointer
@@ -31,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +46,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 POSITIONS = BANDS * ROWS
 SCREEN = 0.6
-#: Rounds with new hubs for members that no earlier hub explains.
-MORE_ROUNDS = 3
+#: Growth of the hubs a bucket gives from round to round, and parts in which a bucket meets them.
+MORE_HUBS = 8
+SALT = 16
 SLICE = 1 << 20
 #: Pairs in an Arrow batch that carries both multisets.
 PAIR_ROWS = 64
@@ -215,7 +219,32 @@ def _verify(threshold: float):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _prefix(c: str):
+    """The first 64 bits of a node as an integer: the key of its filter."""
+    return F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long").alias("key")
+
+
+def _node_filter(nodes: DataFrame):
+    """A broadcast filter, of bounded size, that holds the distinct ``nodes``."""
+    return nodes.sparkSession.sparkContext.broadcast(bloom_filter(nodes.select(_prefix("node")), nodes.count()))
+
+
+def bags_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and bag (its multiset of shingles) of the distinct ``nodes``: a written table."""
+    # copies of a text give equal rows: one is kept, and rows the filter let through by chance meet no pair
+    return materialise(texts.mapInArrow(_payloads(_node_filter(nodes)), "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
+
+
+def _wanted(bloom):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                key = np.frombuffer(b"".join(x[:8] for x in b.column("node").to_pylist()), ">u8").astype(np.uint64)
+                yield b.filter(pa.array(in_bloom(bloom.value, key)))
+    return run
+
+
+def _links(pairs: DataFrame, reps: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y) of nodes whose texts are similar enough: a written table."""
     spark = pairs.sparkSession
     sig = reps.select("node", "sig")
@@ -223,13 +252,11 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float
     y = sig.select(F.col("node").alias("y"), F.col("sig").alias("y_sig"))
     near = materialise(pairs.join(x, "x").join(y, "y").select("x", "y", "x_sig", "y_sig").mapInArrow(_screen, "x binary, y binary"), "pairs")
     want = near.select(F.col("x").alias("node")).union(near.select(F.col("y").alias("node"))).distinct()
-    words = bloom_filter(want.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("key")), want.count())
-    bloom = spark.sparkContext.broadcast(words)  # of bounded size
-    # copies of a text give equal rows: one is kept, and rows the filter let through by chance meet no pair
-    bags = materialise(texts.mapInArrow(_payloads(bloom), "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
-    xb = bags.select(F.col("node").alias("x"), F.col("bag").alias("x_bag"))
-    yb = bags.select(F.col("node").alias("y"), F.col("bag").alias("y_bag"))
+    bloom = _node_filter(want)
     with arrow_rows(spark, PAIR_ROWS):
+        mine = bags.mapInArrow(_wanted(bloom), "node binary, bag binary")
+        xb = mine.select(F.col("node").alias("x"), F.col("bag").alias("x_bag"))
+        yb = mine.select(F.col("node").alias("y"), F.col("bag").alias("y_bag"))
         return materialise(near.join(xb, "x").join(yb, "y").select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(threshold), "x binary, y binary"), "links")
 
 
@@ -257,43 +284,62 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return materialise(rows.join(score, "node").select("bucket", "node", "score"), "members")
 
 
-def _hubs(shared: DataFrame) -> DataFrame:
-    """(node, hub): every member with the most central member of each of its buckets."""
-    top = shared.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score"))
-    return materialise(shared.select("bucket", "node").join(top, "bucket").where("node != hub").groupBy("node", "hub").agg(F.max("hub_score").alias("hub_score")), "hubs")
+def _tops(shared: DataFrame) -> DataFrame:
+    """bucket, hub and hub_score: the most central member of each bucket, a written table."""
+    top = shared.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
+    return materialise(top.select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score")), "tops")
+
+
+def _retire(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The members without the hubs (bucket, hub), of buckets that keep two or more."""
+    left = members.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+    several = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return materialise(left.join(several, "bucket").select("bucket", "node", "score"), "members")
 
 
-def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILARITY, more_rounds: int = MORE_ROUNDS) -> DataFrame:
+def _apart(members: DataFrame, labels: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members outside the largest component of their bucket the ``hubs`` most central ones of each
+    bucket (bucket, hub), and their pairs (x, y) with the bucket's members of other components."""
+    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "label"), "placed")
+    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
+    rest = placed.join(main, "bucket").where("label != main")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))
+    mine = materialise(rest.withColumn("rank", rank).where(F.col("rank") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
+    # a large bucket meets its hubs in parts
+    spread = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    other = placed.select("bucket", "node", "label", F.pmod(F.hash("node"), F.lit(SALT)).alias("salt"))
+    pairs = spread.join(other, ["bucket", "salt"]).where("label != hub_label")
+    return mine, pairs.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct()
+
+
+def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """node and label of all classes that have a near duplicate; ``sketch`` is a written table of ``sketches(docs)``."""
-    texts = docs.select(text_or_empty().alias("text"))
     reps = materialise(sketch.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "reps")
-    shared = _shared(reps.select("node", "sig").mapInArrow(_bands, "node binary, bucket long"))
-    hubs = _hubs(shared)
+    members = _shared(reps.select("node", "sig").mapInArrow(_bands, "node binary, bucket long"))
+    bags = bags_of(members.select("node").distinct(), docs.select(text_or_empty().alias("text")))
+    tops = _tops(members)
+    hubs = materialise(members.select("bucket", "node").join(tops, "bucket").where("node != hub").groupBy("node", "hub").agg(F.max("hub_score").alias("hub_score")), "hubs")
     best = materialise(hubs.groupBy("node").agg(F.max(F.struct("hub_score", "hub")).alias("b")).select(F.col("node").alias("h"), F.col("b.hub").alias("next")), "best")
     pairs = hubs.select(F.col("node").alias("x"), F.col("hub").alias("y"))
     for _ in range(2):  # hubs of hubs: members of a family meet its centre
         further = pairs.join(best, F.col("y") == F.col("h")).where("x != next").select("x", F.col("next").alias("y"))
         pairs = pairs.union(further).distinct()
-    links = _links(materialise(pairs, "pairs"), reps, texts, threshold)
-    tried = pairs
+    tried = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    links = _links(tried, reps, bags, threshold)
     labels = components(links)
-    for _ in range(more_rounds):
-        placed = materialise(shared.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
-        # members outside the largest component of their bucket
-        parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
-        rest = placed.join(main, "bucket").where("label != main").select("bucket", "node")
-        new = _hubs(_shared(rest)).select(F.col("node").alias("x"), F.col("hub").alias("y"))
-        new = materialise(new.join(tried.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
-        if not new.limit(1).count():
-            break
-        found = _links(new, reps, texts, threshold)
+    members, more = _retire(members, tops), 1
+    while True:
+        mine, pairs = _apart(members, labels, more)
+        if not mine.limit(1).count():
+            return labels
+        new = materialise(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+        found = _links(new, reps, bags, threshold)
+        if found.limit(1).count():
+            links = materialise(links.union(found), "links")
+            labels = components(links)
         tried = materialise(tried.select("x", "y").union(new.select("x", "y")), "tried")
-        if not found.limit(1).count():
-            break
-        links = materialise(links.union(found), "links")
-        labels = components(links)
-    return labels
+        members, more = _retire(members, mine), more * MORE_HUBS
 
 
 def clusters(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -237,6 +237,24 @@ def test_near_duplicates_equal_brute_force(spark, docs_of):
     assert got[2001].class_id == 2000 and got[2004].class_id == 2004
 
 
+def test_links_between_members_no_hub_explains(spark, docs_of):
+    """Many pairs of near copies around one text: each pair shares buckets with all others, which are just not similar."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(120):
+        t = list(base)
+        for at in rng.choice(40, 4, replace=False):
+            t[at * 5] = f"p{k}x{at}"
+        u = list(t)
+        u[int(rng.choice(200))] = f"q{k}"
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(u))]
+    want = _clusters(rows)
+    assert len(set(want.values())) > 60
+    got = {r.doc_id: r.cluster_id for r in near_dup.clusters(docs_of(rows)).collect()}
+    assert got == want
+
+
 def test_keep_one_of_each_group(spark, docs_of):
     text = " ".join(f"t{i}" for i in range(60))
     rows = [(5, text), (3, text), (3, text), (9, text + " more"), (10, "other " * 3 + "words here"), (11, None), (12, ""), (None, "other " * 3 + "words here")]
