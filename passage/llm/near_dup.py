@@ -294,22 +294,44 @@ def _retire(members: DataFrame, hubs: DataFrame) -> DataFrame:
     """The members without the hubs (bucket, hub), of buckets that keep two or more."""
     left = members.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
     several = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return materialise(left.join(several, "bucket").select("bucket", "node", "score"), "members")
+    return materialise(left.join(several, "bucket").select(*members.columns), "members")
 
 
-def _apart(members: DataFrame, labels: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+def _items(batches):
+    """node, shingle and count of every shingle of the bags."""
+    for b in batches:
+        for node, raw in zip(b.column("node").to_pylist(), b.column("bag").to_pylist()):
+            item, count = _bag(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([node] * len(item), pa.binary()), pa.array(item.astype(np.int64)), pa.array(count.astype(np.int64))], names=["node", "item", "n"])
+
+
+def _reach(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The members (bucket, node, score) with ``own``, how many of a text's shingles no other member has, and ``common``,
+    how many another has. Two members overlap in at most the smaller ``common``; a text too much its own is left out."""
+    bloom = _node_filter(members.select("node").distinct())
+    with arrow_rows(members.sparkSession, PAIR_ROWS):
+        items = materialise(bags.mapInArrow(_wanted(bloom), "node binary, bag binary").mapInArrow(_items, "node binary, item long, n long"), "items")
+    alone = items.groupBy("item").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.sum("n").alias("n")).where("k = 1").groupBy("node").agg(F.sum("n").alias("own"))
+    size = items.groupBy("node").agg(F.sum("n").alias("size")).join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"), "size")
+    able = size.where(F.col("size") - F.col("own") >= threshold * F.col("size") - 1e-9).select("node", "own", (F.col("size") - F.col("own")).alias("common"))
+    return materialise(members.join(able, "node").select("bucket", "node", "score", "own", "common"), "reach")
+
+
+def _apart(members: DataFrame, labels: DataFrame, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of the members outside the largest component of their bucket the ``hubs`` most central ones of each
-    bucket (bucket, hub), and their pairs (x, y) with the bucket's members of other components."""
-    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "label"), "placed")
+    bucket (bucket, hub), and their pairs (x, y) with the bucket's members of other components that can reach the threshold."""
+    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "own", "common", "label"), "placed")
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
     rest = placed.join(main, "bucket").where("label != main")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))
-    mine = materialise(rest.withColumn("rank", rank).where(F.col("rank") <= hubs).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
+    mine = materialise(rest.withColumn("rank", rank).where(F.col("rank") <= hubs).select(
+        "bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("own").alias("hub_own"), F.col("common").alias("hub_common")), "hubs")
     # a large bucket meets its hubs in parts
     spread = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    other = placed.select("bucket", "node", "label", F.pmod(F.hash("node"), F.lit(SALT)).alias("salt"))
-    pairs = spread.join(other, ["bucket", "salt"]).where("label != hub_label")
+    other = placed.select("bucket", "node", "label", "own", "common", F.pmod(F.hash("node"), F.lit(SALT)).alias("salt"))
+    able = F.least("common", "hub_common") >= threshold * (F.greatest("common", "hub_common") + F.col("own") + F.col("hub_own")) - 1e-9
+    pairs = spread.join(other, ["bucket", "salt"]).where((F.col("label") != F.col("hub_label")) & able)
     return mine, pairs.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct()
 
 
@@ -328,9 +350,9 @@ def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILAR
     tried = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     links = _links(tried, reps, bags, threshold)
     labels = components(links)
-    members, more = _retire(members, tops), 1
+    members, more = _reach(_retire(members, tops), bags, threshold), 1
     while True:
-        mine, pairs = _apart(members, labels, more)
+        mine, pairs = _apart(members, labels, more, threshold)
         if not mine.limit(1).count():
             return labels
         new = materialise(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
