@@ -17,7 +17,8 @@
    buckets and with the hubs of those hubs, and links make components. Then
    rounds follow: of the members outside the largest component of a bucket the
    most central ones (1, then 8, 64, ... a bucket) are compared with every
-   member of another component and retire from the bucket. Rounds end when no
+   member of another component and retire from the bucket. Pairs are left out
+   only by an upper bound of their overlap. Rounds end when no
    bucket holds two components, so every pair of a bucket was compared or is
    in one component.
 5. A candidate whose signatures agree on under SCREEN of the positions is
@@ -49,6 +50,8 @@ SCREEN = 0.6
 #: Growth of the hubs a bucket gives from round to round, and parts in which a bucket meets them.
 MORE_HUBS = 8
 SALT = 16
+#: Groups of shingles, by hash, whose counts bound the overlap of two texts.
+GROUPS = 64
 SLICE = 1 << 20
 #: Pairs in an Arrow batch that carries both multisets.
 PAIR_ROWS = 64
@@ -306,31 +309,38 @@ def _items(batches):
 
 
 def _reach(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The members (bucket, node, score) with ``own``, how many of a text's shingles no other member has, and ``common``,
-    how many another has. Two members overlap in at most the smaller ``common``; a text too much its own is left out."""
+    """The members (bucket, node, score) with ``size``, the shingles of a text, and ``parts``: how many of them, in GROUPS
+    groups by hash, another member has too. Two members overlap at most in the smaller numbers of each group. A text
+    with too few shingles in common with all others is left out."""
     bloom = _node_filter(members.select("node").distinct())
     with arrow_rows(members.sparkSession, PAIR_ROWS):
         items = materialise(bags.mapInArrow(_wanted(bloom), "node binary, bag binary").mapInArrow(_items, "node binary, item long, n long"), "items")
-    alone = items.groupBy("item").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.sum("n").alias("n")).where("k = 1").groupBy("node").agg(F.sum("n").alias("own"))
-    size = items.groupBy("node").agg(F.sum("n").alias("size")).join(alone, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"), "size")
-    able = size.where(F.col("size") - F.col("own") >= threshold * F.col("size") - 1e-9).select("node", "own", (F.col("size") - F.col("own")).alias("common"))
-    return materialise(members.join(able, "node").select("bucket", "node", "score", "own", "common"), "reach")
+    group = F.pmod("item", F.lit(GROUPS)).cast("int").alias("g")
+    several = items.groupBy("node", group).agg(F.sum("n").alias("n"))
+    alone = items.groupBy("item").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.sum("n").alias("n")).where("k = 1").groupBy("node", group).agg(F.sum("n").alias("own"))
+    counts = several.join(alone, ["node", "g"], "left").select("node", "g", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    # at most GROUPS rows a node
+    vector = counts.groupBy("node").agg(F.sum("n").alias("size"), F.sum("common").alias("common"), F.map_from_entries(F.collect_list(F.struct("g", "common"))).alias("m"))
+    able = vector.where(F.col("common") >= threshold * F.col("size") - 1e-9).select(
+        "node", "size", F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0)).cast("int")).alias("parts"))
+    return materialise(members.join(able, "node").select("bucket", "node", "score", "size", "parts"), "reach")
 
 
 def _apart(members: DataFrame, labels: DataFrame, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of the members outside the largest component of their bucket the ``hubs`` most central ones of each
     bucket (bucket, hub), and their pairs (x, y) with the bucket's members of other components that can reach the threshold."""
-    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "own", "common", "label"), "placed")
+    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "size", "parts", "label"), "placed")
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
     rest = placed.join(main, "bucket").where("label != main")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))
     mine = materialise(rest.withColumn("rank", rank).where(F.col("rank") <= hubs).select(
-        "bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("own").alias("hub_own"), F.col("common").alias("hub_common")), "hubs")
+        "bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("parts").alias("hub_parts")), "hubs")
     # a large bucket meets its hubs in parts
     spread = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    other = placed.select("bucket", "node", "label", "own", "common", F.pmod(F.hash("node"), F.lit(SALT)).alias("salt"))
-    able = F.least("common", "hub_common") >= threshold * (F.greatest("common", "hub_common") + F.col("own") + F.col("hub_own")) - 1e-9
+    other = placed.select("bucket", "node", "label", "size", "parts", F.pmod(F.hash("node"), F.lit(SALT)).alias("salt"))
+    overlap = F.aggregate(F.zip_with("parts", "hub_parts", lambda p, q: F.least(p, q)), F.lit(0), lambda total, n: total + n)
+    able = overlap * (1 + threshold) >= threshold * (F.col("size") + F.col("hub_size")) - 1e-6
     pairs = spread.join(other, ["bucket", "salt"]).where((F.col("label") != F.col("hub_label")) & able)
     return mine, pairs.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct()
 
