@@ -95,6 +95,16 @@ def q_windows_1h(spark, sf_dir):
     return present(batch.window_table(spark, sf_dir, CFG1))
 
 
+CFG1_FULL = CFG1.with_(min_scans_per_window=4)  # only hours in which all four scans saw a device
+
+
+@register("window_counts_1h_min_scans", _with(sq.base_ctes(CFG1_FULL), sq.window_cte("win", CFG1_FULL, 1)) + f"""
+{sq.with_time("win")}""",
+          doubles=sq.WINDOW_DOUBLES)
+def q_windows_min_scans(spark, sf_dir):
+    return present(batch.window_table(spark, sf_dir, CFG1_FULL))
+
+
 @register("window_counts_1h_with_empty", _with(sq.base_ctes(CFG1), sq.window_cte("win", CFG1, 1).replace(
     f"HAVING count(*) >= {CFG1.min_scans_per_window}", "")) + """,
 bounds AS (SELECT site_id, min(timestamp) AS lo, max(timestamp) AS hi FROM win GROUP BY site_id),
