@@ -363,6 +363,20 @@ def q_retrain(spark, sf_dir):
     return present(declared.retrain_due(ml1(spark, sf_dir), CFG1))
 
 
+# sites last trained 0, 4, 8 and 12 days before their newest row: those of 7 days and more are due
+CFG1_DUE = CFG1.with_(retrain_min_samples=100)  # the default of 1,000 hides the age test on small tables
+
+
+@register("retrain_gate_trained", _with(*ML1_SQL) + f"""
+SELECT *, samples >= {CFG1_DUE.retrain_min_samples} AND epoch_us(latest) - epoch_us(last_trained) >= {CFG1_DUE.retrain_every_days} * 86400000000 AS retrain_due
+FROM (SELECT site_id, count(*) AS samples, max(timestamp) AS latest,
+             max(timestamp - 4 * CAST(right(CAST(site_id AS VARCHAR), 1) AS INTEGER) * INTERVAL 1 DAY) AS last_trained FROM ml GROUP BY site_id) t""")
+def q_retrain_trained(spark, sf_dir):
+    days = F.substring(F.col("site_id").cast("string"), -1, 1).cast("int") * 4
+    d = ml1(spark, sf_dir).withColumn("trained", F.timestamp_micros(F.unix_micros("timestamp") - days.cast("long") * 86_400_000_000))
+    return present(declared.retrain_due(d, CFG1_DUE, last_trained="trained"))
+
+
 @register("retained_windows", _with(*WIN4_SQL) + """
 SELECT * EXCLUDE (now) FROM (SELECT *, max(timestamp) OVER (PARTITION BY site_id) AS now FROM win) t
 WHERE timestamp >= now - INTERVAL 7 DAY""", doubles=W)
