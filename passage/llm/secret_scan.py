@@ -1,10 +1,16 @@
 """Secret scan: fixed patterns and a token-efficiency test.
 
 Natural strings of a language take few tokens for their length, random ones
-many. A run of 20 or more key characters whose characters per token under a
-public byte-level vocabulary are at most ``RANDOM_AT`` is reported as
-``random``, unless it is a known digest (hexadecimal of a digest's length), a
-UUID or an identifier (words, joined or in camel case, with little else).
+many. A run of 20 or more key characters is reported as ``random`` if its
+lowest ratio of characters to tokens under a public byte-level vocabulary is
+at most ``RANDOM_AT``. The ratio is taken of the run, of its parts between
+separators and of every window of 20 characters of a longer part (a token cut
+by a window's edge counts by its share), so a key behind a path or a name
+isn't averaged away; windows across separators count if they are mixed
+(lower case, upper case and digits) and hold no word. Known digests
+(hexadecimal of a digest's length) and UUIDs are cut out of a run first; the
+ratio of the run as a whole doesn't count if it is an identifier, i.e. if
+words the vocabulary knows make up most of it.
 
 Edge cases: null and empty texts have no spans; overlapping spans of
 different kinds are all kept; repeated rows get equal results; an empty table
@@ -46,9 +52,13 @@ PIECE = 4096
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 # lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 (fixed values)
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
-_HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
-_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}")
+_UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+# known strings, standing by themselves between separators
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:%s|%s)(?![A-Za-z0-9])" % (_UUID, "|".join("[0-9a-fA-F]{%d}" % n for n in DIGEST_CHARS)))
+_SOLID = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: An identifier's letters and digits are words to this share.
+WORDS_SHARE = 0.75
 
 
 class TokenTest:
@@ -65,23 +75,59 @@ class TokenTest:
         n = sum(len(self.encoding.encode_ordinary(run[a:a + PIECE])) for a in range(0, len(run), PIECE))
         return len(run) / max(n, 1)
 
+    def upto(self, run: str) -> np.ndarray:
+        """Tokens before each character of an ASCII run and at its end, each token spread evenly over its characters."""
+        size = np.array([len(self.encoding.decode_single_token_bytes(t)) for a in range(0, len(run), PIECE)
+                         for t in self.encoding.encode_ordinary(run[a:a + PIECE])], np.int64)
+        return np.concatenate([[0.0], np.cumsum(np.repeat(1 / size, size))])
+
     def random(self, run: str) -> bool:
-        if excluded(run):
+        return any(self._random(rest) for rest in _KNOWN.split(run) if len(rest) >= RANDOM_CHARS)
+
+    def _random(self, run: str) -> bool:
+        if self.ratio(run) <= RANDOM_AT and not self.identifier(run):
+            return True
+        if len(run) <= RANDOM_CHARS:
+            return False
+        upto = self.upto(run)
+        dense = upto[RANDOM_CHARS:] - upto[:-RANDOM_CHARS] >= RANDOM_CHARS / RANDOM_AT - 1e-9
+        if not dense.any():  # a longer part is no denser than its densest window
+            return False
+        words = np.zeros(len(run) + 1, np.int64)  # letters of words before each character
+        solid = np.zeros(len(run) + 1, np.int64)
+        lower, upper, digit = (np.concatenate([[0], np.cumsum([f(c) for c in run])]) for f in (str.islower, str.isupper, str.isdigit))
+        for m in _SOLID.finditer(run):
+            solid[m.start() + 1:m.end() + 1] = 1
+            for w in _WORD.finditer(m[0]):
+                if self.word(w[0], 4):
+                    words[m.start() + w.start() + 1:m.start() + w.end() + 1] = 1
+        words, solid = np.cumsum(words), np.cumsum(solid)
+
+        def inside(count):
+            return count[RANDOM_CHARS:] - count[:-RANDOM_CHARS]
+        mixed = (inside(lower) > 0) & (inside(upper) > 0) & (inside(digit) > 0)
+        return bool((dense & ((inside(solid) == RANDOM_CHARS) | (mixed & (inside(words) == 0)))).any())
+
+    def word(self, part: str, least: int = 1) -> bool:
+        """Letters the vocabulary knows as a word of a text: one token, or few for their number in every window."""
+        if len(part) < least:
+            return False
+        plain = " " + part.lower()
+        if len(part) <= 3:
+            return len(self.encoding.encode_ordinary(plain)) == 1
+        upto = self.upto(plain)
+        if len(part) / round(float(upto[-1])) <= RANDOM_AT:
             return False
-        return self.ratio(run) <= RANDOM_AT
-
-
-def excluded(run: str) -> bool:
-    """Known digests, UUIDs, identifiers and runs of one character class."""
-    if _UUID.fullmatch(run) or (len(run) in DIGEST_CHARS and _HEX_ONLY.fullmatch(run)):
-        return True
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) and not (run.upper() != run != run.lower()):
-        return True  # letters of one case, or no letters at all
-    if len(set(run)) < 8:
-        return True
-    words = [p for part in re.split(r"[+/_=-]+", run) if part for p in _PART.findall(part)]
-    long = sum(len(w) for w in words if w.isalpha() and len(w) >= 4)
-    return long >= 0.75 * len(run)
+        return len(part) <= RANDOM_CHARS or float((upto[RANDOM_CHARS:] - upto[:-RANDOM_CHARS]).max()) < RANDOM_CHARS / RANDOM_AT
+
+    def identifier(self, run: str) -> bool:
+        """Words, joined by separators or in camel case, with little else. Short words count between separators only."""
+        known = total = 0
+        for part in _SOLID.findall(run):
+            total += len(part)
+            pieces = _WORD.findall(part)
+            known += sum(len(w) for w in pieces if self.word(w, 1 if w == part else 4))
+        return total > 0 and known >= WORDS_SHARE * total
 
 
 def base_spans(text: str, needs: dict[str, bool]) -> list[Span]:

@@ -140,6 +140,22 @@ def test_random_strings_are_found_and_known_ones_are_not(spark, docs_of):
     assert all(got[20 + i] == 0 for i in range(len(plain)))
 
 
+def test_random_parts_of_one_case_and_behind_paths_are_found(spark, docs_of):
+    rng = np.random.default_rng(2)
+
+    def keys(chars, before="", after=""):
+        return [before + "".join(rng.choice(list(chars), 32)) + after for _ in range(20)]
+    lower, path = "abcdefghijklmnopqrstuvwxyz", "/home/administrator/configuration/production/credentials/"
+    mixed = lower + lower.upper() + "0123456789"
+    found = (keys(lower) + keys(lower.upper()) + keys(mixed, path) + keys(mixed + "+/", path) + keys(lower, "administratorconfiguration")
+             + keys(mixed, "database_connection_password=", "_production"))
+    plain = [path, path + "da39a3ee5e6b4b0d3255bfef95601890afd80709", "id=550e8400-e29b-41d4-a716-446655440000", "MAX_RETRY_COUNT_DEFAULT_VALUE",
+             "CANNOT_INFER_EMPTY_SCHEMA", "getUserAccountInformationFromDatabase", "Rechtsschutzversicherungsgesellschaften", "=" * 40]
+    got = {r.doc_id: r.n_random for r in _scan_secrets(docs_of(list(enumerate([f"see {w} end" for w in found + plain])))).collect()}
+    assert all(sum(got[i] for i in range(a, a + 20)) >= 19 for a in range(0, len(found), 20))
+    assert [p for i, p in enumerate(plain) if got[len(found) + i]] == []
+
+
 def test_secrets_odd_rows(docs_of):
     got = _scan_secrets(docs_of(ODD)).collect()
     assert len(got) == len(ODD)
