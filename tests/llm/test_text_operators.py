@@ -40,6 +40,25 @@ def test_disguised_words_are_restored(tox):
     assert toxicity.restore_text("good feel 1234 all", costs) == "good feel 1234 all"
 
 
+def test_disguises_are_left_to_the_costs(tox):
+    costs = tox[2]
+    for noisy, plain in [("iiddiioott", "idiot"), ("idioot", "idiot"), ("i - d - i - o - t", "idiot"), ("id io t", "idiot"), ("st upid", "stupid"),
+                         ("i d i ot", "idiot"), ("i-d i-o t", "idiot"), ("l o - s e r", "loser")]:
+        assert toxicity.restore_text(f"the {noisy} is", costs) == f"the {plain} is", noisy
+    assert toxicity.restore_text("the @$$ is", costs) != "the @ is"
+    for plain in ("good feel 1234 all", "+1 $100 192.168.1.1 455", "to day in the of it", "a of to la is"):
+        assert toxicity.restore_text(plain, costs) == plain
+
+
+def test_letters_that_stand_twice_cost_what_the_lattice_says(tox):
+    costs, rng = tox[2], np.random.default_rng(3)
+    words = ["".join(c * int(rng.integers(1, 3)) for c in rng.choice(list("idotler"), 6)) for _ in range(200)]
+    words = [w for w in words if not toxicity._REPEAT.search(w)]
+    same = toxicity.Restorer(costs)._plain([w.encode() for w in words])
+    for w, keep in zip(words, same):
+        assert keep == (toxicity.kept(w, costs) - toxicity._cheapest(w, costs)[0] <= toxicity.DOUBLED), w
+
+
 def test_viterbi_equals_enumeration(tox):
     costs = tox[2]
     for word in ("l0s3r", "a4b", "s.c.um", "$oo0n"):
