@@ -1,12 +1,15 @@
 """Exact top-k inner products by a Voronoi join.
 
 1. Vectors become integers; pivots are the ``_pivots(n)`` vectors with the
-   smallest id hashes, and every vector joins the cell of its nearest pivot.
+   smallest id hashes, one an id; every vector joins the cell of its nearest
+   pivot.
 2. Cell summaries (rows, largest distance to the pivot) bound all scores:
    q.x <= q.p + |q| * radius for x in the cell of p. The pivots are vectors of
    the table, so the k+1 highest of q's scores with them bound q's k-th best
    from below (k+1, as one may be the query itself); cells that fill up k+1
-   rows by their lower bounds q.p - |q| * radius do the same.
+   rows by their lower bounds q.p - |q| * radius do the same. Where the
+   query's id is repeated, k + its number of rows are filled, and pivots of
+   its own id don't count (pivots have distinct ids).
 3. Queries are grouped by cell into parts of at most ``QUERY_ROWS``; a part
    needs the cells whose upper bound reaches some query's lower bound, and
    only those are replicated to it, in chunks of about ``CHUNK_ROWS`` by hash.
@@ -98,8 +101,8 @@ def _nearest(pivots: np.ndarray):
     return run
 
 
-def _needs(pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray, k: int):
-    """Which cells each query needs."""
+def _needs(pivots: np.ndarray, ids: np.ndarray, rows: np.ndarray, radius: np.ndarray, k: int):
+    """Which cells each query needs; ``ids`` are the pivots' and ``own`` the number of rows with the query's id."""
     p = pivots.astype(np.float64)
     used = rows > 0
 
@@ -112,11 +115,12 @@ def _needs(pivots: np.ndarray, rows: np.ndarray, radius: np.ndarray, k: int):
             slack = 1e-6 * (np.abs(dot) + norm * radius) + 1e-3  # rounding never loses a cell
             upper, lower = dot + norm * radius + slack, np.where(used, dot - norm * radius - slack, -np.inf)
             order = np.argsort(-lower, axis=1)
-            filled = np.cumsum(rows[order], axis=1) > k
+            filled = np.cumsum(rows[order], axis=1) >= k + np.asarray(b.column("own"))[:, None]
             at = filled.argmax(1)
             bound = np.where(filled.any(1), np.take_along_axis(lower, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], -np.inf)
-            if len(p) > k:
-                bound = np.maximum(bound, np.partition(dot, -(k + 1), axis=1)[:, -(k + 1)] - 1e-3)
+            if len(p) >= k:
+                other = np.where(np.asarray(b.column("id"))[:, None] == ids, -np.inf, dot)
+                bound = np.maximum(bound, np.partition(other, -k, axis=1)[:, -k] - 1e-3)
             need = used & (upper >= bound[:, None])
             part = np.asarray(b.column("part"))
             for q in np.unique(part):
@@ -162,7 +166,8 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     schema = "query_id long, vec_id long, score long"
     vectors = materialise(integer_vectors(table, id_col, vec_col, scale), "vectors")
     n = vectors.count()
-    first = vectors.orderBy(F.xxhash64("id"), "id", "vec").limit(_pivots(n)).collect()  # at most MAX_PIVOTS rows
+    chosen = [r.id for r in vectors.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(_pivots(n)).collect()]  # at most MAX_PIVOTS ids
+    first = vectors.where(F.col("id").isin(chosen)).groupBy("id").agg(F.min("vec").alias("vec")).orderBy("id").collect()
     width = (vectors.agg(F.max(F.length("vec"))).first()[0] or 0) // 8
     if not n or not width:
         empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -184,9 +189,9 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     spread = F.array(*[F.lit(int(x)) for x in width_of])[F.col("cell")]
     part = (base + F.pmod(F.xxhash64("id"), spread)).cast("long")
     # one answer for an id: the row with the smallest vector
-    queries = cells.where(is_query).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("v")).select("id", "v.vec", "v.cell")
+    queries = cells.where(is_query).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("v"), F.count("*").alias("own")).select("id", "v.vec", "v.cell", "own")
     queries = materialise(queries.withColumn("part", part), "queries")
-    need = queries.mapInArrow(_needs(pivots, rows, radius, k), "part long, cell int").distinct()
+    need = queries.mapInArrow(_needs(pivots, np.array([r.id for r in first], np.int64), rows, radius, k), "part long, cell int").distinct()
     chunks = max(1, -(-n // chunk_rows))
     chunk = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(chunks))
     there = cells.join(need, "cell").select("part", chunk.alias("chunk"), "id", "vec")

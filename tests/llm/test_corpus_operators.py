@@ -326,6 +326,26 @@ def test_top_k_equals_brute_force(spark):
         assert rows == [(n + 1, int(ids[j]), int(s[j])) for n, j in enumerate(order)]
 
 
+def test_top_k_of_repeated_ids_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(6, 16))
+    vecs = [(int(i), (centre[i % 6] + 0.1 * rng.normal(size=16)).tolist()) for i in range(900)]
+    asked = [r.id for r in spark.range(900).orderBy(F.xxhash64("id")).limit(3).collect()]  # ids that are pivots
+    for q in asked:                                                           # longer vectors, which are no answers to their own id
+        vecs = [v for v in vecs if v[0] != q] + [(q, (4 * centre[q % 6]).tolist())] * 8
+    table = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    x = np.floor(256 * np.array([v for _, v in vecs])).astype(np.int64)
+    ids = np.array([i for i, _ in vecs])
+    got = collections.defaultdict(list)
+    for r in knn.top_k(table, F.col("id").isin(asked), query_rows=10, chunk_rows=200).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(asked)
+    for q, rows in got.items():
+        s = x @ min((x[j] for j in np.flatnonzero(ids == q)), key=lambda v: v.astype("<i8").tobytes())
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
+        assert rows == [(n + 1, int(ids[j]), int(s[j])) for n, j in enumerate(order)]
+
+
 def test_top_k_small_tables(spark):
     schema = "vec_id long, embedding array<float>"
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
