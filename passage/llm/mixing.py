@@ -7,8 +7,10 @@
    is shared again by weight.
 3. Blocks: a source's documents are dealt to blocks by hash, and a keyed
    permutation orders the blocks. A pass takes every block; the last, partial
-   pass takes the first blocks of the permutation, in its last block the first
-   documents of a permutation, and then the documents that still fit.
+   pass takes the first blocks of the permutation, in the next block the first
+   documents of a permutation, and then the documents that still fit. Words
+   still missing are taken from the later blocks in the same way, until no
+   remaining document fits; one may overshoot by less than is missing then.
 4. Quotas: the block draws of all sources are split among the output shards
    by a binary tree; each node draws how many of its draws of each source go
    left from a multivariate hypergeometric distribution, so every shard's
@@ -45,6 +47,8 @@ SEED = 20240607
 #: Words a block holds on average, while a source has no more than MAX_BLOCKS; then blocks grow.
 BLOCK_WORDS = 65_536
 MAX_BLOCKS = 4096
+#: Above every hash: a block is taken up to its last document.
+WHOLE = 2 ** 63 - 1
 
 
 def _count_words(col: pa.Array) -> np.ndarray:
@@ -109,11 +113,12 @@ class Source:
     full: int = 0          # whole passes
     rank: int = 0          # blocks of the partial pass taken whole
     upto: int | None = None  # in the next block: documents up to this hash
-    extra: tuple[int, ...] = ()  # and these keys
+    extra: tuple[int, ...] = ()  # and these keys, of this block or a later one
+    later: tuple[tuple[int, int | None], ...] = ()  # blocks after that, by rank, and up to which hash
 
     @property
     def draws(self) -> int:
-        return self.full * self.blocks + self.rank + (1 if self.upto is not None or self.extra else 0)
+        return self.full * self.blocks + self.rank + (1 if self.upto is not None or self.extra or self.later else 0) + len(self.later)
 
 
 def block_of(blocks: Column) -> Column:
@@ -142,7 +147,8 @@ def _blocks(size: int) -> int:
 
 
 def _boundary(rooms: dict):
-    """Documents of a source's last, partly taken block: by hash as long as they fit, then the largest that still fit."""
+    """Documents of a source's partly taken block: by hash as long as they fit, then the largest that still fit;
+    their words, and the smallest of the others."""
     def run(table: pa.Table) -> pa.Table:
         name = table.column("source")[0].as_py()
         key, order, size = (np.asarray(table.column(c)) for c in ("key", "order", "size"))
@@ -155,6 +161,7 @@ def _boundary(rooms: dict):
                 fit -= 1
         room -= int(size[:fit].sum())
         extra: list[int] = []
+        rest: tuple = (None, None)
         if fit < len(key):
             keys, back = np.unique(key[fit:], return_inverse=True)
             weight = np.bincount(back, size[fit:])
@@ -162,13 +169,32 @@ def _boundary(rooms: dict):
                 if 0 < weight[i] <= room:
                     extra.append(int(keys[i]))
                     room -= int(weight[i])
-            rest = [i for i in range(len(keys)) if weight[i] > 0 and int(keys[i]) not in set(extra)]
-            if rest:  # overshoot by less than what is missing
-                i = min(rest, key=lambda j: (weight[j], keys[j]))
-                if weight[i] - room < room:
-                    extra.append(int(keys[i]))
+            taken = set(extra)
+            rest = min(((int(weight[i]), int(keys[i])) for i in range(len(keys)) if weight[i] > 0 and int(keys[i]) not in taken), default=rest)
         upto = int(order[fit - 1]) if fit else None
-        return pa.table({"source": pa.array([name], pa.string()), "upto": pa.array([upto], pa.int64()), "extra": pa.array([extra], pa.list_(pa.int64()))})
+        return pa.table({"source": pa.array([name], pa.string()), "upto": pa.array([upto], pa.int64()), "extra": pa.array([extra], pa.list_(pa.int64())),
+                         "room": pa.array([room], pa.int64()), "weight": pa.array([rest[0]], pa.int64()), "key": pa.array([rest[1]], pa.int64())})
+    return run
+
+
+def _next_blocks(state: dict):
+    """Of a source's blocks from a rank on: those that fit whole, in order, and the first that may hold a document that fits."""
+    def run(table: pa.Table) -> pa.Table:
+        name = table.column("source")[0].as_py()
+        start, room = state[name]
+        rank, words, least = (np.asarray(table.column(c)) for c in ("rank", "words", "least"))
+        whole, at = [], None
+        for i in np.argsort(rank):
+            if rank[i] < start or not words[i]:
+                continue
+            if words[i] <= room:
+                whole.append(int(rank[i]))
+                room -= int(words[i])
+            elif least[i] <= room:
+                at = int(rank[i])
+                break
+        return pa.table({"source": pa.array([name], pa.string()), "whole": pa.array([whole], pa.list_(pa.int64())),
+                         "room": pa.array([room], pa.int64()), "at": pa.array([at], pa.int64())})
     return run
 
 
@@ -195,7 +221,8 @@ def plan_sources(rows: DataFrame) -> list[Source]:
                        part=(pa.float64(), [part.get(s.name, 0.0) for s in sources]))
     placed = (rows.join(catalogue, rows.source.eqNullSafe(catalogue.source)).select(rows.source, "key", "size", "blocks", "part")
               .where("part >= 1").withColumn("block", block_of(F.col("blocks"))).withColumn("rank", rank_of(F.col("blocks"), F.col("source"))))
-    by_rank = placed.groupBy("source", "rank", "part").agg(F.sum("size").alias("words"))
+    least = F.coalesce(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(0).cast("long"))
+    by_rank = materialise(placed.groupBy("source", "rank", "part").agg(F.sum("size").alias("words"), least.alias("least")), "blocks")
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("rank"))  # at most MAX_BLOCKS rows a source
     cut = by_rank.withColumn("upto", upto).where("upto <= part").groupBy("source").agg(F.max("rank").alias("last"), F.max("upto").alias("words"))
     whole = {r.source: (int(r["last"]) + 1, int(r.words)) for r in cut.collect()}
@@ -212,13 +239,51 @@ def plan_sources(rows: DataFrame) -> list[Source]:
         nxt = {r.source: int(r["rank"]) for r in nxt.collect()}
         for s in sources:
             s.rank = nxt.get(s.name, s.rank)
-        edge = _table(spark, s=(pa.string(), list(nxt)), r=(pa.int64(), list(nxt.values())))
+        _fill(spark, sources, placed, by_rank, rooms, nxt)
+    return sources
+
+
+def _fill(spark, sources: list[Source], placed: DataFrame, by_rank: DataFrame, rooms: dict, at: dict) -> None:
+    """Takes documents of the blocks ``at`` and of later ones until none fits the words missing, all sources at once."""
+    by_name = {s.name: s for s in sources}
+    room = {n: rooms[n] for n in at}
+    rest: dict = {}       # the smallest document left in the blocks looked through
+    later: dict = {n: [] for n in at}
+    first = True
+    while at:
+        edge = _table(spark, s=(pa.string(), list(at)), r=(pa.int64(), list(at.values())))
         docs = (placed.join(edge, placed.source.eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
                 .select("source", "key", "size", _order().alias("order")))
-        for r in docs.groupBy("source").applyInArrow(_boundary(rooms), "source string, upto long, extra array<long>").collect():
-            s = next(s for s in sources if s.name == r.source)
-            s.upto, s.extra = r.upto, tuple(r.extra)
-    return sources
+        schema = "source string, upto long, extra array<long>, room long, weight long, key long"
+        for r in docs.groupBy("source").applyInArrow(_boundary(room), schema).collect():
+            s = by_name[r.source]
+            room[s.name] = r.room
+            if first:
+                s.upto = r.upto
+            elif r.upto is not None or r.extra:
+                later[s.name].append((at[s.name], r.upto))
+            s.extra += tuple(r.extra)
+            if r.key is not None and (s.name not in rest or (r.weight, r.key) < rest[s.name][:2]):
+                rest[s.name] = (r.weight, r.key, at[s.name])
+        first = False
+        state = {n: (rank + 1, room[n]) for n, rank in at.items() if room[n] > 0}
+        if not state:
+            break
+        names = _table(spark, s=(pa.string(), list(state)))
+        left = by_rank.join(names, by_rank.source.eqNullSafe(F.col("s"))).select("source", "rank", "words", "least")
+        at = {}
+        for r in left.groupBy("source").applyInArrow(_next_blocks(state), "source string, whole array<long>, room long, at long").collect():
+            later[r.source] += [(rank, WHOLE) for rank in r.whole]
+            room[r.source] = r.room
+            if r["at"] is not None:
+                at[r.source] = r["at"]
+    for n, (weight, key, rank) in rest.items():  # overshoot by less than what is missing
+        if room[n] > 0 and weight - room[n] < room[n]:
+            by_name[n].extra += (key,)
+            if rank != by_name[n].rank and rank not in dict(later[n]):
+                later[n].append((rank, None))
+    for n, blocks in later.items():
+        by_name[n].later = tuple(sorted(blocks, key=lambda x: x[0]))
 
 
 def _shard_quotas(draws: list[int], shards: int, seed: int):
@@ -259,15 +324,21 @@ def draw(rows: DataFrame, sources: list[Source], shards: int = SHARDS, seed: int
                   target=(pa.float64(), [s.target for s in sources]), blocks=(pa.int64(), [s.blocks for s in sources]),
                   full=(pa.int64(), [s.full for s in sources]), whole=(pa.int64(), [s.rank for s in sources]),
                   upto=(pa.int64(), [s.upto for s in sources]), extra=(pa.list_(pa.int64()), [list(s.extra) for s in sources]),
+                  later=(pa.list_(pa.int64()), [[r for r, _ in s.later] for s in sources]),
+                  later_upto=(pa.list_(pa.int64()), [[u for _, u in s.later] for s in sources]),
                   ends=(pa.list_(pa.int64()), [ends.get(i) for i in range(len(sources))]))
     keep = rows.columns
     r = rows.join(plan, rows.source.eqNullSafe(F.col("s_name"))).withColumn("block", block_of(F.col("blocks")))
     r = r.withColumn("rank", rank_of(F.col("blocks"), F.col("source")))
-    in_edge = (F.col("rank") == F.col("whole")) & (F.coalesce(_order() <= F.col("upto"), F.lit(False)) | F.array_contains("extra", F.col("key")))
+    nr = F.array_position("later", F.col("rank"))  # from 1, 0 for none
+    upto = F.when(F.col("rank") == F.col("whole"), F.col("upto")).when(nr > 0, F.get("later_upto", (nr - 1).cast("int")))
+    in_edge = (F.col("rank") >= F.col("whole")) & (F.coalesce(_order() <= upto, F.lit(False)) | F.array_contains("extra", F.col("key")))
     passes = F.col("full") + ((F.col("rank") < F.col("whole")) | in_edge).cast("long")
-    # copy c of a block is draw c * blocks + rank of its source
+    # later blocks follow the edge in the partial pass
+    slot = F.when(nr > 0, F.col("whole") + nr).otherwise(F.col("rank"))
+    # copy c of a block is draw c * blocks + rank (of the partial pass: slot) of its source
     copies = F.when((F.col("size") > 0) & (passes > 0), F.sequence(F.lit(0).cast("long"), passes - 1)).otherwise(F.array().cast("array<long>"))
-    shard = F.transform(copies, lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("blocks") + F.col("rank"))))
+    shard = F.transform(copies, lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("blocks") + F.when(c == F.col("full"), slot).otherwise(F.col("rank")))))
     return r.select(*keep, "source_size", "target", shard.alias("shards"))
 
 

@@ -153,6 +153,18 @@ def test_mix_meets_targets(spark, docs_of):
     assert again == {(r.doc_id, r.taken, tuple(r.shards)) for r in rows}
 
 
+def test_mix_goes_on_behind_a_very_long_document(spark):
+    sizes = spark.range(2501).select(F.lit("a").alias("source"), "id", F.when(F.col("id") == 0, 500_000).otherwise(200).cast("long").alias("size")).union(
+        spark.range(5500).select(F.lit("b").alias("source"), "id", F.lit(200).cast("long").alias("size")))
+    for seed in range(4):
+        rows = sizes.withColumn("key", F.xxhash64("source", "id", F.lit(seed)))
+        got = mixing.draw(rows, mixing.plan_sources(rows), 8)
+        for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.size("shards")).alias("taken"),
+                                           F.max(F.array_max("shards")).alias("shard"), F.max(F.size("shards")).alias("copies")).collect():
+            assert abs(r.taken - r.target) <= 200, (seed, r)
+            assert r.shard < 8 and r.copies <= 2
+
+
 def test_share_caps_and_reshares():
     assert mixing.share([100, 100, 100]) == pytest.approx([187.5, 75, 37.5])
     t = mixing.share([10, 100, 100])
