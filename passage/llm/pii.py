@@ -61,7 +61,8 @@ FIRST_NAMES = frozenset("""James Mary John Patricia Robert Jennifer Michael Lind
 Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony Betty Mark Margaret Paul Sandra Steven Ashley Andrew Emily Kevin Donna Brian Michelle
 Hans Peter Klaus Wolfgang Ursula Monika Petra Sabine Pierre Jean Michel Marie Nathalie Isabelle José Antonio Manuel Carmen María Ana Juan Luis Carlos""".split())
 _LISTED = re.compile(r"\b(?:%s) [A-Z][a-zà-ÿ]{1,30}\b" % "|".join(sorted(FIRST_NAMES)))
-_NEEDS["name"] = r"\b(%s) [A-Z]" % "|".join(sorted(n for n in FIRST_NAMES if n.isascii()))
+# the search's word boundary is ASCII, so names beyond ASCII stand without it
+_NEEDS["name"] = r"(\b(%s)|%s) [A-Z]" % tuple("|".join(sorted(n for n in FIRST_NAMES if n.isascii() == a)) for a in (True, False))
 TOP_DOMAINS = frozenset("com org net edu gov info biz io co uk de fr es it nl eu us ca ch at".split())
 FOR_WORDS = {
     "email": ("mail", "contact", "write", "kontakt", "courriel", "correo"), "ip": ("ip", "host", "server", "address", "login", "adresse"),

@@ -214,6 +214,12 @@ def test_pii_base_spans_equal_the_patterns(spark, docs_of):
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_listed_names_beyond_ascii_are_candidates(docs_of):
+    for text in ("José García", "dijo María López", "Antonio García", "(José Pérez)"):
+        assert [r.kind for r in pii.candidate_table(docs_of([(1, text)])).collect()] == ["name"], text
+    assert pii.candidate_table(docs_of([(1, "xJosé García"), (2, "José garcía")])).count() == 0
+
+
 def test_em_finds_the_reliable_labelers():
     rng = np.random.default_rng(3)
     real = rng.random(4000) < 0.4
