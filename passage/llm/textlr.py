@@ -187,11 +187,13 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, lower: bool, rewrite: Callable[[], Rewrite] | None = None,
         sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` rows of ``labels`` (doc_id, y in 0/1),
-    chosen by a hash of the id. One task fits; its input is that bounded sample."""
+    chosen by a hash of the id, one text each. One task fits; its input is that bounded sample."""
     chosen = (labels.where("doc_id is not null and y is not null").select(F.col("doc_id").alias("_id"), F.col("y").cast("int").alias("y"))
-              .orderBy(F.xxhash64("_id"), "_id", "y").limit(sample_rows))
+              .distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(sample_rows))
     texts = docs.select(F.col("doc_id").alias("_id"), text_or_empty().alias("text"))
-    sample = texts.join(F.broadcast(chosen), "_id").select("_id", "text", "y")  # sample_rows small rows at most
+    # one text of an id and label, that of the smallest hash, however often the id is repeated
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(one.alias("one")).select("_id", "one.text", "y")
 
     def run(batches):
         change = rewrite() if rewrite else None

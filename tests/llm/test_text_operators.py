@@ -280,6 +280,14 @@ def test_quality_classifier_and_filter(spark, docs_of):
     assert quality.keep_good(odd.where("false"), model).count() == 0
 
 
+def test_fit_takes_one_text_of_a_repeated_id(spark, docs_of):
+    texts = [(i, f"{'good fine' if i % 2 else 'bad awful'} text number {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    once = textlr.fit(docs_of(texts), labels, lower=True)
+    often = textlr.fit(docs_of(texts + [texts[0]] * 300), labels.unionByName(labels.where("doc_id = 0")), lower=True)
+    assert often.bias == once.bias and np.array_equal(often.weights, once.weights)
+
+
 def test_fit_without_labels_is_neutral(spark, docs_of):
     model = textlr.fit(docs_of(ODD), spark.createDataFrame([], "doc_id long, y int"), lower=True)
     assert (model.probability(np.zeros(2)) == model.probability(np.zeros(2))).all() and not model.weights.any()
