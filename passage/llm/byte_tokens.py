@@ -14,6 +14,7 @@ are encoded whole. Long texts need no more memory than their units and ids.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ import pyarrow.compute as pc
 from passage.llm._common import SPACE, utf8
 
 #: Bytes of units and their ids kept in a worker process; beyond that the memory is emptied.
-CACHE_BYTES = 96 << 20
-#: What Python keeps beside the bytes of an entry.
+CACHE_BYTES = 112 << 20
+#: What an entry takes beside its bytes and ids.
 ENTRY_BYTES = 150
 #: Units encoded as one string.
 JOINED = 400
@@ -58,37 +59,41 @@ class ByteEncoder:
         for piece, i in vocab.items():
             self.sizes[i] = len(piece)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _keep(self, unit: bytes, ids: bytes) -> None:
-        self.known[unit] = ids
-        self.held += len(unit) + len(ids) + ENTRY_BYTES
-
-    def _learn(self, units: list[bytes]) -> None:
-        plain, other = [], []
-        for u in units:
-            (plain if SPACE[u[0]] and 0x20 < u[-1] < 0x80 else other).append(u)
-        for at in range(0, len(plain), JOINED):
-            part = plain[at:at + JOINED]
-            ids = np.array(self._encode([b"".join(part).decode()])[0], np.int32)
-            ends = np.cumsum(self.sizes[ids])
-            want = np.cumsum([len(u) for u in part])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.held = {}, 0                                      # the number of each unit known
+        self.at, self.n, self.flat = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32))  # and their ids
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: pa.LargeBinaryArray) -> None:
+        data, off = utf8(units)
+        words, sizes = units.to_pylist(), np.diff(off)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        plain = SPACE[data[off[:-1]]] & (data[off[1:] - 1] > 0x20) & ~_after_wide_space(data, off[1:])
+        at, n, flat, filled = np.zeros(len(units), np.int64), np.zeros(len(units), np.int32), [], len(self.flat)
+        part = np.flatnonzero(plain)
+        groups = [part[i:i + JOINED] for i in range(0, len(part), JOINED)]
+        other = [np.flatnonzero(~plain)]
+        for group, ids in zip(groups, self._encode([b"".join([words[i] for i in g.tolist()]).decode() for g in groups])):
+            ends, want = np.cumsum(self.sizes[ids]), np.cumsum(sizes[group])
             cut = np.searchsorted(ends, want)
-            if ends[-1] != want[-1] or not np.array_equal(ends[cut], want):
-                other += part
-                continue
-            begin = 0
-            for u, end in zip(part, (cut + 1).tolist()):
-                self._keep(u, ids[begin:end].tobytes())
-                begin = end
-        for at in range(0, len(other), 1000):
-            part = other[at:at + 1000]
-            for u, ids in zip(part, self._encode([u.decode() for u in part])):
-                self._keep(u, np.array(ids, np.int32).tobytes())
+            if len(ids) and ends[-1] == want[-1] and np.array_equal(ends[cut], want):
+                n[group] = np.diff(cut, prepend=-1)
+                at[group] = filled + cut + 1 - n[group]
+                flat.append(ids)
+                filled += len(ids)
+            else:
+                other.append(group)
+        rest = np.concatenate(other).tolist()
+        for i, ids in zip(rest, self._encode([words[i].decode() for i in rest])):
+            at[i], n[i] = filled, len(ids)
+            flat.append(ids)
+            filled += len(ids)
+        self.held += len(data) + len(words) * ENTRY_BYTES + 4 * (filled - len(self.flat))
+        self.at, self.n, self.flat = np.concatenate([self.at, at]), np.concatenate([self.n, n]), np.concatenate([self.flat, *flat])
 
     def _units(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Places at which a unit starts, and the end of the last one."""
@@ -114,24 +119,23 @@ class ByteEncoder:
         pos = self._units(raw, off)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pos) - 1, [None, pa.py_buffer(pos.astype(np.int64)), pa.py_buffer(raw)])
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        missing = [w for w in words if w not in self.known]
-        if missing:
+        words = coded.dictionary
+        known = np.fromiter(map(self.known.get, words.to_pylist(), repeat(-1)), np.int64, len(words))
+        if len(words) and known.min() < 0:
             if self.held > CACHE_BYTES:
-                self.known, self.held, missing = {}, 0, words
-            self._learn(missing)
-        found = [self.known[w] for w in words]
-        sizes = np.array([len(f) >> 2 for f in found], np.int64)
-        flat = np.frombuffer(b"".join(found), np.int32)
-        at = np.cumsum(sizes) - sizes
-        index = np.asarray(coded.indices) if len(units) else np.zeros(0, np.int64)
-        count = sizes[index] if len(index) else np.zeros(0, np.int64)
+                self._forget()
+                known[:] = -1
+            missing = np.flatnonzero(known < 0)
+            known[missing] = len(self.known) + np.arange(len(missing))
+            self._learn(words.take(pa.array(missing)))
+        index = known[np.asarray(coded.indices)] if len(units) else np.zeros(0, np.int64)
+        count = self.n[index]
         before = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=before[1:])
-        ids = flat[np.repeat(at[index] - before[:-1], count) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
+        ids = self.flat[np.repeat(self.at[index] - before[:-1], count) + np.arange(before[-1])] if before[-1] else np.zeros(0, np.int32)
         bounds = before[np.searchsorted(pos, off)]
         if whole:
-            parts = [np.array(self._encode([col[i].as_py()])[0], np.int32) if i in whole else ids[bounds[i]:bounds[i + 1]] for i in range(n)]
+            parts = [self._encode([col[i].as_py()])[0] if i in whole else ids[bounds[i]:bounds[i + 1]] for i in range(n)]
             bounds = np.zeros(n + 1, np.int64)
             np.cumsum([len(p) for p in parts], out=bounds[1:])
             ids = np.concatenate(parts)

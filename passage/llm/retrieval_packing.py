@@ -52,11 +52,13 @@ SHARD_ROWS = 4096
 #: Terms of a seed's query, the heaviest ones.
 QUERY_TERMS = 24
 #: Text encoded at once.
-SLICE = 4 << 20
+SLICE = 10 << 20
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Bits of a route.
 ROUTE_BITS = 32
+#: A term's count above this weighs the same (BM25 saturates far below).
+MOST = (1 << 16) - 1
 
 _WINDOW, _REST = 0, 1
 _PARTS = "uid long, doc_id long, kind byte, start long, length long, doc_tokens long, ids_crc32 long, ids binary, terms binary, counts binary"
@@ -79,10 +81,28 @@ def _unblob(col: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), kind), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _split(path: str, end_id: int, capacity: int, keep_ids: bool):
+def _gathered(batches, limit: int = SLICE):
+    """Arrow batches put together to about ``limit`` bytes of text: words that many texts share are looked up once."""
+    held, size = [], 0
+    for b in slices(batches, limit=limit):
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _kind(path: str) -> str:
+    """The integers that hold a vocabulary's ids."""
+    return "<u2" if byte_encoder(path).vocab_size <= 1 << 16 else "<u4"
+
+
+def _split(path: str, end_id: int, capacity: int, keep_ids: bool, kind_of: str):
     def run(batches):
         enc, uid = byte_encoder(path), TaskContext.get().partitionId() << 36
-        for b in slices(batches, limit=SLICE):
+        for b in _gathered(batches):
             ids, bounds = enc.encode(b.column("text"), end_id)
             ids = np.ascontiguousarray(ids, "<u4")
             sizes = np.diff(bounds)
@@ -94,7 +114,8 @@ def _split(path: str, end_id: int, capacity: int, keep_ids: bool):
             new[1:] = key[1:] != key[:-1]
             at = np.flatnonzero(new)
             row_of = key[at] >> 32
-            terms, counts = (key[at] & 0xFFFFFFFF).astype("<u4"), np.diff(np.append(at, len(key))).astype("<u4")
+            terms = (key[at] & 0xFFFFFFFF).astype(kind_of)
+            counts = np.minimum(np.diff(np.append(at, len(key))), MOST).astype("<u2")
             of_row = np.searchsorted(row_of, np.arange(rows + 1))
             doc = b.column("doc_id").cast(pa.int64())
             raw = memoryview(ids).cast("B")
@@ -116,7 +137,7 @@ def _split(path: str, end_id: int, capacity: int, keep_ids: bool):
             yield pa.RecordBatch.from_arrays([
                 pa.array(uid + np.arange(len(row))), doc.take(pa.array(row)), pa.array(kind),
                 pa.array(np.concatenate([w_start, full * capacity])), pa.array(length), pa.array(sizes[row]), pa.array(crc, pa.int64()),
-                _blobs(flat.astype("<u4"), ends(with_ids)), _blobs(terms[mine], ends(n_terms)), _blobs(counts[mine], ends(n_terms)),
+                _blobs(flat.astype(kind_of), ends(with_ids)), _blobs(terms[mine], ends(n_terms)), _blobs(counts[mine], ends(n_terms)),
             ], names=[f.split()[0] for f in _PARTS.split(", ")])
             uid += len(row)
     return run
@@ -126,18 +147,29 @@ def parts(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
     """Full windows and one rest of each document, which carries its ids and its document's distinct ids and counts
     (a document that ends with a full window has a rest of length 0)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_split(tokenizer, end_id, capacity, keep_ids), _PARTS)
+    return rows.mapInArrow(_split(tokenizer, end_id, capacity, keep_ids, _kind(tokenizer)), _PARTS)
+
+
+def _frequencies(kind: str):
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            terms, _ = _unblob(b.column("terms"), kind)
+            n = np.bincount(terms, minlength=len(total))
+            n[:len(total)] += total
+            total = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
+    return run
 
 
-def _frequencies(batches):
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        terms, _ = _unblob(b.column("terms"), "<u4")
-        n = np.bincount(terms, minlength=len(total))
-        n[:len(total)] += total
-        total = n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "df"])
+def _widened(kind: str):
+    """The ids of windows as 32-bit integers."""
+    def run(batches):
+        for b in batches:
+            ids, bounds = _unblob(b.column("ids"), kind)
+            yield b.set_column(b.schema.get_field_index("ids"), b.schema.field("ids"), _blobs(ids.astype("<u4"), bounds))
+    return run
 
 
 class Weights:
@@ -153,7 +185,7 @@ class Weights:
         return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
 
-def _route(weights):
+def _route(weights, kind: str):
     def run(batches):
         signs = None
         for b in batches:
@@ -162,8 +194,8 @@ def _route(weights):
             if signs is None:
                 h = mix64(np.arange(len(weights.value.idf), dtype=np.uint64) + np.uint64(77))
                 signs = np.where((h[:, None] >> np.arange(ROUTE_BITS, dtype=np.uint64)) & np.uint64(1), 1, -1).astype(np.float32)
-            terms, bounds = _unblob(b.column("terms"), "<u4")
-            counts, _ = _unblob(b.column("counts"), "<u4")
+            terms, bounds = _unblob(b.column("terms"), kind)
+            counts, _ = _unblob(b.column("counts"), "<u2")
             n = np.diff(bounds)
             w = weights.value.of(terms, counts, np.repeat(np.asarray(b.column("doc_tokens")), n)).astype(np.float32)
             # a rest always has a term: the closing id
@@ -228,7 +260,8 @@ def fill_windows(index: Index, lengths: np.ndarray, capacity: int = CAPACITY, qu
                     if not room:
                         break
                     take(i)
-                near, size = near[~np.isin(near, best)], 4 * size
+                if room:
+                    near, size = near[~np.isin(near, best)], 4 * size
         while room and fresh < len(lengths):
             if unused[fresh]:
                 take(fresh)
@@ -258,7 +291,7 @@ def in_powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, i
     return out
 
 
-def _pack(weights, capacity: int, query_terms: int, keep_ids: bool):
+def _pack(weights, kind: str, capacity: int, query_terms: int, keep_ids: bool):
     names = ["uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def run(batches):
@@ -266,14 +299,15 @@ def _pack(weights, capacity: int, query_terms: int, keep_ids: bool):
         if not got:
             return
         t = pa.Table.from_batches(got).sort_by([("route", "ascending"), ("tie", "ascending"), ("uid", "ascending")]).combine_chunks().to_batches()[0]
-        terms, bounds = _unblob(t.column("terms"), "<u4")
-        counts, _ = _unblob(t.column("counts"), "<u4")
-        ids, at = _unblob(t.column("ids"), "<u4")
+        terms, bounds = _unblob(t.column("terms"), kind)
+        counts, _ = _unblob(t.column("counts"), "<u2")
+        ids, at = _unblob(t.column("ids"), kind)
+        ids = ids.astype("<u4")
         length, tokens, begin, uid = (np.asarray(t.column(c)) for c in ("length", "doc_tokens", "start", "uid"))
         w = weights.value.of(terms, counts, np.repeat(tokens, np.diff(bounds)))
         windows = fill_windows(Index(terms, w, bounds), length, capacity, query_terms)
         sequences = [s for x in windows for s in ([x] if sum(p[2] for p in x) == capacity else in_powers(x))]
-        raw, rows, cols = memoryview(np.ascontiguousarray(ids)).cast("B"), [], [[] for _ in range(6)]
+        raw, rows, cols = memoryview(ids).cast("B"), [], [[] for _ in range(6)]
         for s in sequences:
             # named after its first id, which lies in this sequence only: runs of the task agree
             name, offset = (int(uid[s[0][0]]) * capacity + s[0][1]) * 2 + 1, 0
@@ -299,23 +333,26 @@ def pack_related(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     spark = docs.sparkSession
+    kind = _kind(tokenizer)
     cut = materialise(parts(docs, tokenizer, end_id, capacity, keep_ids), "parts")
     more = ["ids"] if keep_ids else []
     windows = cut.where(F.col("kind") == _WINDOW).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("uid") * 2 * capacity).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *more)
+    if keep_ids:
+        windows = windows.mapInArrow(_widened(kind), windows.schema)
     rests = cut.where(F.col("kind") == _REST)
     n, mean = rests.agg(F.count("*"), F.avg("doc_tokens")).first()
     if not n:
         return windows
-    df = rests.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most the vocabulary
+    df = rests.select("terms").mapInArrow(_frequencies(kind), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most the vocabulary
     of = np.zeros(int(max(df["term"].to_numpy())) + 1, np.int64)
     of[df["term"].to_numpy()] = df["df"].to_numpy()
     weights = spark.sparkContext.broadcast(Weights(n, float(mean), of))
     fields = "uid long, doc_id long, start long, length long, doc_tokens long, ids binary, terms binary, counts binary"
-    routed = materialise(rests.where("length > 0").select(*[f.split()[0] for f in fields.split(", ")]).mapInArrow(_route(weights), fields + ", route long"), "routed")
+    routed = materialise(rests.where("length > 0").select(*[f.split()[0] for f in fields.split(", ")]).mapInArrow(_route(weights, kind), fields + ", route long"), "routed")
     shards = max(1, -(-routed.count() // shard_rows))
     dealt = routed.withColumn("tie", F.xxhash64("uid")).repartitionByRange(shards, "route", "tie")
     schema = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if keep_ids else "")
-    return windows.unionByName(dealt.mapInArrow(_pack(weights, capacity, query_terms, keep_ids), schema).drop("uid"))
+    return windows.unionByName(dealt.mapInArrow(_pack(weights, kind, capacity, query_terms, keep_ids), schema).drop("uid"))
 
 
 def sequences(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
