@@ -8,8 +8,8 @@
    below the least count become 0 too, as no phrase with them can be frequent;
    the others get numbers that are the same in all shards.
 3. Each shard builds an FM-index of what is left: the Burrows-Wheeler transform
-   of its ids and of the reversed ids, ordered by the next DEPTH words, which
-   is all that patterns of that length need. A phrase is a pair of intervals of
+   of its ids and of the reversed ids, ordered by the next DEPTH - 1 words, as
+   no longer pattern is extended. A phrase is a pair of intervals of
    the same size, in the index and in the reversed one.
 4. Phrases grow a word a level. A left extension splits the phrase's interval
    by the symbols in front (LF-mapping gives the new interval, the number of
@@ -44,8 +44,9 @@ from passage.llm._common import LOWER, arrow_rows, materialise, new_path, slices
 DEPTH = 5
 LEAST = 100
 FIRST = 2000
-#: Words of a shard.
-SHARD_WORDS = 1 << 22
+#: Words of a shard, and text read at once.
+SHARD_WORDS = 1 << 21
+SLICE = 4 << 20
 
 # signs and line ends that close a piece, white space between words (fixed values)
 _CLOSE = np.zeros(256, bool)
@@ -115,7 +116,7 @@ def _shards(limit: int):
 
     def run(batches):
         shard, held, words = TaskContext.get().partitionId() << 32, {}, 0
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             lang = b.column("lang").dictionary_encode()
             of = np.asarray(lang.indices)
             for k, name in enumerate(lang.dictionary.to_pylist()):
@@ -141,11 +142,15 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
 def _sorted_by(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the next ``depth`` symbols (0 beyond the end)."""
-    n = len(symbols)
+    n, wide = len(symbols), symbols.dtype.itemsize * 8
     padded = np.concatenate([symbols, np.zeros(depth, symbols.dtype)])
-    order = np.arange(n)
-    for k in range(depth - 1, -1, -1):
-        order = order[np.argsort(padded[k:k + n][order], kind="stable")]
+    order, fits = None, 64 // wide  # so many symbols make one key
+    for end in range(depth, 0, -fits):
+        key = np.zeros(n, np.uint64)
+        for k in range(max(end - fits, 0), end):
+            key <<= np.uint64(wide)
+            key |= padded[k:k + n]
+        order = np.argsort(key).astype(np.int32) if order is None else order[np.argsort(key[order], kind="stable")]
     return order
 
 
@@ -166,21 +171,22 @@ class Index:
     def extended(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All extensions of disjoint intervals by the symbol in front: interval, symbol, count, start of the new
         interval here, and how many occurrences have a smaller symbol."""
-        parent = np.repeat(np.arange(len(low)), size)
+        parent = np.repeat(np.arange(len(low), dtype=np.uint32), size)
         before = np.cumsum(size) - size
-        place = np.arange(len(parent)) + np.repeat(low - before, size)
-        symbol = self.bwt[place]
-        order = np.argsort(symbol, kind="stable")
-        order = order[np.argsort(parent[order].astype(np.int32), kind="stable")]
-        s, p = symbol[order], parent[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1])
+        place = (np.arange(len(parent)) + np.repeat(low - before, size)).astype(np.int32)
+        key = parent.astype(np.uint64) << np.uint64(32) | self.bwt[place]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
         at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(s)))
-        p, s = p[at], s[at]
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 5
+        count = np.diff(np.append(at, len(key)))
+        p, s = (key[at] >> np.uint64(32)).astype(np.int64), (key[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         real = s > 0
-        first = place[order[at]]
-        return p[real], s[real].astype(np.int64), count[real], self.lf[first[real]].astype(np.int64), (at - before[p])[real]
+        first = np.minimum.reduceat(self.lf[place[order]], at)  # the occurrences of a symbol keep their order
+        return p[real], s[real], count[real], first[real].astype(np.int64), (at - before[p])[real]
 
 
 def _build(depth: int):
@@ -206,7 +212,7 @@ def _build(depth: int):
         s = s[again]
         blob = lambda v: pa.array([v], pa.binary())
         return pa.Table.from_arrays([pa.array([seq.column("shard")[0].as_py()], pa.int64()), blob(np.ascontiguousarray(number[by], "<i4").tobytes()),
-                                     blob(_pack(transform(s, depth))), blob(_pack(transform(s[::-1], depth)))], schema=out)
+                                     blob(_pack(transform(s, depth - 1))), blob(_pack(transform(s[::-1], depth - 1)))], schema=out)
     return run
 
 
