@@ -14,16 +14,17 @@
 4. Phrases grow a word a level. A left extension splits the phrase's interval
    by the symbols in front (LF-mapping gives the new interval, the number of
    smaller symbols the new reversed one); a right extension does the same in
-   the reversed index. What both reach, from a frequent suffix and from a
-   frequent prefix, is counted in the shard; counts are summed across shards,
-   and only phrases that are frequent over all shards go on in each shard.
+   the reversed index. A phrase is counted in the shard if both ways reach it,
+   from its suffix and from its prefix. Pairs are counted first: their sums
+   over all shards tell each shard which of its pairs are frequent, and from
+   these it goes on to DEPTH words. Counts are summed across shards; a word
+   gives at most one row a level.
 5. A phrase is dropped if a left or right extension is as frequent: a longer
    phrase that holds it and is as frequent implies such an extension. Each cut
    of a phrase into two parts looks their counts up by their words; the
    arithmetic is done in decimals.
 
-Counts are exact: pruning by frequent words, suffixes and prefixes loses
-nothing. A very frequent word or phrase is one row a shard.
+Counts are exact: pruning by frequent words and pairs loses nothing. A very frequent word or phrase is one row a shard.
 
 Edge cases: a null or empty text has no words; a null language is 'und'; a
 very long text makes its shard larger (about 5 bytes of shard a word), as
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 
 from passage.llm._common import LOWER, arrow_rows, materialise, new_path, slices, text_or_empty, utf8
 
+#: Words of a phrase, five at most (three 64-bit columns hold their numbers).
 DEPTH = 5
 LEAST = 100
 FIRST = 2000
@@ -216,49 +218,61 @@ def _build(depth: int):
     return run
 
 
-def _level(names: list[str], shard, number, words, low, back, n):
-    cols = [pa.array(np.full(len(n), shard, np.int64)), pa.array(low.astype(np.int32)), pa.array(back.astype(np.int32)), pa.array(n.astype(np.int32))]
-    return pa.Table.from_arrays(cols + [pa.array(number[words[:, k]]) for k in range(words.shape[1])], names=names)
+def _columns(number: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """The phrases' columns a, b, c: the numbers of words 1 and 2, 3 and 4, and 5, two to a 64-bit integer (0 for none)."""
+    w = np.zeros((len(words), DEPTH), np.int64)
+    w[:, :words.shape[1]] = number[words]
+    return [w[:, 0] << 32 | w[:, 1], w[:, 2] << 32 | w[:, 3], w[:, 4]]
 
 
-def _fields(depth: int) -> str:
-    return "shard long, low int, back int, n int, " + ", ".join(f"w{k} int" for k in range(1, depth + 1))
+def _numbers(blob: bytes) -> np.ndarray:
+    """The global numbers of a shard's words, by their own numbers from 1."""
+    return np.concatenate([[0], np.frombuffer(blob, "<i4")]).astype(np.int64)
+
+
+def _two(forth: Index, words: int):
+    """All pairs of words: both words, count, interval start here and in the reversed index."""
+    size = np.bincount(forth.bwt, minlength=words)
+    low = np.cumsum(size) - size          # where a word's interval starts, in both directions
+    p, s, n, start, smaller = forth.extended(low[1:], size[1:])
+    return np.stack([s, p + 1], 1), n, start, low[1:][p] + smaller
 
 
 def _pairs(batches):
-    """The left extensions of all words of a shard."""
-    names = [f.split()[0] for f in _fields(2).split(", ")]
+    """shard, a pair of words and its count."""
     for b in batches:
-        for shard, words, forth in zip(*(b.column(c).to_pylist() for c in ("shard", "words", "forth"))):
-            bwt = _unpack(forth)
-            if not len(bwt):
-                continue
-            number = np.concatenate([[0], np.frombuffer(words, "<i4")]).astype(np.int32)
-            size = np.bincount(bwt, minlength=len(number))
-            low = np.cumsum(size) - size
-            p, s, n, start, smaller = Index(bwt).extended(low[1:], size[1:])
-            out = _level(names, shard, number, np.stack([s, p + 1], 1), start, low[1:][p] + smaller, n)
+        for shard, blob, forth in zip(*(b.column(c).to_pylist() for c in ("shard", "words", "forth"))):
+            number = _numbers(blob)
+            words, n, _, _ = _two(Index(_unpack(forth)), len(number))
+            a = _columns(number, words)[0]
+            out = pa.Table.from_arrays([pa.array(np.full(len(n), shard, np.int64)), pa.array(a), pa.array(n.astype(np.int32))], names=["shard", "a", "n"])
             yield from out.to_batches(max_chunksize=1 << 16)
 
 
 def _longer(depth: int):
-    """From the frequent phrases of ``depth`` words to the phrases of one word more, of a shard."""
-    names = [f.split()[0] for f in _fields(depth + 1).split(", ")]
+    """From a shard's frequent pairs to its phrases of 3 to ``depth`` words and their counts."""
+    names = ["a", "b", "c", "n"]
 
     def run(index: pa.Table, live: pa.Table) -> pa.Table:
-        if not index.num_rows or not live.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.int64())] + [pa.array([], pa.int32())] * (len(names) - 1), names=names)
-        live = live.sort_by("low")
-        low, back, n = (np.asarray(live.column(c)).astype(np.int64) for c in ("low", "back", "n"))
-        number = np.concatenate([[0], np.frombuffer(index.column("words")[0].as_py(), "<i4")]).astype(np.int32)
-        words = np.stack([np.searchsorted(number, np.asarray(live.column(f"w{k}"))) for k in range(1, depth + 1)], 1)
-        p, s, count, start, smaller = Index(_unpack(index.column("forth")[0].as_py())).extended(low, n)
-        # right extensions: the symbols in front in the reversed index; the forward interval starts behind the smaller ones
-        q, _, _, _, less = Index(_unpack(index.column("back")[0].as_py())).extended(back, n)
-        # an interval belongs to one phrase of this length: both ways reach it or the phrase isn't frequent
-        both = np.isin(start, low[q] + less)
-        p, s, count, start, smaller = (v[both] for v in (p, s, count, start, smaller))
-        return _level(names, index.column("shard")[0].as_py(), number, np.column_stack([s, words[p]]), start, back[p] + smaller, count)
+        out = []
+        if index.num_rows and live.num_rows:
+            number = _numbers(index.column("words")[0].as_py())
+            forth, back = (Index(_unpack(index.column(c)[0].as_py())) for c in ("forth", "back"))
+            words, n, low, other = _two(forth, len(number))
+            frequent = np.isin(_columns(number, words)[0], np.asarray(live.column("a")))
+            words, n, low, other = (v[frequent] for v in (words, n, low, other))
+            for _ in range(2, depth):
+                order = np.argsort(low)
+                words, n, low, other = (v[order] for v in (words, n, low, other))
+                p, s, count, start, smaller = forth.extended(low, n)
+                # right extensions: the symbols in front in the reversed index; their forward interval lies behind the smaller ones
+                q, _, _, _, less = back.extended(other, n)
+                # an interval belongs to one phrase of a length: both ways must reach it
+                both = np.isin(start, low[q] + less)
+                p, start = p[both], start[both]
+                words, n, low, other = np.column_stack([s[both], words[p]]), count[both], start, other[p] + smaller[both]
+                out.append(pa.Table.from_arrays([pa.array(v) for v in _columns(number, words)] + [pa.array(n)], names=names))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], pa.int64()) for k in names})
     return run
 
 
@@ -300,20 +314,16 @@ def counted_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, sha
     path = new_path(spark, "index")
     built.write.option("maxRecordsPerFile", 4).parquet(path)  # few large values a file
     index = spark.read.schema(built.schema).parquet(path)
-    levels = []
     with arrow_rows(spark, 1):
-        live = _frequent(index.select("shard", "words", "forth").mapInArrow(_pairs, _fields(2)), ["w1", "w2"], least)
-    for d in range(2, depth + 1):
-        keys = [f"w{k}" for k in range(1, d + 1)]
-        more = [F.lit(0).alias(f"w{k}") for k in range(d + 1, depth + 1)]
-        levels.append(live.groupBy(*keys).agg(F.max("f").alias("f")).select(F.lit(d).alias("depth"), *keys, *more, "f"))
-        if d < depth:
-            longer = index.groupBy("shard").cogroup(live.drop("f").groupBy("shard")).applyInArrow(_longer(d), _fields(d + 1))
-            live = _frequent(longer, [*keys, f"w{d + 1}"], least)
-    phrases = levels[0]
-    for level in levels[1:]:
-        phrases = phrases.unionByName(level)
-    return totals, words, materialise(phrases, "phrases")
+        pairs = _frequent(index.select("shard", "words", "forth").mapInArrow(_pairs, "shard long, a long, n int"), ["a"], least)
+    two = pairs.groupBy("a").agg(F.max("f").alias("f")).select("a", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "f")
+    found = index.groupBy("shard").cogroup(pairs.select("shard", "a").groupBy("shard")).applyInArrow(_longer(depth), "a long, b long, c long, n long")
+    more = found.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    w = [high("a"), low("a"), high("b"), low("b"), F.col("c").cast("int")][:depth]
+    phrases = two.unionByName(more).select(*[x.alias(f"w{k}") for k, x in enumerate(w, 1)], "f")
+    size = sum((F.col(f"w{k}") > 0).cast("int") for k in range(1, depth + 1))
+    return totals, words, materialise(phrases.select(size.alias("depth"), "*"), "phrases")
 
 
 def _part(depth: int, begin: Column, end: Column) -> list[Column]:
