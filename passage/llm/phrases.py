@@ -15,10 +15,10 @@
    by the symbols in front (LF-mapping gives the new interval, the number of
    smaller symbols the new reversed one); a right extension does the same in
    the reversed index. A phrase is counted in the shard if both ways reach it,
-   from its suffix and from its prefix. Pairs are counted first: their sums
-   over all shards tell each shard which of its pairs are frequent, and from
-   these it goes on to DEPTH words. Counts are summed across shards; a word
-   gives at most one row a level.
+   from its suffix and from its prefix. Pairs are counted first, and summed
+   across shards; a filter of bounded size that holds the frequent ones tells
+   each shard which of its pairs go on to DEPTH words. These counts are summed
+   too; whatever the filter lets through, a word gives at most a row a level.
 5. A phrase is dropped if a left or right extension is as frequent: a longer
    phrase that holds it and is as frequent implies such an extension. Each cut
    of a phrase into two parts looks their counts up by their words; the
@@ -40,15 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passage.llm._common import LOWER, arrow_rows, materialise, new_path, slices, text_or_empty, utf8
+from passage.llm._common import LOWER, arrow_rows, bloom_filter, in_bloom, materialise, new_path, slices, text_or_empty, utf8
 
 #: Words of a phrase, five at most (three 64-bit columns hold their numbers).
 DEPTH = 5
 LEAST = 100
 FIRST = 2000
 #: Words of a shard, and text read at once.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 6_000_000
 SLICE = 4 << 20
+#: Rows of a bucket of words, about.
+BUCKET_ROWS = 100_000
 
 # signs and line ends that close a piece, white space between words (fixed values)
 _CLOSE = np.zeros(256, bool)
@@ -239,64 +241,53 @@ def _two(forth: Index, words: int):
 
 
 def _pairs(batches):
-    """shard, a pair of words and its count."""
+    """Each shard's pairs of words and their counts."""
     for b in batches:
-        for shard, blob, forth in zip(*(b.column(c).to_pylist() for c in ("shard", "words", "forth"))):
+        for blob, forth in zip(b.column("words").to_pylist(), b.column("forth").to_pylist()):
             number = _numbers(blob)
             words, n, _, _ = _two(Index(_unpack(forth)), len(number))
-            a = _columns(number, words)[0]
-            out = pa.Table.from_arrays([pa.array(np.full(len(n), shard, np.int64)), pa.array(a), pa.array(n.astype(np.int32))], names=["shard", "a", "n"])
+            out = pa.table({"a": _columns(number, words)[0], "n": n})
             yield from out.to_batches(max_chunksize=1 << 16)
 
 
-def _longer(depth: int):
-    """From a shard's frequent pairs to its phrases of 3 to ``depth`` words and their counts."""
-    names = ["a", "b", "c", "n"]
-
-    def run(index: pa.Table, live: pa.Table) -> pa.Table:
-        out = []
-        if index.num_rows and live.num_rows:
-            number = _numbers(index.column("words")[0].as_py())
-            forth, back = (Index(_unpack(index.column(c)[0].as_py())) for c in ("forth", "back"))
-            words, n, low, other = _two(forth, len(number))
-            frequent = np.isin(_columns(number, words)[0], np.asarray(live.column("a")))
-            words, n, low, other = (v[frequent] for v in (words, n, low, other))
-            for _ in range(2, depth):
-                order = np.argsort(low)
-                words, n, low, other = (v[order] for v in (words, n, low, other))
-                p, s, count, start, smaller = forth.extended(low, n)
-                # right extensions: the symbols in front in the reversed index; their forward interval lies behind the smaller ones
-                q, _, _, _, less = back.extended(other, n)
-                # an interval belongs to one phrase of a length: both ways must reach it
-                both = np.isin(start, low[q] + less)
-                p, start = p[both], start[both]
-                words, n, low, other = np.column_stack([s[both], words[p]]), count[both], start, other[p] + smaller[both]
-                out.append(pa.Table.from_arrays([pa.array(v) for v in _columns(number, words)] + [pa.array(n)], names=names))
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], pa.int64()) for k in names})
+def _longer(frequent, depth: int):
+    """Each shard's phrases of 3 to ``depth`` words and their counts, from its pairs that the filter holds."""
+    def run(batches):
+        for batch in batches:
+            for blob, *both_ways in zip(*(batch.column(c).to_pylist() for c in ("words", "forth", "back"))):
+                number = _numbers(blob)
+                forth, back = (Index(_unpack(x)) for x in both_ways)
+                words, n, low, other = _two(forth, len(number))
+                known = in_bloom(frequent.value, _columns(number, words)[0])
+                words, n, low, other = (v[known] for v in (words, n, low, other))
+                for _ in range(2, depth):
+                    order = np.argsort(low)
+                    words, n, low, other = (v[order] for v in (words, n, low, other))
+                    p, s, count, start, smaller = forth.extended(low, n)
+                    # right extensions: the symbols in front in the reversed index; their forward interval lies behind the smaller ones
+                    q, _, _, _, less = back.extended(other, n)
+                    # an interval belongs to one phrase of a length: both ways must reach it
+                    both = np.isin(start, low[q] + less)
+                    p, start = p[both], start[both]
+                    words, n, low, other = np.column_stack([s[both], words[p]]), count[both], start, other[p] + smaller[both]
+                    out = pa.Table.from_arrays([pa.array(v) for v in _columns(number, words)] + [pa.array(n)], names=["a", "b", "c", "n"])
+                    yield from out.to_batches(max_chunksize=1 << 16)
     return run
 
 
 # ------------------------------------------------------------- counts
 
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows whose sum of n over all shards reaches ``least``, with that sum as f: a written table. A key has a row a shard at most."""
-    f = F.sum(F.col("n").cast("long")).over(Window.partitionBy(*keys))
-    return materialise(rows.withColumn("f", f).where(F.col("f") >= least), "frequent")
-
-
-def _numbered(words: DataFrame) -> DataFrame:
-    """lang, word, f and a number from 1 on, which fits 31 bits, for each frequent word: a written table."""
-    spark = words.sparkSession
-    raw = materialise(words.groupBy("lang", "word").agg(F.max("f").alias("f")).withColumn("m", F.monotonically_increasing_id()), "words")
-    task = F.shiftright("m", 33)
-    sizes = sorted((r.t, r.n) for r in raw.groupBy(task.alias("t")).agg(F.count("*").alias("n")).collect())  # a row a writing task
-    ahead, base = {}, 1
-    for t, n in sizes:
-        ahead[t], base = base, base + n
-    if base > 2 ** 31 - 1:
-        raise ValueError("more frequent words than 31 bits can number")
-    first = spark.createDataFrame(pa.table({"t": pa.array(list(ahead), pa.int64()), "first": pa.array(list(ahead.values()), pa.int64())}))
-    return materialise(raw.join(first, task == F.col("t")).select("lang", "word", "f", (F.col("first") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias("id")), "words")
+def _frequent_words(own: DataFrame, least: int) -> DataFrame:
+    """shard, local, lang, word, f and id of the words whose sum f over all shards reaches ``least``: a written table.
+    A word has a row a shard at most. Numbers are dealt within buckets of words: bucket, bucket + buckets, ..."""
+    buckets = max(64, own.count() // BUCKET_ROWS)
+    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(buckets))
+    rows = own.withColumn("bucket", bucket).repartition("bucket")
+    each = Window.partitionBy("bucket", "lang", "word")
+    often = rows.withColumn("f", F.sum("n").over(each)).where(F.col("f") >= least)
+    place = F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word")).cast("long")
+    number = (F.col("bucket") + 1 + F.lit(buckets) * (place - 1)).cast("int")  # more than 31 bits raise an error
+    return materialise(often.select("shard", "local", "lang", "word", "f", number.alias("id")), "words")
 
 
 def counted_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -306,19 +297,24 @@ def counted_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, sha
     rows = shards(docs, shard_words)
     own = rows.where("word is not null").select("shard", "local", "lang", "word", "n")
     totals = own.groupBy("lang").agg(F.sum("n").alias("total"))
-    mine = _frequent(own, ["lang", "word"], least)
-    words = _numbered(mine)
-    ids = mine.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id")
+    mine = _frequent_words(own, least)
+    words = materialise(mine.groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.min("f").alias("f")), "words")
+    ids = mine.select("shard", "local", "id")
     seq = rows.where("ids is not null").select("shard", "ids")
     built = seq.groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(_build(depth), "shard long, words binary, forth binary, back binary")
     path = new_path(spark, "index")
     built.write.option("maxRecordsPerFile", 4).parquet(path)  # few large values a file
     index = spark.read.schema(built.schema).parquet(path)
     with arrow_rows(spark, 1):
-        pairs = _frequent(index.select("shard", "words", "forth").mapInArrow(_pairs, "shard long, a long, n int"), ["a"], least)
-    two = pairs.groupBy("a").agg(F.max("f").alias("f")).select("a", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "f")
-    found = index.groupBy("shard").cogroup(pairs.select("shard", "a").groupBy("shard")).applyInArrow(_longer(depth), "a long, b long, c long, n long")
-    more = found.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        found = index.select("words", "forth").mapInArrow(_pairs, "a long, n long").groupBy("a").agg(F.sum("n").alias("f"))
+        pairs = materialise(found.where(F.col("f") >= least), "pairs")
+    # of bounded size; what it lets through by chance is counted and found below the least count
+    frequent = spark.sparkContext.broadcast(bloom_filter(pairs.select(F.col("a").alias("key")), pairs.count()))
+    with arrow_rows(spark, 1):
+        found = index.select("words", "forth", "back").mapInArrow(_longer(frequent, depth), "a long, b long, c long, n long")
+        more = materialise(found.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "longer")
+    none = F.lit(0).cast("long")
+    two = pairs.select("a", none.alias("b"), none.alias("c"), "f")
     high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     w = [high("a"), low("a"), high("b"), low("b"), F.col("c").cast("int")][:depth]
     phrases = two.unionByName(more).select(*[x.alias(f"w{k}") for k, x in enumerate(w, 1)], "f")
