@@ -7,7 +7,8 @@
 2. Dictionaries meet by word: the sum over all shards is a word's count. Words
    below the least count become 0 too, as no phrase with them can be frequent;
    the others get numbers that are the same in all shards.
-3. Each shard builds an FM-index of what is left: the Burrows-Wheeler transform
+3. Each shard builds an FM-index of what is left (once a pass; it is cheaper to
+   build than to store): the Burrows-Wheeler transform
    of its ids and of the reversed ids, ordered by the next DEPTH - 1 words, as
    no longer pattern is extended. A phrase is a pair of intervals of
    the same size, in the index and in the reversed one.
@@ -40,14 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passage.llm._common import LOWER, arrow_rows, bloom_filter, in_bloom, materialise, new_path, slices, text_or_empty, utf8
+from passage.llm._common import LOWER, bloom_filter, in_bloom, materialise, slices, text_or_empty, utf8
 
 #: Words of a phrase, five at most (three 64-bit columns hold their numbers).
 DEPTH = 5
 LEAST = 100
 FIRST = 2000
 #: Words of a shard, and text read at once.
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 1 << 21
 SLICE = 4 << 20
 #: Rows of a bucket of words, about.
 BUCKET_ROWS = 100_000
@@ -58,7 +59,9 @@ _CLOSE[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _SOLID = ~_CLOSE
 _SOLID[[0x20, 0x09]] = False
 
-_SHARD = "shard long, ids binary, local int, lang string, word string, n long"
+_SHARD = "shard long, part int, ids binary, local int, lang string, word string, n long"
+#: Ids in a row of a shard's text.
+ROW_IDS = 1 << 18
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +100,7 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 def _shards(limit: int):
     def flush(shard: int, held: dict):
-        seq, base = [], 0
+        seq, base, names = [], 0, [f.split()[0] for f in _SHARD.split(", ")]
         for lang in sorted(held):
             chunks = held[lang]
             data, sizes, first = (np.concatenate(x) for x in zip(*chunks))
@@ -106,17 +109,18 @@ def _shards(limit: int):
             words = coded.dictionary
             count = np.bincount(index, minlength=len(words))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(words), shard)), pa.nulls(len(words), pa.binary()), pa.array((base + 1 + np.arange(len(words))).astype(np.int32)),
+                pa.array(np.full(len(words), shard)), pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array((base + 1 + np.arange(len(words))).astype(np.int32)),
                 pa.array([lang], pa.string()).take(pa.array(np.zeros(len(words), np.int64))), words.cast(pa.binary()).cast(pa.string()), pa.array(count),
-            ], names=["shard", "ids", "local", "lang", "word", "n"])
+            ], names=names)
             at = np.arange(len(index)) + np.cumsum(first)      # a 0 in front of each piece
             out = np.zeros(len(index) + int(first.sum()), np.uint32)
             out[at] = base + 1 + index
             seq.append(out)
             base += len(words)
-        one = lambda v, t: pa.array([v], t)
-        yield pa.RecordBatch.from_arrays([one(shard, pa.int64()), one(_pack(np.concatenate(seq)), pa.binary()), one(None, pa.int32()), one(None, pa.string()), one(None, pa.string()), one(None, pa.int64())],
-                                         names=["shard", "ids", "local", "lang", "word", "n"])
+        seq = np.concatenate(seq)
+        rows = [_pack(seq[i:i + ROW_IDS]) for i in range(0, len(seq), ROW_IDS)]
+        none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.string(), pa.string(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary()), *none], names=names)
 
     def run(batches):
         shard, held, words = TaskContext.get().partitionId() << 32, {}, 0
@@ -193,31 +197,24 @@ class Index:
         return p[real], s[real], count[real], first[real].astype(np.int64), (at - before[p])[real]
 
 
-def _build(depth: int):
-    def run(seq: pa.Table, words: pa.Table) -> pa.Table:
-        """The shard's index over its frequent words: number 1, 2, ... of a word, its global number, both transforms."""
-        out = pa.schema([("shard", pa.int64()), ("words", pa.binary()), ("forth", pa.binary()), ("back", pa.binary())])
-        if not seq.num_rows or not words.num_rows:
-            return out.empty_table()
-        ids = _unpack(seq.column("ids")[0].as_py())
-        local, number = np.asarray(words.column("local")), np.asarray(words.column("id"))
-        own = np.zeros(max(int(ids.max()), int(local.max())) + 1, np.uint32)
-        by = np.argsort(number, kind="stable")
-        own[local[by]] = np.arange(1, len(local) + 1)
-        s = own[ids]
-        # a 0 in front and behind; then runs of 0 become one, and words that stand alone go
-        s = np.concatenate([[0], s, [0]]).astype(np.uint16 if len(local) < 1 << 16 else np.uint32)
-        keep = np.ones(len(s), bool)
-        keep[1:-1] = (s[1:-1] > 0) & ((s[:-2] > 0) | (s[2:] > 0))
-        keep[1:-1] |= (s[1:-1] == 0) & (s[:-2] > 0)
-        s = s[keep]
-        again = np.ones(len(s), bool)
-        again[1:] = (s[1:] > 0) | (s[:-1] > 0)
-        s = s[again]
-        blob = lambda v: pa.array([v], pa.binary())
-        return pa.Table.from_arrays([pa.array([seq.column("shard")[0].as_py()], pa.int64()), blob(np.ascontiguousarray(number[by], "<i4").tobytes()),
-                                     blob(_pack(transform(s, depth - 1))), blob(_pack(transform(s[::-1], depth - 1)))], schema=out)
-    return run
+def indexes(seq: pa.Table, words: pa.Table, depth: int) -> tuple[np.ndarray, Index, Index] | None:
+    """The index of a shard over its frequent words, in both directions, and the words' global numbers by their own from 1."""
+    if not seq.num_rows or not words.num_rows:
+        return None
+    ids = np.concatenate([_unpack(x) for x in seq.sort_by("part").column("ids").to_pylist()])
+    local, number = np.asarray(words.column("local")), np.asarray(words.column("id")).astype(np.int64)
+    own = np.zeros(max(int(ids.max()), int(local.max())) + 1, np.uint16 if len(local) < 1 << 16 else np.uint32)
+    by = np.argsort(number, kind="stable")
+    own[local[by]] = np.arange(1, len(local) + 1)
+    # a 0 in front and behind; then runs of 0 become one, and words that stand alone go
+    s = np.concatenate([own[:1] * 0, own[ids], own[:1] * 0])
+    keep = np.ones(len(s), bool)
+    keep[1:-1] = (s[:-2] > 0) | (s[1:-1] > 0) & (s[2:] > 0)
+    s = s[keep]
+    again = np.ones(len(s), bool)
+    again[1:] = (s[1:] > 0) | (s[:-1] > 0)
+    s = s[again]
+    return np.concatenate([[0], number[by]]), Index(transform(s, depth - 1)), Index(transform(s[::-1], depth - 1))
 
 
 def _columns(number: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
@@ -227,11 +224,6 @@ def _columns(number: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     return [w[:, 0] << 32 | w[:, 1], w[:, 2] << 32 | w[:, 3], w[:, 4]]
 
 
-def _numbers(blob: bytes) -> np.ndarray:
-    """The global numbers of a shard's words, by their own numbers from 1."""
-    return np.concatenate([[0], np.frombuffer(blob, "<i4")]).astype(np.int64)
-
-
 def _two(forth: Index, words: int):
     """All pairs of words: both words, count, interval start here and in the reversed index."""
     size = np.bincount(forth.bwt, minlength=words)
@@ -240,38 +232,43 @@ def _two(forth: Index, words: int):
     return np.stack([s, p + 1], 1), n, start, low[1:][p] + smaller
 
 
-def _pairs(batches):
-    """Each shard's pairs of words and their counts."""
-    for b in batches:
-        for blob, forth in zip(b.column("words").to_pylist(), b.column("forth").to_pylist()):
-            number = _numbers(blob)
-            words, n, _, _ = _two(Index(_unpack(forth)), len(number))
-            out = pa.table({"a": _columns(number, words)[0], "n": n})
-            yield from out.to_batches(max_chunksize=1 << 16)
+def _pairs(depth: int):
+    """A shard's pairs of words and their counts."""
+    def run(seq: pa.Table, words: pa.Table) -> pa.Table:
+        built = indexes(seq, words, depth)
+        if built is None:
+            return pa.table({k: pa.array([], pa.int64()) for k in ("a", "n")})
+        number, forth, _ = built
+        pair, n, _, _ = _two(forth, len(number))
+        return _in_rows(pa.table({"a": _columns(number, pair)[0], "n": n}))
+    return run
+
+
+def _in_rows(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches(table.to_batches(max_chunksize=1 << 16), table.schema)
 
 
 def _longer(frequent, depth: int):
-    """Each shard's phrases of 3 to ``depth`` words and their counts, from its pairs that the filter holds."""
-    def run(batches):
-        for batch in batches:
-            for blob, *both_ways in zip(*(batch.column(c).to_pylist() for c in ("words", "forth", "back"))):
-                number = _numbers(blob)
-                forth, back = (Index(_unpack(x)) for x in both_ways)
-                words, n, low, other = _two(forth, len(number))
-                known = in_bloom(frequent.value, _columns(number, words)[0])
-                words, n, low, other = (v[known] for v in (words, n, low, other))
-                for _ in range(2, depth):
-                    order = np.argsort(low)
-                    words, n, low, other = (v[order] for v in (words, n, low, other))
-                    p, s, count, start, smaller = forth.extended(low, n)
-                    # right extensions: the symbols in front in the reversed index; their forward interval lies behind the smaller ones
-                    q, _, _, _, less = back.extended(other, n)
-                    # an interval belongs to one phrase of a length: both ways must reach it
-                    both = np.isin(start, low[q] + less)
-                    p, start = p[both], start[both]
-                    words, n, low, other = np.column_stack([s[both], words[p]]), count[both], start, other[p] + smaller[both]
-                    out = pa.Table.from_arrays([pa.array(v) for v in _columns(number, words)] + [pa.array(n)], names=["a", "b", "c", "n"])
-                    yield from out.to_batches(max_chunksize=1 << 16)
+    """A shard's phrases of 3 to ``depth`` words and their counts, from its pairs that the filter holds."""
+    def run(seq: pa.Table, words: pa.Table) -> pa.Table:
+        built, out = indexes(seq, words, depth), [pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "c", "n")})]
+        if built is not None:
+            number, forth, back = built
+            phrase, n, low, other = _two(forth, len(number))
+            known = in_bloom(frequent.value, _columns(number, phrase)[0])
+            phrase, n, low, other = (v[known] for v in (phrase, n, low, other))
+            for _ in range(2, depth):
+                order = np.argsort(low)
+                phrase, n, low, other = (v[order] for v in (phrase, n, low, other))
+                p, s, count, start, smaller = forth.extended(low, n)
+                # right extensions: the symbols in front in the reversed index; their forward interval lies behind the smaller ones
+                q, _, _, _, less = back.extended(other, n)
+                # an interval belongs to one phrase of a length: both ways must reach it
+                both = np.isin(start, low[q] + less)
+                p, start = p[both], start[both]
+                phrase, n, low, other = np.column_stack([s[both], phrase[p]]), count[both], start, other[p] + smaller[both]
+                out.append(pa.Table.from_arrays([pa.array(v) for v in _columns(number, phrase)] + [pa.array(n)], names=["a", "b", "c", "n"]))
+        return _in_rows(pa.concat_tables(out).combine_chunks())
     return run
 
 
@@ -300,19 +297,14 @@ def counted_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, sha
     mine = _frequent_words(own, least)
     words = materialise(mine.groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.min("f").alias("f")), "words")
     ids = mine.select("shard", "local", "id")
-    seq = rows.where("ids is not null").select("shard", "ids")
-    built = seq.groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(_build(depth), "shard long, words binary, forth binary, back binary")
-    path = new_path(spark, "index")
-    built.write.option("maxRecordsPerFile", 4).parquet(path)  # few large values a file
-    index = spark.read.schema(built.schema).parquet(path)
-    with arrow_rows(spark, 1):
-        found = index.select("words", "forth").mapInArrow(_pairs, "a long, n long").groupBy("a").agg(F.sum("n").alias("f"))
-        pairs = materialise(found.where(F.col("f") >= least), "pairs")
+    seq = rows.where("ids is not null").select("shard", "part", "ids")
+    pair = lambda: seq.groupBy("shard").cogroup(ids.groupBy("shard"))
+    found = pair().applyInArrow(_pairs(depth), "a long, n long").groupBy("a").agg(F.sum("n").alias("f"))
+    pairs = materialise(found.where(F.col("f") >= least), "pairs")
     # of bounded size; what it lets through by chance is counted and found below the least count
     frequent = spark.sparkContext.broadcast(bloom_filter(pairs.select(F.col("a").alias("key")), pairs.count()))
-    with arrow_rows(spark, 1):
-        found = index.select("words", "forth", "back").mapInArrow(_longer(frequent, depth), "a long, b long, c long, n long")
-        more = materialise(found.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "longer")
+    found = pair().applyInArrow(_longer(frequent, depth), "a long, b long, c long, n long")
+    more = materialise(found.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "longer")
     none = F.lit(0).cast("long")
     two = pairs.select("a", none.alias("b"), none.alias("c"), "f")
     high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
