@@ -96,6 +96,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
+def over_texts(run, kind: pa.DataType, limit: int = SLICE_BYTES):
+    """An Arrow function of a text column from ``run``, which sees slices of about ``limit`` bytes: rows stay in the JVM,
+    and only their texts go through Python."""
+    def call(col: pa.Array) -> pa.Array:
+        parts = [run(b.column("text")) for b in slices([pa.RecordBatch.from_arrays([col], names=["text"])], limit=limit)]
+        return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+    return call
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (SplitMix64) over an array of unsigned integers."""
     with np.errstate(over="ignore"):

@@ -35,10 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from passage.llm._common import SPACE, materialise, slices, text_or_empty, utf8
+from passage.llm._common import SPACE, materialise, over_texts, slices, text_or_empty, utf8
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -352,10 +351,8 @@ def mix_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, shard_column: str | None = None) -> DataFrame:
     """The mix itself: every row as often as it is taken, each shard in shuffled order; ``shard_column`` adds the shard's number."""
     sources = plan_sources(materialise(sized(docs), "sizes"))
-    own = docs.columns
-    named = docs.select(F.struct(*own).alias("_row"), F.col("source").cast("string").alias("source"), row_key().alias("key"), text_or_empty().alias("_text"))
-    schema = T.StructType([*named.schema.fields[:-1], T.StructField("size", T.LongType())])
-    rows = named.mapInArrow(_add_size("size"), schema)
+    words = F.arrow_udf(over_texts(lambda col: pa.array(_count_words(col)), pa.int64()), "long")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("source"), row_key().alias("key"), words(text_or_empty()).alias("size"))
     out = draw(rows, sources, shards, seed).select("_row", "key", F.posexplode("shards").alias("_copy", "_shard"))
     # a hash in front of a shard's number splits a large shard; within it rows follow another hash
     out = out.repartition("_shard", F.pmod(F.xxhash64("key", F.lit(seed + 3)), F.lit(16))).sortWithinPartitions("_shard", F.xxhash64("key", "_copy", F.lit(seed + 4)))

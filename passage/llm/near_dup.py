@@ -37,9 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from passage.llm._common import (BASES, LOWER, arrow_rows, bloom_filter, in_bloom, materialise, mix64, slices, text_or_empty,
+from passage.llm._common import (BASES, LOWER, arrow_rows, bloom_filter, in_bloom, materialise, mix64, over_texts, slices, text_or_empty,
                                  utf8, word_bounds, word_hashes)
 
 WORDS = 5
@@ -387,12 +386,10 @@ def clusters(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("cluster_id")).alias("cluster_id"))
 
 
-def _with_node(batches):
-    for b in slices(batches, limit=SLICE):
-        raw, off = utf8(b.column("text"))
-        *_, words, ident = shingles(raw, off)
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array([n if w else None for n, w in zip(_node(ident), words)], pa.binary())],
-                                         names=["row", "id", "node"])
+def _nodes(col: pa.Array) -> pa.Array:
+    raw, off = utf8(col)
+    *_, words, ident = shingles(raw, off)
+    return pa.array([n if w else None for n, w in zip(_node(ident), words)], pa.binary())
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -404,8 +401,10 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     last = F.coalesce("first", F.lit(np.iinfo(np.int64).max))
     keepers = named.groupBy("label").agg(F.min(F.struct(last.alias("id"), "node", "first")).alias("k")).select(F.col("k.node").alias("_n"), F.col("k.first").alias("_first"))
     # the row travels as one value, so its columns' names can't clash with those added here
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    rows = packed.mapInArrow(_with_node, T.StructType([*packed.schema.fields[:2], T.StructField("node", T.BinaryType())]))
-    wordless = rows.where("node is null").select("row.*")
+    node = F.arrow_udf(over_texts(_nodes, pa.binary(), SLICE), "binary")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), node(text_or_empty()).alias("node"))
     mine = rows.where("node is not null").join(keepers, (F.col("node") == F.col("_n")) & F.col("id").eqNullSafe(F.col("_first")))
-    return mine.dropDuplicates(["node"]).select("row.*").union(wordless)
+    # rows repeated with their id: the first in the order of the join's partition
+    place = F.row_number().over(Window.partitionBy("node").orderBy("id"))
+    one = mine.withColumn("place", place).where("place = 1").select("row.*")
+    return one.union(rows.where("node is null").select("row.*"))

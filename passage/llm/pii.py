@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passage.llm._common import materialise, slices, text_or_empty
+from passage.llm._common import materialise, over_texts, slices, text_or_empty
 from passage.llm.spans import Span, flagged, joined, masked, sha256
 
 BASE = ("email", "ip", "card", "phone")
@@ -320,14 +320,13 @@ def scan(docs: DataFrame, model: SpanModel) -> DataFrame:
 
 def mask(docs: DataFrame, model: SpanModel) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; ``n_chars``, if there, follows the text."""
-    def run(batches):
-        for b in slices(batches):
-            at = b.schema.get_field_index("text")
-            texts = None
-            for i, text, base, more in _each(b):
-                texts = texts or b.column(at).to_pylist()
-                texts[i] = masked(text, base + _added(text, more, model), lambda k: f"<{k}>")
-            yield b if texts is None else b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-
-    out = docs.mapInArrow(run, docs.schema)
+    def run(col: pa.Array) -> pa.Array:
+        b, texts = pa.RecordBatch.from_arrays([col], names=["text"]), None
+        for i, text, base, more in _each(b):
+            texts = texts or col.to_pylist()
+            texts[i] = masked(text, base + _added(text, more, model), lambda k: f"<{k}>")
+        return col if texts is None else pa.array(texts, pa.string())
+
+    text = F.arrow_udf(over_texts(run, pa.string()), "string")
+    out = docs.withColumn("text", text(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passage.llm._common import BASES, SPACE, mix64, row_sums, slices, text_or_empty, utf8
+from passage.llm._common import BASES, SPACE, mix64, row_sums, over_texts, slices, text_or_empty, utf8
 from passage.llm.textlr import Model, fit, raw_scores, units
 
 MIN_WORDS = 20
@@ -128,8 +128,5 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
-    def run(batches):
-        for b in slices(batches):
-            yield b.filter(pa.array(_judge(b.column(b.schema.get_field_index("text")), model)[3]))
-
-    return docs.mapInArrow(run, docs.schema)
+    kept = F.arrow_udf(over_texts(lambda col: pa.array(_judge(col, model)[3]), pa.bool_()), "boolean")
+    return docs.where(kept(text_or_empty()))
