@@ -19,33 +19,42 @@ from passage.llm._common import materialise, prepare, read_table
 from passage.llm.tokens import word_tokenizer
 
 
+#: Row groups that the stages write: small ones, as a writer holds one in memory beside the tasks' own needs.
+ROW_GROUP = 16 << 20
+
+
+def _ready(spark: SparkSession) -> None:
+    prepare(spark)
+    spark.conf.set("parquet.block.size", str(ROW_GROUP))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the classifier keep."""
-    prepare(spark)
+    _ready(spark)
     return quality.keep_good(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    prepare(spark)
+    _ready(spark)
     return near_dup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked; n_chars follows the text."""
-    prepare(spark)
+    _ready(spark)
     return pii.mask(docs, pii.fit_pii(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shuffled within the shards."""
-    prepare(spark)
+    _ready(spark)
     return mixing.mixed(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
-    prepare(spark)
+    _ready(spark)
     return packing.pack_documents(docs, word_tokenizer())
 
 
