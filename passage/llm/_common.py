@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -96,12 +97,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: worker processes serve one stage after the other, and idle ones should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def over_texts(run, kind: pa.DataType, limit: int = SLICE_BYTES):
     """An Arrow function of a text column from ``run``, which sees slices of about ``limit`` bytes: rows stay in the JVM,
-    and only their texts go through Python."""
+    and only their texts go through Python. What the worker remembers of tokenizers is dropped, and memory given back."""
     def call(col: pa.Array) -> pa.Array:
-        parts = [run(b.column("text")) for b in slices([pa.RecordBatch.from_arrays([col], names=["text"])], limit=limit)]
-        return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+        from passage.llm import tokens
+        tokens._ENCODERS.clear()
+        parts = [run(b.column("text")).cast(kind) for b in slices([pa.RecordBatch.from_arrays([col], names=["text"])], limit=limit)]
+        give_back()
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
     return call
 
 
