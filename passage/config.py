@@ -45,6 +45,8 @@ class Config:
     # --- patterns (mixture model) ------------------------------------------
     n_components: int = 3
     gmm_max_iter: int = 100
+    gmm_tol: float = 1e-3  # rise of the mean log likelihood that ends the rounds; 0 = never
+    covariance_type: str = "full"  # full, tied, diag, spherical
     seed: int = 42
 
     # --- forecasting -------------------------------------------------------

@@ -3,13 +3,14 @@ Quiet / Moderate / Busy, cluster-quality metrics.
 
 Features are z-scored per key (population std), so one distributed
 Gaussian-mixture fit serves every site and a busy site does not swamp a
-quiet one. Quality metrics are aggregates: per-cluster statistics (k rows)
+quiet one (``mixture.py``). Quality metrics are aggregates: per-cluster statistics (k rows)
 are combined with each point through one k-element array, so no pairwise
 point distances are ever formed.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ from passage.config import Config
 from passage.functions.labels import PATTERN_LABELS, pattern_label
 from passage.operators import DEFAULT_KEYS
 from passage.operators.features import cyclic_features
+from passage.operators.mixture import Mixture, fit_mixture
+from passage.session import scratch_path
 
 V = "avg_devices"
 PATTERN_FEATURES = (V, "hour_sin", "hour_cos", "dow_sin", "dow_cos")
@@ -140,60 +143,59 @@ def silhouette_sq(df: DataFrame, cols, label: str) -> DataFrame:
 
 @dataclass
 class PatternModel:
-    """Fitted pattern model: per-key scaler table, mixture model, mapping of
-    raw component → ordered cluster (0 = quietest)."""
+    """Fitted pattern model: per-key scaler table, mixture, mapping of its
+    components → ordered cluster (0 = quietest)."""
     scaler: DataFrame
-    gmm: object
+    mixture: Mixture
     mapping: dict
     keys: tuple = DEFAULT_KEYS
     features: tuple = PATTERN_FEATURES
     labels: tuple = field(default=PATTERN_LABELS)
-
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-        d = df if "hour_sin" in df.columns else cyclic_features(df)
-        d = apply_zscore(d, self.scaler, self.features, self.keys)
-        va = VectorAssembler(inputCols=[f"{c}_z" for c in self.features], outputCol="_features",
-                             handleInvalid="keep")
-        return va.transform(d)
+    covariance_type: str = "full"
 
     def label(self, df: DataFrame) -> DataFrame:
         """Adds ``cluster`` (0…k-1 ordered by traffic), ``cluster_label`` and
-        ordered probabilities ``p_<label>``."""
-        from pyspark.ml.functions import vector_to_array
-        out = self.gmm.transform(self._vectors(df))
-        m = F.create_map(*[x for kv in self.mapping.items() for x in (F.lit(int(kv[0])), F.lit(int(kv[1])))])
-        prob = vector_to_array(F.col("_prob"))
+        ordered probabilities ``p_<label>``; all NULL where a feature or the
+        row's key is unknown. Ties go to the quieter cluster."""
+        d = df if "hour_sin" in df.columns else cyclic_features(df)
+        z = apply_zscore(d, self.scaler, self.features, self.keys)
+        # a key without a scaler row has no z-scores
+        cols = [f"{c}_z" for c in self.features]
+        z = z.select("*", *[F.when(F.col(c).isNotNull(), F.col(f"{c}_z")).alias(f"_x{i}") for i, c in enumerate(self.features)]).drop(*cols)
+        out = self.mixture.responsibilities(z, [f"_x{i}" for i in range(len(cols))])
         inv = {v: k for k, v in self.mapping.items()}
-        cols = [F.element_at(m, F.col("_raw")).cast("int").alias("cluster")]
-        cols += [prob[int(inv[j])].alias(f"p_{name.lower()}") for j, name in enumerate(self.labels)
-                 if j in inv]
-        out = out.select(*df.columns, *cols)
-        return out.withColumn("cluster_label", pattern_label(F.col("cluster")))
+        ordered = [F.col(f"_r{inv[j]}") for j in sorted(inv)]
+        cluster = F.when(F.col("_ll").isNotNull(), F.array_position(F.array(*ordered), F.greatest(*ordered) if len(ordered) > 1 else ordered[0]) - 1).cast("int")
+        probs = [p.alias(f"p_{name.lower()}") for p, name in zip(ordered, self.labels)]
+        return out.select(*df.columns, cluster.alias("cluster"), *probs).withColumn("cluster_label", pattern_label(F.col("cluster")))
 
 
 def fit_patterns(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, features=PATTERN_FEATURES) -> PatternModel:
-    """Gaussian mixture (k = ``cfg.n_components``, full covariance) on the
-    per-key z-scored features; components are ordered by the mean z-scored
-    traffic of the rows they win."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
+    """Gaussian mixture (k = ``cfg.n_components``, ``cfg.covariance_type``) on
+    the per-key z-scored features, started from the percentile tiers of each
+    key's traffic (with other than three components, from its quantiles). Components are ordered by the mean z-scored traffic of the rows
+    they win; those that win none come last. The z-scored points are written
+    once to the shared folder and read by every round."""
+    k = cfg.n_components
     d = df if "hour_sin" in df.columns else cyclic_features(df)
     stats = zscore_stats(d, features, keys)
-    z = apply_zscore(d, stats, features, keys)
-    va = VectorAssembler(inputCols=[f"{c}_z" for c in features], outputCol="_features", handleInvalid="skip")
-    vec = va.transform(z).select("_features", F.col(f"{features[0]}_z").alias("_v")).cache()
-    gm = GaussianMixture(k=cfg.n_components, maxIter=cfg.gmm_max_iter, seed=cfg.seed,
-                         featuresCol="_features", predictionCol="_raw", probabilityCol="_prob")
-    model = gm.fit(vec)
-    # k rows come back to the driver: the component means of traffic
-    means = (model.transform(vec).groupBy("_raw").agg(F.avg("_v").alias("m")).collect())
-    vec.unpersist()
-    order = sorted(means, key=lambda r: (r["m"] is None, r["m"]))
-    mapping = {int(r["_raw"]): i for i, r in enumerate(order)}
-    # components that win no row go last
-    for j in range(cfg.n_components):
-        if j not in mapping:
-            mapping[j] = len(mapping)
-    return PatternModel(scaler=stats, gmm=model, mapping=mapping, keys=tuple(keys), features=tuple(features))
+    z = apply_zscore(d.select(*keys, *dict.fromkeys([features[0], *features])), stats, features, keys)
+    if k == 3:
+        start = percentile_tiers(z, keys, features[0]).withColumn("_start", F.col("tier"))
+    else:
+        part = Window.partitionBy(*keys)
+        over = [(F.col(features[0]) > F.percentile(features[0], j / k).over(part)).cast("int") for j in range(1, k)]
+        start = z.withColumn("_start", sum(over, F.lit(0)))
+    cols = [f"{c}_z" for c in features]
+    path = scratch_path(df.sparkSession, f"patterns/points-{uuid.uuid4().hex[:12]}")
+    known = start.na.drop(subset=list(features))
+    known.select(*cols, "_start").write.parquet(path)
+    points = df.sparkSession.read.parquet(path)
+    model = fit_mixture(points, cols, "_start", k, cfg.covariance_type, cfg.gmm_max_iter, cfg.gmm_tol)
+    r = [F.col(f"_r{j}") for j in range(k)]
+    best = F.array_position(F.array(*r), F.greatest(*r) if k > 1 else r[0]) - 1
+    # k rows come back to the driver: the mean traffic of each component's rows
+    means = {int(x["c"]): x["m"] for x in model.responsibilities(points, cols).groupBy(best.alias("c")).agg(F.avg(cols[0]).alias("m")).collect()}
+    order = sorted(range(k), key=lambda j: (j not in means, means.get(j, 0.0), j))
+    return PatternModel(scaler=stats, mixture=model, mapping={j: i for i, j in enumerate(order)}, keys=tuple(keys), features=tuple(features),
+                        covariance_type=cfg.covariance_type)

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passage.functions.present import present
-from passage.operators import features, forecast, patterns, snapshot
+from passage.operators import features, forecast, mixture, patterns, snapshot
 from passage.operators.features import cyclic_features
 from passage.plans import sqltwins as sq
 from passage.plans.catalog import CFG1, CFG4, _with, register
-from passage.plans.registry_reports import TIERS_SQL, ml1, target1, tiers4
+from passage.plans.registry_reports import TIERS_SQL, ml1, target1, tiers4, win4
 
 Z = [f"{c}_z" for c in patterns.PATTERN_FEATURES]
 
@@ -111,14 +111,92 @@ def _patterns1(spark, sf_dir):
     return patterns.fit_patterns(cyclic_features(ml1(spark, sf_dir)), CFG1)
 
 
-@register("pattern_clusters")
-def q_pattern_clusters(spark, sf_dir):
-    """Mixture model fitted on the 4-hour windows of all sites; every window
+#: Rounds of the registered mixture fits: a fixed number, so that SQL can follow them.
+ROUNDS = 5
+_D = range(len(patterns.PATTERN_FEATURES))
+
+
+def _mixture_sql(src: str, start: str, kind: str = "full") -> str:
+    """CTEs that fit the mixture on ``src`` by ROUNDS rounds from ``start`` and end in ``lab``: id, cluster and the
+    ordered probabilities q0, q1, q2."""
+    feats = {"avg_devices": "avg_devices", "hour_sin": "sin(2 * pi() * hour / 24)", "hour_cos": "cos(2 * pi() * hour / 24)",
+             "dow_sin": "sin(2 * pi() * day_of_week / 7)", "dow_cos": "cos(2 * pi() * day_of_week / 7)"}
+    std = lambda n: f"stddev_pop(f_{n}) OVER (PARTITION BY site_id)"
+    z = ", ".join(f"CASE WHEN {std(n)} > 0 THEN (f_{n} - avg(f_{n}) OVER (PARTITION BY site_id)) / {std(n)} ELSE 0 END AS x{i}" for i, n in enumerate(feats))
+    pairs = [(a, b) for a in _D for b in _D if a <= b]
+    eps, reg, half = mixture.LEAST_POINTS, mixture.REGULARISATION, len(_D) / 2
+    ctes = [f"pt AS MATERIALIZED (SELECT *, {z} FROM (SELECT row_number() OVER (ORDER BY site_id, timestamp) AS id, *, "
+            + ", ".join(f"{e} AS f_{n}" for n, e in feats.items()) + f", {start} AS s FROM {src}) t)",
+            "r0 AS MATERIALIZED (SELECT id, j, CASE WHEN s = j THEN 1.0::DOUBLE ELSE 0.0 END AS r FROM pt CROSS JOIN (SELECT unnest([0, 1, 2]) AS j) t)"]
+    for n in range(ROUNDS + 1):
+        sums = ", ".join([f"sum(r * x{a}) / (sum(r) + {eps}) AS m{a}" for a in _D] + [f"sum(r * x{a} * x{b}) / (sum(r) + {eps}) AS e{a}{b}" for a, b in pairs])
+        if kind == "full":
+            cov = [f"e{a}{b} - m{a} * m{b}{f' + {reg}' if a == b else ''} AS c{a}{b}" for a, b in pairs]
+        elif kind == "tied":
+            cov = [f"sum(nk * (e{a}{b} - m{a} * m{b})) OVER () / sum(nk) OVER (){f' + {reg}' if a == b else ''} AS c{a}{b}" for a, b in pairs]
+        else:
+            var = [f"greatest(e{a}{a} - m{a} * m{a}, 0)" for a in _D]
+            if kind == "spherical":
+                var = [f"({' + '.join(var)}) / {len(_D)}"] * len(_D)
+            cov = [f"{var[a]} + {reg} AS c{a}{b}" if a == b else f"0.0::DOUBLE AS c{a}{b}" for a, b in pairs]
+        chol = []
+        for j in _D:      # columns of the lower triangular root, one after the other
+            chol.append(f"sqrt(c{j}{j}{''.join(f' - l{j}{m} * l{j}{m}' for m in range(j))}) AS l{j}{j}")
+            chol += [f"(c{j}{i}{''.join(f' - l{i}{m} * l{j}{m}' for m in range(j))}) / l{j}{j} AS l{i}{j}" for i in _D if i > j]
+        solve = [f"(x{i} - m{i}{''.join(f' - l{i}{m} * y{m}' for m in range(i))}) / l{i}{i} AS y{i}" for i in _D]
+        log = f"ln(w) - ({' + '.join(f'ln(l{i}{i})' for i in _D)}) - {half} * ln(2 * pi()) - 0.5 * ({' + '.join(f'y{i} * y{i}' for i in _D)})"
+        ctes += [f"p{n} AS MATERIALIZED (SELECT *, {', '.join(cov)} FROM (SELECT j, sum(r) + {eps} AS nk, (sum(r) + {eps}) / count(*) AS w, {sums} FROM r{n} JOIN pt USING (id) GROUP BY j) t)",
+                 f"h{n} AS MATERIALIZED (SELECT *, {', '.join(chol)} FROM p{n})",
+                 f"l{n} AS MATERIALIZED (SELECT id, j, {', '.join(solve)}, {log} AS l FROM pt CROSS JOIN h{n})",
+                 f"r{n + 1} AS MATERIALIZED (SELECT id, j, exp(l - t) / sum(exp(l - t)) OVER (PARTITION BY id) AS r FROM (SELECT id, j, l, max(l) OVER (PARTITION BY id) AS t FROM l{n}) t)"]
+    last = f"r{ROUNDS + 1}"
+    ctes += [f"won AS (SELECT id, arg_max(j, r) AS j FROM {last} GROUP BY id)",
+             "place AS (SELECT t.j, row_number() OVER (ORDER BY m NULLS LAST, t.j) - 1 AS c FROM (SELECT unnest([0, 1, 2]) AS j) t "
+             "LEFT JOIN (SELECT won.j, avg(x0) AS m FROM won JOIN pt USING (id) GROUP BY won.j) a USING (j))",
+             "lab AS (SELECT id, CAST(arg_max(c, r) AS INTEGER) AS cluster, " + ", ".join(f"max(r) FILTER (WHERE c = {c}) AS q{c}" for c in range(3))
+             + f" FROM {last} JOIN place USING (j) GROUP BY id)"]
+    return ",\n".join(ctes)
+
+
+_LABEL = "['Quiet', 'Moderate', 'Busy'][lab.cluster + 1]"
+
+
+def _clusters_sql(kind: str) -> str:
+    return _with(*TIERS_SQL, _mixture_sql("tiered", "tier", kind)) + f"""
+SELECT pt.site_id, pt.timestamp, pt.avg_devices, lab.cluster, q0 AS p_quiet, q1 AS p_moderate, q2 AS p_busy, {_LABEL} AS cluster_label
+FROM pt JOIN lab USING (id)"""
+
+
+def _clusters(spark, sf_dir, kind: str):
+    """Mixture fitted on the 4-hour windows of all sites; every window
     labelled Quiet / Moderate / Busy with ordered probabilities."""
-    from passage.plans.registry_reports import win4
-    d = cyclic_features(win4(spark, sf_dir))
-    model = patterns.fit_patterns(d, CFG4)
-    return present(model.label(d))
+    d = win4(spark, sf_dir)
+    cfg = CFG4.with_(gmm_max_iter=ROUNDS, gmm_tol=0.0, covariance_type=kind)
+    out = patterns.fit_patterns(d, cfg).label(d)
+    return present(out.select("site_id", "timestamp", "avg_devices", "cluster", "p_quiet", "p_moderate", "p_busy", "cluster_label"))
+
+
+_PROBS = ("avg_devices", "p_quiet", "p_moderate", "p_busy")
+
+
+@register("pattern_clusters", _clusters_sql("full"), doubles=_PROBS)
+def q_pattern_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir, "full")
+
+
+@register("pattern_clusters_tied", _clusters_sql("tied"), doubles=_PROBS)
+def q_pattern_clusters_tied(spark, sf_dir):
+    return _clusters(spark, sf_dir, "tied")
+
+
+@register("pattern_clusters_diag", _clusters_sql("diag"), doubles=_PROBS)
+def q_pattern_clusters_diag(spark, sf_dir):
+    return _clusters(spark, sf_dir, "diag")
+
+
+@register("pattern_clusters_spherical", _clusters_sql("spherical"), doubles=_PROBS)
+def q_pattern_clusters_spherical(spark, sf_dir):
+    return _clusters(spark, sf_dir, "spherical")
 
 
 @register("forecast_predictions")

@@ -40,12 +40,12 @@ def write_one_row_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 
 def save_pattern_model(model, path: str) -> None:
-    """Mixture model + per-key scaler table + component mapping."""
-    model.gmm.write().overwrite().save(f"{path}/gmm")
+    """Per-key scaler table, mixture parameters and component mapping."""
     model.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
     spark = model.scaler.sparkSession
     meta = {"mapping": {str(k): v for k, v in model.mapping.items()}, "keys": list(model.keys),
-            "features": list(model.features), "labels": list(model.labels)}
+            "features": list(model.features), "labels": list(model.labels),
+            "mixture": model.mixture.to_dict(), "covariance_type": model.covariance_type}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
         f"{path}/meta")
 
@@ -53,15 +53,15 @@ def save_pattern_model(model, path: str) -> None:
 def load_pattern_model(spark: SparkSession, path: str):
     """Load a saved pattern model; a missing model raises ``FileNotFoundError``."""
     from pyspark.errors import AnalysisException
-    from pyspark.ml.clustering import GaussianMixtureModel
 
+    from passage.operators.mixture import Mixture
     from passage.operators.patterns import PatternModel
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     except AnalysisException as e:
         raise FileNotFoundError(f"no pattern model at {path}") from e
     return PatternModel(scaler=spark.read.parquet(f"{path}/scaler"),
-                        gmm=GaussianMixtureModel.load(f"{path}/gmm"),
+                        mixture=Mixture.from_dict(meta["mixture"]), covariance_type=meta["covariance_type"],
                         mapping={int(k): int(v) for k, v in meta["mapping"].items()},
                         keys=tuple(meta["keys"]), features=tuple(meta["features"]),
                         labels=tuple(meta["labels"]))
