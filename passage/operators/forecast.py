@@ -1,9 +1,9 @@
 """Forecasting: baselines, metrics, blending, cross-validation folds and the
-gradient-boosted forecaster (Spark ML).
+gradient-boosted forecaster (``boosting.py``).
 
 Deterministic parts (baselines, metrics, folds) are window functions and
-aggregates per key. The boosted model is one distributed Spark ML fit over
-all keys (keys can enter as features)."""
+aggregates per key. The boosted model is one distributed fit over all keys
+(keys can enter as features)."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from passage.config import Config
 from passage.operators import DEFAULT_KEYS
+from passage.operators.boosting import Boosted, fit_boosted
 from passage.operators.features import TARGET, feature_columns, split_flags
 
 V = "avg_devices"
@@ -129,22 +130,13 @@ def cv_linear_trend(df: DataFrame, cfg: Config, n_folds: int = 4, keys=DEFAULT_K
 
 @dataclass
 class Forecaster:
-    model: object
+    model: Boosted
     feature_cols: list
     best_iterations: int
     label: str = TARGET
 
     def predict(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
-        va = VectorAssembler(inputCols=self.feature_cols, outputCol="_features", handleInvalid="keep")
-        x = va.transform(_numeric(df, self.feature_cols))
-        return self.model.transform(x).drop("_features")
-
-
-def _numeric(df: DataFrame, cols) -> DataFrame:
-    kinds = dict(df.dtypes)
-    return df.select(*[F.col(c).cast("double").alias(c) if c in cols and kinds[c] == "boolean" else F.col(c)
-                       for c in df.columns])
+        return self.model.predict(df)
 
 
 def validation_flags(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, how: str = "chronological") -> DataFrame:
@@ -160,61 +152,13 @@ def validation_flags(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, how: str
 
 
 def fit_forecaster(train: DataFrame, cfg: Config, keys=DEFAULT_KEYS, label: str = TARGET,
-                   feature_cols=None, val_how: str = "chronological", num_partitions: int | None = None) -> Forecaster:
-    """Gradient-boosted trees with patience-based early stopping: fit trees
-    on the fit part, score every prefix on the validation part
-    (``evaluateEachIteration``), stop at the first run of
-    ``early_stopping_rounds`` non-improving trees (growing the ensemble in
-    doubling steps up to ``n_estimators`` until that happens) and refit with
-    the best number of trees. Row sub-sampling draws per partition:
-    ``num_partitions`` fixes the training rows' partitioning where models must
-    agree between inputs laid out differently."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+                   feature_cols=None, val_how: str = "chronological") -> Forecaster:
+    """Gradient-boosted trees (``boosting.py``) on the rows that are not
+    validation rows; training stops after ``early_stopping_rounds`` trees
+    without a lower validation error (0: never) and keeps the first best ones.
+    The same rows give the same model however they are partitioned."""
     feats = feature_cols or feature_columns(train, keys, exclude=("timestamp", label))
     d = validation_flags(train, cfg, keys, val_how)
-    d = _numeric(d, feats)
-    va = VectorAssembler(inputCols=feats, outputCol="_features", handleInvalid="keep")
-    d = va.transform(d).select("_features", F.col(label).alias("_label"), "is_val")
-
-    def gbt(n):
-        return GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=n, maxDepth=cfg.max_depth,
-                            stepSize=cfg.learning_rate, subsamplingRate=cfg.subsample,
-                            featureSubsetStrategy=str(cfg.colsample), seed=cfg.seed)
-
-    fit_part = d.where(~F.col("is_val"))
-    fit_part = (fit_part.repartition(num_partitions) if num_partitions else fit_part).cache()
-    val_part = d.where(F.col("is_val")).cache()
-    has_val = val_part.limit(1).count() > 0
-
-    def patience_stop(errs):
-        """Best tree count and whether a run of ``early_stopping_rounds``
-        non-improving trees was seen."""
-        best, best_i, since = float("inf"), 0, 0
-        for i, e in enumerate(errs):
-            if e < best:
-                best, best_i, since = e, i, 0
-            else:
-                since += 1
-                if since >= cfg.early_stopping_rounds:
-                    return best_i + 1, True
-        return best_i + 1, False
-
-    # grow the ensemble in doubling steps until the patience rule fires:
-    # noisy targets stop after a few dozen trees instead of all of them
-    n = cfg.n_estimators if not has_val else min(cfg.n_estimators, 2 * cfg.early_stopping_rounds)
-    while True:
-        model = gbt(n).fit(fit_part)
-        if not has_val:
-            best_n = n
-            break
-        best_n, stopped = patience_stop(model.evaluateEachIteration(val_part, "squared"))
-        if stopped or n >= cfg.n_estimators:
-            break
-        n = min(cfg.n_estimators, 2 * n)
-    if best_n < n:
-        model = gbt(best_n).fit(fit_part)
-    val_part.unpersist()
-    fit_part.unpersist()
-    return Forecaster(model=model, feature_cols=feats, best_iterations=best_n, label=label)
+    model = fit_boosted(d, feats, label, [*keys, "timestamp"], is_val="is_val", trees=cfg.n_estimators, depth=cfg.max_depth, rate=cfg.learning_rate,
+                        subsample=cfg.subsample, colsample=cfg.colsample, patience=cfg.early_stopping_rounds or None, seed=cfg.seed)
+    return Forecaster(model=model, feature_cols=feats, best_iterations=len(model.trees), label=label)

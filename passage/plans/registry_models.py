@@ -1,16 +1,17 @@
 """Registered cluster-quality queries (SQL twins on percentile tiers) and
-model queries (mixture model, boosted trees, snapshot; rows-only checks)."""
+model queries (mixture, boosted trees, snapshot), whose SQL twins repeat the
+fits by a fixed number of rounds or trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from passage.functions.present import present
-from passage.operators import features, forecast, mixture, patterns, snapshot
+from passage.operators import boosting, features, forecast, mixture, patterns, snapshot
 from passage.operators.features import cyclic_features
 from passage.plans import sqltwins as sq
 from passage.plans.catalog import CFG1, CFG4, _with, register
-from passage.plans.registry_reports import TIERS_SQL, ml1, target1, tiers4, win4
+from passage.plans.registry_reports import METRIC_DOUBLES, ML1_SQL, TIERS_SQL, _metrics_sql, ml1, target1, tiers4, win4
 
 Z = [f"{c}_z" for c in patterns.PATTERN_FEATURES]
 
@@ -102,13 +103,58 @@ def q_sequences(spark, sf_dir):
 
 # ------------------------------------------------------------ model fits ----
 
-def _forecaster(spark, sf_dir):
-    d = features.split_flags(target1(spark, sf_dir), CFG1)
-    return forecast.fit_forecaster(d.where(F.col("is_train")).drop("row_index", "is_train"), CFG1)
+#: Trees and depth of the registered boosted fits that SQL follows: whole rows and features, no early stop.
+TREES, DEPTH = 3, 3
+CFG_TREES = CFG1.with_(n_estimators=TREES, max_depth=DEPTH, subsample=1.0, colsample=1.0, early_stopping_rounds=0)
+
+
+def _forecaster(spark, sf_dir, cfg=CFG_TREES):
+    d = features.split_flags(target1(spark, sf_dir), cfg)
+    return forecast.fit_forecaster(d.where(F.col("is_train")).drop("row_index", "is_train"), cfg)
 
 
 def _patterns1(spark, sf_dir):
-    return patterns.fit_patterns(cyclic_features(ml1(spark, sf_dir)), CFG1)
+    return patterns.fit_patterns(cyclic_features(ml1(spark, sf_dir)), CFG1.with_(gmm_max_iter=ROUNDS, gmm_tol=0.0))
+
+
+def _boosted_sql() -> str:
+    """CTEs that grow the trees and end in ``scored``: every row of ``ml`` with its target (or NULL), is_train and prediction."""
+    feats = sq.ml_columns(CFG1)[2:]
+    n, lam, digits = len(feats), boosting.L2, boosting.GAIN_DIGITS
+    probs = ", ".join(str(i / boosting.BINS) for i in range(1, boosting.BINS))
+    known = "avg_devices_future IS NOT NULL"
+    ctes = [f"""feat AS MATERIALIZED (
+  SELECT *, is_train AND rn <= floor(nt * {1.0 - CFG_TREES.validation_fraction}) AS fit FROM (
+    SELECT *, count(*) FILTER (WHERE is_train) OVER (PARTITION BY site_id) AS nt FROM (
+      SELECT *, {known} AND rn <= floor(nk * {CFG_TREES.train_fraction}) AS is_train FROM (
+        SELECT row_number() OVER (ORDER BY site_id, timestamp) AS id, *, row_number() OVER (PARTITION BY site_id ORDER BY timestamp) AS rn,
+               count(avg_devices_future) OVER (PARTITION BY site_id) AS nk, [{", ".join(f"CAST({c} AS DOUBLE)" for c in feats)}] AS x
+        FROM (SELECT *, lead(avg_devices, {CFG_TREES.forecast_horizon}) OVER (PARTITION BY site_id ORDER BY timestamp) AS avg_devices_future FROM ml) t) t) t) t)""",
+            f"cell AS MATERIALIZED (SELECT id, fit, unnest(x) AS v, unnest(range(0, {n})) AS f FROM feat)",
+            f"cut AS MATERIALIZED (SELECT f, list_sort(list_distinct(quantile_cont(v, [{probs}]))) AS q FROM cell WHERE fit GROUP BY f)",
+            "binned AS MATERIALIZED (SELECT id, f, len(list_filter(q, lambda t: t < v)) AS bin FROM cell JOIN cut USING (f))",
+            "s0 AS MATERIALIZED (SELECT id, fit, avg_devices_future AS y, avg(avg_devices_future) FILTER (WHERE fit) OVER () AS p FROM feat)"]
+    for t in range(TREES):
+        ctes.append(f"n{t}_0 AS (SELECT id, 0 AS node FROM feat)")
+        for d in range(DEPTH):
+            ctes += [f"""h{t}_{d} AS MATERIALIZED (
+  SELECT node, f, bin, sum(g) OVER l AS gl, sum(n) OVER l AS nl, sum(g) OVER w AS ga, sum(n) OVER w AS na FROM (
+    SELECT node, f, bin, sum(y - p) AS g, count(*) AS n FROM s{t} JOIN n{t}_{d} USING (id) JOIN binned USING (id) WHERE fit GROUP BY ALL) t
+  WINDOW l AS (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY node, f))""",
+                     f"""b{t}_{d} AS MATERIALIZED (
+  SELECT node, f, bin FROM (SELECT *, round(gl * gl / (nl + {lam}) + (ga - gl) * (ga - gl) / (na - nl + {lam}) - ga * ga / (na + {lam}), {digits}) AS gain
+                            FROM h{t}_{d} WHERE nl < na) t
+  WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1)""",
+                     f"""n{t}_{d + 1} AS MATERIALIZED (
+  SELECT a.id, 2 * a.node + CASE WHEN c.bin > b.bin THEN 2 ELSE 1 END AS node
+  FROM n{t}_{d} a LEFT JOIN b{t}_{d} b ON a.node = b.node LEFT JOIN binned c ON c.id = a.id AND c.f = b.f)"""]
+        ctes += [f"v{t} AS MATERIALIZED (SELECT node, {CFG_TREES.learning_rate} * sum(y - p) / (count(*) + {lam}) AS v FROM s{t} JOIN n{t}_{DEPTH} USING (id) WHERE fit GROUP BY node)",
+                 f"s{t + 1} AS MATERIALIZED (SELECT id, fit, y, p + v AS p FROM s{t} JOIN n{t}_{DEPTH} USING (id) JOIN v{t} USING (node))"]
+    ctes.append(f"scored AS (SELECT feat.*, s{TREES}.p AS prediction FROM feat JOIN s{TREES} USING (id))")
+    return ",\n".join(ctes)
+
+
+BOOSTED_SQL = (*ML1_SQL, _boosted_sql())
 
 
 #: Rounds of the registered mixture fits: a fixed number, so that SQL can follow them.
@@ -199,25 +245,43 @@ def q_pattern_clusters_spherical(spark, sf_dir):
     return _clusters(spark, sf_dir, "spherical")
 
 
-@register("forecast_predictions")
+@register("forecast_predictions", _with(*BOOSTED_SQL) + """
+SELECT site_id, timestamp, avg_devices, avg_devices_future, prediction, avg_devices_future - prediction AS residual
+FROM scored WHERE avg_devices_future IS NOT NULL AND NOT is_train""", doubles=("avg_devices", "avg_devices_future", "prediction", "residual"))
 def q_forecast(spark, sf_dir):
-    """Boosted trees fitted on each site's first 80 % of hourly rows (early
-    stopping on the last 20 % of those); predictions and residuals on the
-    test rows."""
-    d = features.split_flags(target1(spark, sf_dir), CFG1)
-    model = _forecaster(spark, sf_dir)
+    """Boosted trees fitted on each site's first 80 % of hourly rows less
+    their last 20 %; predictions and residuals on the test rows."""
+    return present(_forecasts(spark, sf_dir, CFG_TREES))
+
+
+def _forecasts(spark, sf_dir, cfg):
+    d = features.split_flags(target1(spark, sf_dir), cfg)
+    model = _forecaster(spark, sf_dir, cfg)
     test = d.where(~F.col("is_train")).drop("row_index", "is_train")
     out = model.predict(test).withColumn("residual", F.col("avg_devices_future") - F.col("prediction"))
-    return present(out.select("site_id", "timestamp", "avg_devices", "avg_devices_future", "prediction", "residual"))
+    return out.select("site_id", "timestamp", "avg_devices", "avg_devices_future", "prediction", "residual")
+
+
+@register("forecast_predictions_shipped")
+def q_forecast_shipped(spark, sf_dir):
+    """The same with the shipped configuration: up to 200 trees of depth 6 on
+    drawn rows and features, stopped early on the validation rows."""
+    return present(_forecasts(spark, sf_dir, CFG1))
 
 
-@register("forecast_metrics")
+@register("forecast_metrics", _with(*BOOSTED_SQL) + _metrics_sql("avg_devices_future", "prediction", "site_id", "scored",
+                                                                 "avg_devices_future IS NOT NULL AND NOT is_train"), doubles=METRIC_DOUBLES)
 def q_forecast_metrics(spark, sf_dir):
-    preds = q_forecast(spark, sf_dir)
-    return present(forecast.metrics(preds, "avg_devices_future", "prediction", ["site_id"]))
+    return present(forecast.metrics(_forecasts(spark, sf_dir, CFG_TREES), "avg_devices_future", "prediction", ["site_id"]))
 
 
-@register("prediction_snapshot")
+@register("prediction_snapshot", _with(*BOOSTED_SQL, _mixture_sql(
+    "ml", "CASE WHEN avg_devices < quantile_cont(avg_devices, 0.1) OVER (PARTITION BY site_id) THEN 0 "
+          "WHEN avg_devices > quantile_cont(avg_devices, 0.7) OVER (PARTITION BY site_id) THEN 2 ELSE 1 END")) + f"""
+SELECT site_id, timestamp, scored.avg_devices AS current_traffic, prediction AS predicted_traffic,
+       timestamp + INTERVAL {CFG1.forecast_horizon} HOUR AS forecast_time, {_LABEL} AS current_cluster, q0 AS p_quiet, q1 AS p_moderate, q2 AS p_busy
+FROM scored JOIN pt USING (site_id, timestamp) JOIN lab ON lab.id = pt.id
+QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY timestamp DESC) = 1""", doubles=("current_traffic", "predicted_traffic", "p_quiet", "p_moderate", "p_busy"))
 def q_snapshot(spark, sf_dir):
     """Latest hourly window per site scored by both models."""
     fc = _forecaster(spark, sf_dir)

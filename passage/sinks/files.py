@@ -68,8 +68,7 @@ def load_pattern_model(spark: SparkSession, path: str):
 
 
 def save_forecaster(fc, path: str, spark: SparkSession) -> None:
-    fc.model.write().overwrite().save(f"{path}/gbt")
-    meta = {"feature_cols": fc.feature_cols, "best_iterations": fc.best_iterations, "label": fc.label}
+    meta = {"model": fc.model.to_dict(), "feature_cols": fc.feature_cols, "best_iterations": fc.best_iterations, "label": fc.label}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
         f"{path}/meta")
 
@@ -77,12 +76,12 @@ def save_forecaster(fc, path: str, spark: SparkSession) -> None:
 def load_forecaster(spark: SparkSession, path: str):
     """Load a saved forecaster; a missing model raises ``FileNotFoundError``."""
     from pyspark.errors import AnalysisException
-    from pyspark.ml.regression import GBTRegressionModel
 
+    from passage.operators.boosting import Boosted
     from passage.operators.forecast import Forecaster
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     except AnalysisException as e:
         raise FileNotFoundError(f"no forecaster at {path}") from e
-    return Forecaster(model=GBTRegressionModel.load(f"{path}/gbt"), feature_cols=meta["feature_cols"],
+    return Forecaster(model=Boosted.from_dict(meta["model"]), feature_cols=meta["feature_cols"],
                       best_iterations=meta["best_iterations"], label=meta["label"])
