@@ -110,7 +110,7 @@ def test_tiers(spark):
 
 @pytest.mark.slow
 def test_forecaster_quality_on_structured_fixture(spark):
-    cfg = Config(window_hours=1, n_estimators=60)
+    cfg = Config(window_hours=1, n_estimators=20)
     ml = features.target(features.ml_dataset(structured(spark, days=45), cfg), cfg)
     d = features.split_flags(ml, cfg)
     train = d.where("is_train").drop("row_index", "is_train")
@@ -118,4 +118,4 @@ def test_forecaster_quality_on_structured_fixture(spark):
     fc = forecast.fit_forecaster(train, cfg, feature_cols=None)
     m = forecast.metrics(fc.predict(test), "avg_devices_future", "prediction").first()
     assert m.r2 > 0.7, m
-    assert 1 <= fc.best_iterations <= 60
+    assert 1 <= fc.best_iterations <= 20
