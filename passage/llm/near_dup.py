@@ -256,7 +256,8 @@ def _links(pairs: DataFrame, reps: DataFrame, bags: DataFrame, threshold: float)
     want = near.select(F.col("x").alias("node")).union(near.select(F.col("y").alias("node"))).distinct()
     bloom = _node_filter(want)
     with arrow_rows(spark, PAIR_ROWS):
-        mine = bags.mapInArrow(_wanted(bloom), "node binary, bag binary")
+        # written: a task then never holds two Python workers, one that reads the bags and one that compares them
+        mine = materialise(bags.mapInArrow(_wanted(bloom), "node binary, bag binary"), "wanted")
         xb = mine.select(F.col("node").alias("x"), F.col("bag").alias("x_bag"))
         yb = mine.select(F.col("node").alias("y"), F.col("bag").alias("y_bag"))
         return materialise(near.join(xb, "x").join(yb, "y").select("x", "y", "x_bag", "y_bag").mapInArrow(_verify(threshold), "x binary, y binary"), "links")
@@ -299,12 +300,20 @@ def _retire(members: DataFrame, hubs: DataFrame) -> DataFrame:
     return materialise(left.join(several, "bucket").select(*members.columns), "members")
 
 
-def _items(batches):
-    """node, shingle and count of every shingle of the bags."""
-    for b in batches:
-        for node, raw in zip(b.column("node").to_pylist(), b.column("bag").to_pylist()):
-            item, count = _bag(raw)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * len(item), pa.binary()), pa.array(item.astype(np.int64)), pa.array(count.astype(np.int64))], names=["node", "item", "n"])
+def _items(bloom):
+    """node, shingle and count of every shingle of the bags whose nodes the filter holds."""
+    keep = _wanted(bloom)
+
+    def run(batches):
+        for b in keep(batches):
+            yield from _unpacked(b)
+    return run
+
+
+def _unpacked(b: pa.RecordBatch):
+    for node, raw in zip(b.column("node").to_pylist(), b.column("bag").to_pylist()):
+        item, count = _bag(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([node] * len(item), pa.binary()), pa.array(item.astype(np.int64)), pa.array(count.astype(np.int64))], names=["node", "item", "n"])
 
 
 def _reach(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -313,7 +322,7 @@ def _reach(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     with too few shingles in common with all others is left out."""
     bloom = _node_filter(members.select("node").distinct())
     with arrow_rows(members.sparkSession, PAIR_ROWS):
-        items = materialise(bags.mapInArrow(_wanted(bloom), "node binary, bag binary").mapInArrow(_items, "node binary, item long, n long"), "items")
+        items = materialise(bags.mapInArrow(_items(bloom), "node binary, item long, n long"), "items")
     group = F.pmod("item", F.lit(GROUPS)).cast("int").alias("g")
     several = items.groupBy("node", group).agg(F.sum("n").alias("n"))
     alone = items.groupBy("item").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.sum("n").alias("n")).where("k = 1").groupBy("node", group).agg(F.sum("n").alias("own"))
