@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passage.llm._common import materialise, slices, text_or_empty
-from passage.llm.tokens import encoder
+from passage.llm._common import give_back, materialise, slices, text_or_empty
+from passage.llm.tokens import _ENCODERS, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -39,7 +39,7 @@ FAN_IN = 32
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
+def _cut(path: str, end_id: int, capacity: int, keep_ids: bool, release: bool = False):
     def run(batches):
         enc, uid = encoder(path), TaskContext.get().partitionId() << 36
         for b in slices(batches):
@@ -61,13 +61,18 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
                 names.append("ids")
             uid += len(row)
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        if release:
+            del enc
+            _ENCODERS.clear()
+            give_back()
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids; ``uid`` numbers them. ``keep_ids`` adds the ids."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, release: bool = False) -> DataFrame:
+    """Pieces of at most ``capacity`` ids; ``uid`` numbers them. ``keep_ids`` adds the ids; ``release`` lets each task drop what its
+    worker remembers of the tokenizer, where workers are many for their memory."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, end_id, capacity, keep_ids), _PIECES + (", ids array<int>" if keep_ids else ""))
+    return rows.mapInArrow(_cut(tokenizer, end_id, capacity, keep_ids, release), _PIECES + (", ids array<int>" if keep_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,9 +159,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, local_items: int = LOCAL_IT
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY,
-                   local_items: int = LOCAL_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
+                   local_items: int = LOCAL_ITEMS, fan_in: int = FAN_IN, release: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = materialise(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = materialise(pieces(docs, tokenizer, end_id, capacity, release=release), "pieces")
     placed = pack(cut, capacity, local_items, fan_in)
     return cut.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
