@@ -55,7 +55,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences."""
     _ready(spark)
-    return packing.pack_documents(docs, word_tokenizer())
+    return packing.pack_documents(docs, word_tokenizer(), release=True)
 
 
 STAGES = [
