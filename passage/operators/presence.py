@@ -59,10 +59,16 @@ def previous_scans(scans: DataFrame, cfg: Config, keys=DEFAULT_KEYS) -> DataFram
 
 
 def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",
-                   scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
+                   scans: DataFrame | None = None, dedupe: bool = False,
+                   carried: DataFrame | None = None) -> DataFrame:
     """Adds ``session_start`` (= first_seen of the sighting's session),
     ``dwell_s`` and ``is_transient`` to clean detections.
 
+    ``carried`` (keys, mac_hash, first_seen, last_seen) holds the sessions
+    still open when the detections begin (``open_sessions`` of the part
+    before); with the ``scan`` rule, ``scans`` then needs the site's last scan
+    of that part too.
+
     ``dedupe=True`` also applies the strongest-signal de-duplication; it
     then shares the ``(keys, mac_hash, bucket)`` exchange with the session
     windows (the bucket is a function of the scan time), so detections are
@@ -111,6 +117,11 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
         F.max("timestamp").alias("_last"),
         F.min_by("_ref", "timestamp").alias("_first_ref"),
         F.max(F.when(F.col("_brk"), F.col("timestamp"))).alias("_last_brk"))
+    if carried is not None:  # an open session is one more bucket before all others
+        summ = summ.unionByName(carried.select(
+            *keys, F.lit(-(1 << 63)).cast("long").alias("_b"), "mac_hash", F.col("first_seen").alias("_first"),
+            F.col("last_seen").alias("_last"), F.lit(None).cast("timestamp").alias("_first_ref"),
+            F.col("first_seen").alias("_last_brk")))
     wd = Window.partitionBy(*dev).orderBy("_b")
     prev_last = F.lag("_last").over(wd)
     head_brk = prev_last.isNull() | (seconds_between("_first_ref", prev_last) > F.lit(timeout))
@@ -130,6 +141,35 @@ def session_starts(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: s
                       (dwell <= F.lit(float(cfg.stationary_threshold))).alias("is_transient"))
 
 
+def open_sessions(starts: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan", cut=None,
+                  last_scans: DataFrame | None = None, carried: DataFrame | None = None) -> DataFrame:
+    """(keys, mac_hash, first_seen, last_seen) of the sessions that a later
+    sighting could still continue, from rows with ``session_start`` that end
+    at ``cut`` (``datetime``; rows from then on are the next part's).
+
+    A session is over once the earliest instant that can stand against its
+    last sighting is more than the timeout away: the site's last scan
+    (``last_scans``: keys, last_scan), or the cut for the other two rules.
+    What is carried therefore holds the devices of one timeout, not all
+    devices ever seen."""
+    keys = list(keys)
+    dev = [*keys, "mac_hash"]
+    seen = starts.groupBy(*dev).agg(F.max_by("session_start", "timestamp").alias("first_seen"),
+                                    F.max("timestamp").alias("last_seen"))
+    if carried is not None:  # a device that was seen again comes with its later sighting
+        both = seen.unionByName(carried.select(*seen.columns))
+        seen = both.groupBy(*dev).agg(F.max_by("first_seen", "last_seen").alias("first_seen"),
+                                      F.max("last_seen").alias("last_seen"))
+    if break_rule == "scan":
+        seen = seen.join(last_scans.select(*keys, F.col("last_scan").alias("_ref")), keys, "left")
+    else:
+        back = cfg.scan_interval if break_rule == "tick" else 0
+        seen = seen.withColumn("_ref", F.timestamp_micros(
+            F.unix_micros(F.lit(cut).cast("timestamp")) - F.lit(int(back * 1_000_000))))
+    over = seconds_between("_ref", "last_seen") > F.lit(float(cfg.device_timeout))
+    return seen.where(~F.coalesce(over, F.lit(False))).select(*dev, "first_seen", "last_seen")
+
+
 def transient_only(det: DataFrame, cfg: Config, keys=DEFAULT_KEYS, break_rule: str = "scan",
                    scans: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
     """Sightings of devices passing by (stationary ones removed)."""
