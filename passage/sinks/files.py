@@ -4,20 +4,29 @@ driver-local files), so jobs survive executor loss and run on a cluster."""
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passage.operators.clean import drop_empty_scans
+from passage.sources.scans import WRITE
 
 
-def append_scans(scans: DataFrame, path: str, log_empty: bool = False, fmt: str = "json") -> None:
+def append_scans(scans: DataFrame, path: str, log_empty: bool = False, fmt: str = "json",
+                 write_id: str | None = None) -> None:
     """Append scan records, one folder per site and scan date (the daily
     file of the original system); empty scans are skipped unless
-    ``log_empty``."""
+    ``log_empty``.
+
+    Inside a day each write has a folder of its own, named by ``write_id``
+    (fresh unless given). A write repeated under its name replaces its own
+    rows only, so a retried job or a replayed micro-batch adds nothing, and
+    batch jobs and streams can share one log."""
     out = scans if log_empty else drop_empty_scans(scans)
-    w = (out.withColumn("scan_date", F.to_date("timestamp"))
-            .write.mode("append").partitionBy("site_id", "scan_date").format(fmt))
+    w = (out.withColumn("scan_date", F.to_date("timestamp")).withColumn(WRITE, F.lit(write_id or f"b{uuid.uuid4().hex}"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("site_id", "scan_date", WRITE).format(fmt))
     if fmt == "json":  # naive ISO timestamps with microseconds, like the capture logs
         w = w.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     w.save(path)

@@ -10,16 +10,17 @@ file is opened and the ``timestamp`` predicate is checked per row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passage.operators import DEFAULT_KEYS
-
+from passage.operators.counted import keep_counted
 from passage.schemas import SCAN, SCAN_WITH_CORRUPT
 from passage.session import ensure_utc
 
 SCAN_GLOB = "scan_*.jsonl"
+WRITE = "write_id"  # folder of one write of the scan log (``sinks.files``)
 
 
 def _reader(spark: SparkSession, glob: str | None):
@@ -44,27 +45,41 @@ def read_scans_raw(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB)
 def date_range(df: DataFrame, start=None, end=None, ts: str = "timestamp") -> DataFrame:
     """``start <= ts <= end``; a bare date as ``end`` means its midnight.
     With a ``scan_date`` partition column the same bounds prune folders."""
-    out = df
+    out = _folders(df, start, end) if "scan_date" in df.columns else df
     if start is not None:
         out = out.where(F.col(ts) >= F.lit(start).cast("timestamp"))
-        if "scan_date" in df.columns:
-            out = out.where(F.col("scan_date") >= F.to_date(F.lit(start).cast("timestamp")))
     if end is not None:
         out = out.where(F.col(ts) <= F.lit(end).cast("timestamp"))
-        if "scan_date" in df.columns:
-            out = out.where(F.col("scan_date") <= F.to_date(F.lit(end).cast("timestamp")))
     return out
 
 
+def _folders(df: DataFrame, start, end) -> DataFrame:
+    if start is not None:
+        df = df.where(F.col("scan_date") >= F.to_date(F.lit(start).cast("timestamp")))
+    if end is not None:
+        df = df.where(F.col("scan_date") <= F.to_date(F.lit(end).cast("timestamp")))
+    return df
+
+
 def read_scans(spark: SparkSession, path: str, start=None, end=None, site_id: str | None = None,
-               glob: str | None = SCAN_GLOB) -> DataFrame:
+               glob: str | None = SCAN_GLOB, seen: Observation | None = None) -> DataFrame:
     """Scan records (corrupt lines dropped), optionally within ``[start, end]``.
 
     A usable record parsed cleanly and has a timestamp (the predicate also
     keeps Spark from planning a read of the corrupt column alone).
-    ``site_id`` fills the site of single-site logs that do not carry one."""
+    ``site_id`` fills the site of single-site logs that do not carry one.
+    ``seen`` gets the lines read and those dropped as ``corrupt`` or
+    ``undated``, counted as they are read (in the date folders of the range;
+    a line without a date lies in none of them)."""
     df = read_scans_raw(spark, path, glob)
-    df = df.where(_usable()).drop("_corrupt_record")
+    if seen is None:
+        df = df.where(_usable())
+    else:
+        if "scan_date" in df.columns:
+            df = _folders(df, start, end)
+        bad = F.col("_corrupt_record").isNotNull()
+        df = keep_counted(df, _usable(), seen, {"corrupt": bad, "undated": ~bad & F.col("timestamp").isNull()})
+    df = df.drop("_corrupt_record", WRITE)
     if site_id is not None:
         df = df.withColumn("site_id", F.coalesce("site_id", F.lit(site_id)))
     return date_range(df, start, end)
@@ -88,7 +103,7 @@ def stream_scans(spark: SparkSession, path: str, glob: str | None = SCAN_GLOB,
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path).where(_usable()).drop("_corrupt_record")
+    return r.json(path).where(_usable()).drop("_corrupt_record", WRITE)
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, keys=DEFAULT_KEYS) -> DataFrame:

@@ -11,20 +11,20 @@
   dropped within the watermark, per-scan counts, then windows (chained
   time-window aggregations).
 * ``live_sessions``         — presence sessions by ``session_window``.
-* ``start_snapshot_refresh``— periodic re-scoring into a snapshot table
-  (``foreachBatch``).
+* ``start_snapshot_refresh``— periodic re-scoring into versioned snapshots
+  (``foreachBatch``, published by a manifest).
 Checkpoints live under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,6 +34,8 @@ from passage.operators import DEFAULT_KEYS
 from passage.operators.clean import clean_nested, drop_empty_scans
 from passage.operators.windows import _stats, scan_counts_nested
 from passage.session import scratch_path
+from passage.sinks import folders
+from passage.sinks.files import append_scans
 
 
 def live_clean(scans: DataFrame, cfg: Config, log_empty: bool | None = None) -> DataFrame:
@@ -149,18 +151,26 @@ def live_sessions(det: DataFrame, cfg: Config, watermark: str = "6 hours", keys=
 
 def start_scan_log(scans: DataFrame, out_path: str, name: str, fmt: str = "json",
                    trigger: str | None = None):
-    """Streaming twin of ``sinks.files.append_scans``: clean scan records
-    appended per site and scan date, exactly once through the checkpoint."""
+    """Streaming twin of ``sinks.files.append_scans``, into the same log:
+    each micro-batch is a write named by the query and its epoch, so a batch that
+    is replayed after a failure replaces what it had written."""
     spark = scans.sparkSession
     ckpt = scratch_path(spark, f"streams/{name}/checkpoint")
-    w = (scans.withColumn("scan_date", F.to_date("timestamp")).writeStream.format(fmt)
-         .option("path", out_path).option("checkpointLocation", ckpt)
-         .partitionBy("site_id", "scan_date").outputMode("append"))
-    if fmt == "json":
-        w = w.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        append_scans(batch, out_path, log_empty=True, fmt=fmt,
+                     write_id=f"s{query_id(batch.sparkSession, ckpt)}-{epoch_id}")
+
+    w = scans.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
     return w.trigger(processingTime=trigger).start() if trigger else w.trigger(availableNow=True).start()
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the query a checkpoint belongs to: the same after a restart,
+    another one for a new checkpoint (whose epochs count from 0 again)."""
+    return json.loads(folders.read_small(spark, f"{checkpoint}/metadata"))["id"]
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, available_now: bool = True,
                  fmt: str = "parquet"):
     """Run a stream into a fresh ``<checkpoint dir>/streams/<name>-<id>``
@@ -176,36 +186,65 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, available_no
     return out, q
 
 
+#: Published snapshots that stay for readers that hold an older one.
+KEPT_SNAPSHOTS = 3
+
+
+def _published(spark: SparkSession, path: str) -> list[dict]:
+    """Manifests of the published snapshots, oldest first."""
+    return [json.loads(folders.read_small(spark, f)) for f in folders.matching(spark, f"{path}/manifest/v*")]
+
+
+def read_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The newest published snapshot, or None before the first one."""
+    known = _published(spark, path)
+    if not known:
+        return None
+    r = spark.read.schema(schema) if schema is not None else spark.read
+    return r.parquet(f"{path}/data/{known[-1]['folder']}")
+
+
+def publish_snapshot(new: DataFrame, path: str, query: str, epoch_id: int, keys=DEFAULT_KEYS) -> bool:
+    """One epoch into the snapshot table: the keys in ``new`` are renewed, all
+    others keep their rows.
+
+    The whole version is written to a folder named by query and epoch, then
+    a manifest with the next number makes it the current one in one rename;
+    old versions go last. Stopped before the rename, readers and the replay
+    see the version before; stopped after it, the replay finds its epoch
+    published and does nothing (False)."""
+    spark = new.sparkSession
+    known = _published(spark, path)
+    if any(m["query"] == query and m["epoch"] >= epoch_id for m in known):
+        return False
+    old = read_snapshot(spark, path, new.schema)
+    merged = new
+    if old is not None:  # one pass over the scored rows: a key's new rows hide its old ones
+        both = new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
+        renewed = F.max("_new").over(Window.partitionBy(*keys))
+        merged = both.withColumn("_renewed", renewed).where(F.col("_new") | ~F.col("_renewed")).drop("_new", "_renewed")
+    folder = f"{query}-{epoch_id}"
+    merged.write.mode("overwrite").parquet(f"{path}/data/{folder}")
+    number = known[-1]["version"] + 1 if known else 0
+    folders.publish(spark, f"{path}/manifest/v{number:012d}",
+                    json.dumps({"version": number, "query": query, "epoch": epoch_id, "folder": folder}))
+    for m in known[:max(0, len(known) + 1 - KEPT_SNAPSHOTS)]:  # a manifest goes before its rows
+        folders.remove(spark, f"{path}/manifest/v{m['version']:012d}")
+        folders.remove(spark, f"{path}/data/{m['folder']}")
+    return True
+
+
 def start_snapshot_refresh(windows_stream: DataFrame, score, out_path: str, name: str,
                            interval: str = "60 seconds", keys=DEFAULT_KEYS):
     """Every ``interval``: score the newest windows with ``score(batch_df)``
     (e.g. ``snapshot.score_latest`` with fitted models) and renew those sites
-    in the snapshot table at ``out_path``; sites without news keep their row.
-    Each snapshot is first written whole to the shared folder, from where the
-    next one starts, so a failed overwrite loses nothing."""
-    spark = windows_stream.sparkSession
-    ckpt = scratch_path(spark, f"streams/{name}/checkpoint")
-    run = uuid.uuid4().hex[:12]
-    last: dict[str, str] = {}
+    in the snapshot table at ``out_path`` (``read_snapshot`` reads it); sites
+    without news keep their row. Each trigger writes one version."""
+    ckpt = scratch_path(windows_stream.sparkSession, f"streams/{name}/checkpoint")
 
     def refresh(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        session = batch.sparkSession
-        new = score(batch)
-        path = scratch_path(spark, f"streams/{name}/snapshots/{run}-{epoch_id}")
-        new.write.mode("overwrite").parquet(f"{path}-new")
-        new = session.read.schema(new.schema).parquet(f"{path}-new")
-        merged = new
-        try:  # after a restart the published table is the last snapshot
-            old = session.read.schema(new.schema).parquet(last.get("path", out_path))
-        except AnalysisException:
-            old = None
-        if old is not None:
-            merged = new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns))
-        merged.write.mode("overwrite").parquet(path)
-        session.read.schema(new.schema).parquet(path).write.mode("overwrite").parquet(out_path)
-        last["path"] = path
+        if not batch.isEmpty():
+            publish_snapshot(score(batch), out_path, query_id(batch.sparkSession, ckpt), epoch_id, keys)
 
     return (windows_stream.writeStream.foreachBatch(refresh).option("checkpointLocation", ckpt)
             .trigger(processingTime=interval).start())

@@ -164,4 +164,4 @@ def test_snapshot_keeps_sites_without_news(spark, tmpdir_str):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert {r.site_id for r in spark.read.parquet(f"{tmpdir_str}/snap").collect()} == {"a", "b"}
+    assert {r.site_id for r in live.read_snapshot(spark, f"{tmpdir_str}/snap").collect()} == {"a", "b"}

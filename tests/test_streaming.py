@@ -67,11 +67,11 @@ def test_snapshot_refresh_overwrites_table(spark, tmpdir_str):
     q = live.start_snapshot_refresh(stream, lambda b: reports.latest(b), out, "snap", interval="1 second")
     try:
         deadline = time.time() + 120
-        while time.time() < deadline and not os.path.exists(os.path.join(out, "_SUCCESS")):
+        while time.time() < deadline and live.read_snapshot(spark, out) is None:
             time.sleep(1)
     finally:
         q.stop()
-    snap = spark.read.parquet(out)
+    snap = live.read_snapshot(spark, out)
     assert snap.count() == 4  # one latest window per site
 
 
