@@ -57,6 +57,16 @@ def retain(df: DataFrame, as_of, days: int, ts: str = "timestamp") -> DataFrame:
     return df.withColumn("_cutoff", cutoff).where(F.col(ts) >= F.col("_cutoff")).drop("_cutoff")
 
 
+def retention_job(spark, raw_path: str, processed_path: str, cfg: Config, as_of, listed_at: str | None = None):
+    """Remove date folders beyond the configured retention: raw scans after
+    ``raw_retention_days``, processed tables after
+    ``processed_retention_days``; returns the list of what went."""
+    from passage.sinks import folders
+    raw = folders.expire(spark, raw_path, as_of, cfg.raw_retention_days, listed_at=listed_at)
+    return raw.unionByName(folders.expire(spark, processed_path, as_of, cfg.processed_retention_days,
+                                          listed_at=listed_at))
+
+
 def retrain_due(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, last_trained: str | None = None,
                 as_of=None) -> DataFrame:
     """Per key: samples, newest row and whether retraining is due (enough
