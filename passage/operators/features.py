@@ -10,12 +10,13 @@ aggregates (a few per day per site), so per-key partitions stay small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from passage.config import Config
 from passage.functions import timecols as tc
 from passage.operators import DEFAULT_KEYS
+from passage.operators.counted import kept_rows
 
 TARGET = "avg_devices_future"
 SEQUENCE_FEATURES = ("avg_devices", "hour", "day_of_week", "is_weekend")
@@ -90,11 +91,14 @@ def rolling(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = N
     return df.select("*", *rolling_columns(cfg, keys, value))
 
 
-def ml_dataset(windows: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = None) -> DataFrame:
+def ml_dataset(windows: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = None,
+               seen: Observation | None = None) -> DataFrame:
     """Window table + lags + rolling statistics, rows with any NULL removed
-    (warm-up rows, single-scan windows)."""
-    wide = windows.select("*", *lag_columns(cfg, keys, value), *rolling_columns(cfg, keys, value))
-    return wide.na.drop()
+    (warm-up rows, single-scan windows). ``seen`` gets the number of rows kept
+    when the result is first read: of every window one row is made, so the rest
+    of the windows were dropped."""
+    wide = windows.select("*", *lag_columns(cfg, keys, value), *rolling_columns(cfg, keys, value)).na.drop()
+    return wide if seen is None else kept_rows(wide, seen)
 
 
 def target(df: DataFrame, cfg: Config, keys=DEFAULT_KEYS, value: str | None = None,

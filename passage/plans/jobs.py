@@ -6,9 +6,10 @@ job, nothing passes through the driver except k-row model summaries."""
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from passage.config import Config
@@ -22,21 +23,35 @@ def processing_job(spark: SparkSession, raw_path: str, out_path: str, cfg: Confi
                    capture_clean: bool = False, keys=DEFAULT_KEYS,
                    glob: str | None = scan_source.SCAN_GLOB, site_id: str | None = None) -> dict:
     """Read scan logs, build the window table and the ML dataset, write both
-    (partitioned by site) with metadata; returns the output paths.
+    (partitioned by site) with metadata; returns the output paths and the
+    numbers of dropped rows, which are also written (``dropped_rows``). The ML
+    dataset is built from the written windows, so the logs are read once;
+    an empty one (too short a history) is a warning.
     ``glob=None`` reads logs written by ``sinks.files.append_scans``;
     ``site_id`` names the site of logs that carry none. Records without a
     site are an error: no window could be attributed to them."""
-    scans = scan_source.read_scans(spark, raw_path, start, end, site_id=site_id, glob=glob)
-    if scans.where(F.col("site_id").isNull()).limit(1).count():
+    if scan_source.read_scans(spark, raw_path, start, end, site_id=site_id, glob=glob).where(
+            F.col("site_id").isNull()).limit(1).count():
         raise ValueError("scan records without site_id: pass site_id")
-    win, ml = process_scans(scans, cfg, keys, capture_clean=capture_clean)
+    # the capture steps read the records twice (sightings and scan instants), so lines are not counted with them
+    lines, feats = (None if capture_clean else Observation()), Observation()
+    scans = scan_source.read_scans(spark, raw_path, start, end, site_id=site_id, glob=glob, seen=lines)
+    win, _ = process_scans(scans, cfg, keys, capture_clean=capture_clean)
     files.write_dataset(win, f"{out_path}/windows")
-    # the ML dataset is read back from storage: lineage is cut at the write
-    files.write_dataset(ml, f"{out_path}/ml_dataset")
+    win_back = scan_source.read_dataset(spark, f"{out_path}/windows").select(*win.columns)
+    files.write_dataset(features.ml_dataset(win_back, cfg, keys, seen=feats), f"{out_path}/ml_dataset")
     ml_back = scan_source.read_dataset(spark, f"{out_path}/ml_dataset")
     files.write_one_row_json(reports.metadata(ml_back), f"{out_path}/ml_dataset_metadata")
     files.write_one_row_json(reports.dataset_stats(ml_back, keys), f"{out_path}/ml_dataset_stats")
-    return {"windows": f"{out_path}/windows", "ml_dataset": f"{out_path}/ml_dataset"}
+    rows, kept = win_back.count(), feats.get["kept"]  # the count is read from the files' footers
+    dropped = [("scan_lines", reason, int(n)) for reason, n in (lines.get if lines else {}).items()]
+    dropped += [("ml_rows", "rows", rows), ("ml_rows", "dropped", rows - kept)]
+    files.write_one_row_json(spark.createDataFrame(dropped, "step string, reason string, number long").coalesce(1),
+                             f"{out_path}/dropped_rows")
+    if not kept:
+        warnings.warn(f"empty ML dataset: all {rows} windows lack a lag or a rolling value", stacklevel=2)
+    return {"windows": f"{out_path}/windows", "ml_dataset": f"{out_path}/ml_dataset",
+            "dropped": {(step, reason): n for step, reason, n in dropped}}
 
 
 @dataclass

@@ -204,3 +204,4 @@ def oracle_sql() -> dict[str, str]:
 from passage.plans import registry_reports  # noqa: E402,F401
 from passage.plans import registry_models  # noqa: E402,F401
 from passage.plans import registry_streams  # noqa: E402,F401
+from passage.plans import registry_stored  # noqa: E402,F401
