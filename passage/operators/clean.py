@@ -99,13 +99,16 @@ def clean_nested(scans: DataFrame, cfg: Config) -> DataFrame:
             i.alias("pos")))
     kept = F.filter(devs, lambda d: passes_rssi(d["rssi"], d["protocol"], thr))
     # sort by (hash, strongest first with no reading last, arrival); the first
-    # element of each hash run wins — O(n log n) per scan, no pairwise work
-    keyed = F.array_sort(F.transform(kept, lambda d: F.struct(
+    # element of each hash run wins — O(n log n) per scan, no pairwise work: the
+    # sorted array is bound to a lambda variable, as an expression used inside
+    # another's lambda would be sorted again for each element
+    keyed = F.sort_array(F.transform(kept, lambda d: F.struct(
         d["mac_hash"].alias("h"),
         F.coalesce(-d["rssi"], F.lit(1 << 20)).alias("k"),
         d["pos"].alias("pos"), d["rssi"].alias("rssi"), d["protocol"].alias("protocol"))))
-    best = F.filter(keyed, lambda d, i: (i == 0) | (keyed[i - 1]["h"] != d["h"]))
-    by_arrival = F.array_sort(F.transform(best, lambda d: F.struct(
+    best = F.flatten(F.transform(F.array(keyed), lambda a: F.filter(
+        a, lambda d, i: (i == 0) | ~F.get(a, i - 1)["h"].eqNullSafe(d["h"]))))
+    by_arrival = F.sort_array(F.transform(best, lambda d: F.struct(
         d["pos"].alias("pos"), d["h"].alias("mac_hash"), d["rssi"].alias("rssi"),
         d["protocol"].alias("protocol"))))
     out = F.transform(by_arrival, lambda d: F.struct(d["mac_hash"].alias("mac_hash"),

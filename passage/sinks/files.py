@@ -22,9 +22,14 @@ def append_scans(scans: DataFrame, path: str, log_empty: bool = False, fmt: str
     Inside a day each write has a folder of its own, named by ``write_id``
     (fresh unless given). A write repeated under its name replaces its own
     rows only, so a retried job or a replayed micro-batch adds nothing, and
-    batch jobs and streams can share one log."""
+    batch jobs and streams can share one log.
+
+    The rows of a folder meet before they are written (a large folder is split
+    again by its size), so that files grow with the folders and the bytes, not
+    with folders times tasks."""
     out = scans if log_empty else drop_empty_scans(scans)
     w = (out.withColumn("scan_date", F.to_date("timestamp")).withColumn(WRITE, F.lit(write_id or f"b{uuid.uuid4().hex}"))
+            .hint("rebalance", "site_id", "scan_date")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("site_id", "scan_date", WRITE).format(fmt))
     if fmt == "json":  # naive ISO timestamps with microseconds, like the capture logs

@@ -67,6 +67,20 @@ def test_nested_twin_equals_flat(spark):
     assert clean.drop_empty_scans(nested).where(F.size("devices") == 0).count() == 0
 
 
+def test_nested_scan_is_sorted_once(spark):
+    """A scan of many devices: its list is sorted once, not again for each device; a missing hash is a device too."""
+    n = 4000
+    devs = [(f"m{i % (n // 2):05d}" if i % 7 else None, -40 - i % 30, "ble") for i in range(n)]
+    sdf = spark.createDataFrame([("s", T0, 0, n, devs)], SCAN)
+    nested = clean.clean_nested(sdf, CFG)
+    # the default protocol is filled in where the list is made: more mentions, more sorts of the list
+    assert nested.select("devices")._jdf.queryExecution().optimizedPlan().toString().count("unknown") == 1
+    flat = sdf.select("site_id", "timestamp", "scan_id", F.posexplode("devices").alias("arrival", "d")).select("*", "d.*").drop("d")
+    key = lambda r: (r[0] or "", r[1], r[2])
+    want = [tuple(r) for r in clean.clean_detections(flat, CFG).select("mac_hash", "rssi", "protocol").collect()]
+    assert sorted((tuple(d) for d in nested.first().devices), key=key) == sorted(want, key=key)
+
+
 def test_hash_ids(spark):
     import hashlib
     df = spark.createDataFrame([("AA:BB",)], "mac string")

@@ -125,6 +125,16 @@ def test_batch_and_stream_share_one_scan_log(spark, tmpdir_str):
     assert "write_id" not in S.read_scans(spark, out, glob=None).columns
 
 
+def test_a_write_makes_a_file_a_day_not_one_a_task_and_day(spark, tmpdir_str):
+    days, rows = 5, None
+    for day in range(1, days + 1):
+        rows = scan_rows(spark, 20, day) if rows is None else rows.unionByName(scan_rows(spark, 20, day))
+    files.append_scans(rows.repartition(16), f"{tmpdir_str}/log")
+    made = [f for _, _, names in os.walk(f"{tmpdir_str}/log") for f in names if f.endswith(".json")]
+    assert len(made) == days
+    assert S.read_scans(spark, f"{tmpdir_str}/log", glob=None).count() == 20 * days
+
+
 def test_retention_removes_folders_before_the_cut_off_day(spark, tmpdir_str):
     for day in (1, 2, 3):
         files.append_scans(scan_rows(spark, 2, day), f"{tmpdir_str}/raw")
