@@ -143,6 +143,29 @@ def test_trees_do_not_depend_on_partitions_and_stop_early(spark):
     assert math.isclose(mse, min(one.errors), rel_tol=1e-9)
 
 
+def test_subtrees_in_groups_are_the_levels_trees(spark, monkeypatch):
+    """Grown by levels only, by some levels and then groups, or in one group: the same trees."""
+    x, y = _rows()
+    df, made = _table(spark, x, y, np.arange(len(y)) % 5 == 0), []
+    for most in (0, 100, 1 << 16):
+        monkeypatch.setattr(boosting, "NODE_ROWS", most)
+        made.append(boosting.fit_boosted(df, ["a", "b", "c"], "y", ["id"], is_val="v", trees=2, depth=4, subsample=0.8, colsample=0.7))
+    for m in made[1:]:
+        assert [(t.feature, t.cut, t.threshold) for t in m.trees] == [(t.feature, t.cut, t.threshold) for t in made[0].trees]
+        assert np.allclose([t.value for t in m.trees], [t.value for t in made[0].trees]) and np.allclose(m.errors, made[0].errors)
+
+
+def test_jobs_of_a_tree_do_not_grow_with_its_depth(spark):
+    x, y = _rows(200)
+    df, sc, jobs = _table(spark, x, y), spark.sparkContext, []
+    for trees in (1, 3):
+        sc.setJobGroup(f"boosting-{trees}", "")
+        boosting.fit_boosted(df, ["a", "b", "c"], "y", ["id"], trees=trees, depth=6)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"boosting-{trees}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 2 * 5
+
+
 def test_trees_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 2.0, 1.0), (2, 1.0, None, 3.0), (3, 1.0, 2.0, None), (3, 1.0, 2.0, 5.0)], "id long, a double, b double, y double")
     m = boosting.fit_boosted(df, ["a", "b"], "y", ["id"], trees=2, depth=2)
