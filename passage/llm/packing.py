@@ -36,13 +36,16 @@ LOCAL_ITEMS = 50_000
 #: Partitions that meet in one task of a later round.
 FAN_IN = 32
 
+#: Text read at once where a worker has to be small.
+SMALL_SLICE = 1 << 20
+
 _PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(path: str, end_id: int, capacity: int, keep_ids: bool, release: bool = False):
     def run(batches):
         enc, uid = encoder(path), TaskContext.get().partitionId() << 36
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_SLICE) if release else slices(batches):
             ids, bounds = enc.encode(b.column("text"), end_id)
             sizes = np.diff(bounds)
             count = -(-sizes // capacity)
@@ -70,7 +73,7 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool, release: bool =
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, keep_ids: bool = False, release: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids; ``uid`` numbers them. ``keep_ids`` adds the ids; ``release`` lets each task drop what its
-    worker remembers of the tokenizer, where workers are many for their memory."""
+    worker remembers of the tokenizer and read less text at once, where workers are many for their memory."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_cut(tokenizer, end_id, capacity, keep_ids, release), _PIECES + (", ids array<int>" if keep_ids else ""))
 

@@ -395,3 +395,23 @@ def test_every_operator_is_registered():
     names = set(entry.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(queries.SQL) <= names
+
+
+def test_small_workers_encode_little_text_at_once(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from passage.llm import packing
+    seen = []
+
+    def encode(col, end_id):
+        seen.append(sum(len(t) for t in col.to_pylist()))
+        return np.zeros(len(col), np.int32), np.arange(len(col) + 1)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: SimpleNamespace(encode=encode))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["x" * 100_000] * 40})
+    out = [b.num_rows for b in packing._cut("", 0, 2048, False, release=True)([batch])]
+    assert sum(out) == 40 and sum(seen) == 4_000_000 and max(seen) <= (1 << 20) + 100_000
