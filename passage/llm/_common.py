@@ -56,12 +56,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a task writes at least of a table known to be small.
+TASK_ROWS = 1 << 14
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder once and read it back: later
-    steps neither recompute it nor depend on the executors that made it."""
+    steps neither recompute it nor depend on the executors that made it.
+    ``rows``: how many it has at most; a small table is then written by few tasks, however many a shuffle has."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // TASK_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

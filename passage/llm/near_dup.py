@@ -16,7 +16,7 @@
    hold most classes) is its hub. Members are compared with the hubs of their
    buckets and with the hubs of those hubs, and links make components. Then
    rounds follow: of the members outside the largest component of a bucket the
-   most central ones (1, then 8, 64, ... a bucket) are compared with every
+   most central ones (64, then 512, ... a bucket) are compared with every
    member of another component and retire from the bucket. Pairs are left out
    only by an upper bound of their overlap. Rounds end when no
    bucket holds two components, so every pair of a bucket was compared or is
@@ -46,7 +46,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 POSITIONS = BANDS * ROWS
 SCREEN = 0.6
-#: Growth of the hubs a bucket gives from round to round, and parts in which a bucket meets them.
+#: Hubs a bucket gives in the first round, their growth from round to round, and parts in which a bucket meets them.
+FIRST_HUBS = 64
 MORE_HUBS = 8
 SALT = 16
 #: Groups of shingles, by hash, whose counts bound the overlap of two texts.
@@ -227,12 +228,13 @@ def _prefix(c: str):
 
 
 def _node_filter(nodes: DataFrame):
-    """A broadcast filter, of bounded size, that holds the distinct ``nodes``."""
-    return nodes.sparkSession.sparkContext.broadcast(bloom_filter(nodes.select(_prefix("node")), nodes.count()))
+    """A broadcast filter, of bounded size, that holds the ``nodes``; they may repeat."""
+    distinct = nodes.agg(F.approx_count_distinct("node")).first()[0]
+    return nodes.sparkSession.sparkContext.broadcast(bloom_filter(nodes.select(_prefix("node")), distinct))
 
 
 def bags_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node and bag (its multiset of shingles) of the distinct ``nodes``: a written table."""
+    """node and bag (its multiset of shingles) of the ``nodes``, which may repeat: a written table."""
     # copies of a text give equal rows: one is kept, and rows the filter let through by chance meet no pair
     return materialise(texts.mapInArrow(_payloads(_node_filter(nodes)), "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
@@ -253,8 +255,9 @@ def _links(pairs: DataFrame, reps: DataFrame, bags: DataFrame, threshold: float)
     x = sig.select(F.col("node").alias("x"), F.col("sig").alias("x_sig"))
     y = sig.select(F.col("node").alias("y"), F.col("sig").alias("y_sig"))
     near = materialise(pairs.join(x, "x").join(y, "y").select("x", "y", "x_sig", "y_sig").mapInArrow(_screen, "x binary, y binary"), "pairs")
-    want = near.select(F.col("x").alias("node")).union(near.select(F.col("y").alias("node"))).distinct()
-    bloom = _node_filter(want)
+    if not near.limit(1).count():
+        return near
+    bloom = _node_filter(near.select(F.col("x").alias("node")).union(near.select(F.col("y").alias("node"))))
     with arrow_rows(spark, PAIR_ROWS):
         # written: a task then never holds two Python workers, one that reads the bags and one that compares them
         mine = materialise(bags.mapInArrow(_wanted(bloom), "node binary, bag binary"), "wanted")
@@ -265,14 +268,15 @@ def _links(pairs: DataFrame, reps: DataFrame, bags: DataFrame, threshold: float)
 
 def components(links: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) of all nodes with links."""
-    edges = materialise(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(links.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), "edges")
-    labels = materialise(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    rows = 2 * links.count()
+    edges = materialise(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(links.select(F.col("y").alias("a"), F.col("x").alias("b"))), "edges", rows)
+    labels = materialise(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", rows)
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         low = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
         # pointer jumping: the label's own label
         up = labels.select(F.col("node").alias("l"), F.col("label").alias("further"))
-        new = materialise(low.join(up, F.col("label") == F.col("l"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = materialise(low.join(up, F.col("label") == F.col("l"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels", rows)
         moved = new.where(F.col("old") != F.col("label")).limit(1).count()
         labels = new.select("node", "label")
         if not moved:
@@ -287,17 +291,17 @@ def _shared(buckets: DataFrame) -> DataFrame:
     return materialise(rows.join(score, "node").select("bucket", "node", "score"), "members")
 
 
-def _tops(shared: DataFrame) -> DataFrame:
-    """bucket, hub and hub_score: the most central member of each bucket, a written table."""
+def _tops(shared: DataFrame, rows: int) -> DataFrame:
+    """bucket, hub and hub_score: the most central member of each bucket, a written table; ``shared`` has ``rows`` rows."""
     top = shared.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
-    return materialise(top.select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score")), "tops")
+    return materialise(top.select("bucket", F.col("top.node").alias("hub"), F.col("top.score").alias("hub_score")), "tops", rows)
 
 
-def _retire(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The members without the hubs (bucket, hub), of buckets that keep two or more."""
+def _retire(members: DataFrame, hubs: DataFrame, rows: int) -> DataFrame:
+    """The members (of ``rows`` rows) without the hubs (bucket, hub), of buckets that keep two or more."""
     left = members.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
     several = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return materialise(left.join(several, "bucket").select(*members.columns), "members")
+    return materialise(left.join(several, "bucket").select(*members.columns), "members", rows)
 
 
 def _items(bloom):
@@ -320,7 +324,7 @@ def _reach(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The members (bucket, node, score) with ``size``, the shingles of a text, and ``parts``: how many of them, in GROUPS
     groups by hash, another member has too. Two members overlap at most in the smaller numbers of each group. A text
     with too few shingles in common with all others is left out."""
-    bloom = _node_filter(members.select("node").distinct())
+    bloom = _node_filter(members.select("node"))
     with arrow_rows(members.sparkSession, PAIR_ROWS):
         items = materialise(bags.mapInArrow(_items(bloom), "node binary, item long, n long"), "items")
     group = F.pmod("item", F.lit(GROUPS)).cast("int").alias("g")
@@ -337,13 +341,14 @@ def _reach(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 def _apart(members: DataFrame, labels: DataFrame, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of the members outside the largest component of their bucket the ``hubs`` most central ones of each
     bucket (bucket, hub), and their pairs (x, y) with the bucket's members of other components that can reach the threshold."""
-    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "size", "parts", "label"), "placed")
+    rows = members.count()
+    placed = materialise(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "score", "size", "parts", "label"), "placed", rows)
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
     rest = placed.join(main, "bucket").where("label != main")
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "node"))
     mine = materialise(rest.withColumn("rank", rank).where(F.col("rank") <= hubs).select(
-        "bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("parts").alias("hub_parts")), "hubs")
+        "bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("parts").alias("hub_parts")), "hubs", rows)
     # a large bucket meets its hubs in parts
     spread = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     other = placed.select("bucket", "node", "label", "size", "parts", F.pmod(F.hash("node"), F.lit(SALT)).alias("salt"))
@@ -357,10 +362,11 @@ def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILAR
     """node and label of all classes that have a near duplicate; ``sketch`` is a written table of ``sketches(docs)``."""
     reps = materialise(sketch.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig")), "reps")
     members = _shared(reps.select("node", "sig").mapInArrow(_bands, "node binary, bucket long"))
-    bags = bags_of(members.select("node").distinct(), docs.select(text_or_empty().alias("text")))
-    tops = _tops(members)
-    hubs = materialise(members.select("bucket", "node").join(tops, "bucket").where("node != hub").groupBy("node", "hub").agg(F.max("hub_score").alias("hub_score")), "hubs")
-    best = materialise(hubs.groupBy("node").agg(F.max(F.struct("hub_score", "hub")).alias("b")).select(F.col("node").alias("h"), F.col("b.hub").alias("next")), "best")
+    rows = members.count()
+    bags = bags_of(members.select("node"), docs.select(text_or_empty().alias("text")))
+    tops = _tops(members, rows)
+    hubs = materialise(members.select("bucket", "node").join(tops, "bucket").where("node != hub").groupBy("node", "hub").agg(F.max("hub_score").alias("hub_score")), "hubs", rows)
+    best = materialise(hubs.groupBy("node").agg(F.max(F.struct("hub_score", "hub")).alias("b")).select(F.col("node").alias("h"), F.col("b.hub").alias("next")), "best", rows)
     pairs = hubs.select(F.col("node").alias("x"), F.col("hub").alias("y"))
     for _ in range(2):  # hubs of hubs: members of a family meet its centre
         further = pairs.join(best, F.col("y") == F.col("h")).where("x != next").select("x", F.col("next").alias("y"))
@@ -368,7 +374,7 @@ def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILAR
     tried = materialise(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     links = _links(tried, reps, bags, threshold)
     labels = components(links)
-    members, more = _reach(_retire(members, tops), bags, threshold), 1
+    members, more = _reach(_retire(members, tops, rows), bags, threshold), FIRST_HUBS
     while True:
         mine, pairs = _apart(members, labels, more, threshold)
         if not mine.limit(1).count():
@@ -379,7 +385,7 @@ def find_clusters(sketch: DataFrame, docs: DataFrame, threshold: float = SIMILAR
             links = materialise(links.union(found), "links")
             labels = components(links)
         tried = materialise(tried.select("x", "y").union(new.select("x", "y")), "tried")
-        members, more = _retire(members, mine), more * MORE_HUBS
+        members, more = _retire(members, mine, rows), more * MORE_HUBS
 
 
 def clusters(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

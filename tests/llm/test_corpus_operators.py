@@ -267,6 +267,36 @@ def test_links_between_members_no_hub_explains(spark, docs_of):
     assert got == want
 
 
+def test_few_rounds_and_few_files_of_small_tables(spark, docs_of, monkeypatch):
+    """Texts that share four fifths of their words meet in every bucket and are not similar: one round settles them."""
+    core = [f"c{i}" for i in range(100)]
+    rows = [(k, " ".join(core + [f"o{k}x{i}" for i in range(20)])) for k in range(24)]
+    rows += [(k, " ".join(core[::-1] + [f"v{i}" for i in range(50)] + [f"t{k}"])) for k in range(50, 56)]
+    rounds, files = [], {}
+    apart, write = near_dup._apart, near_dup.materialise
+
+    def counted(*args):
+        rounds.append(1)
+        return apart(*args)
+
+    def written(df, name, *args):
+        out = write(df, name, *args)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(near_dup, "_apart", counted)
+    monkeypatch.setattr(near_dup, "materialise", written)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = {r.doc_id: r.cluster_id for r in near_dup.clusters(docs_of(rows)).collect()}
+    finally:
+        spark.conf.set(coalesce, before)
+    assert got == _clusters(rows)
+    assert len(rounds) <= 2 and files["edges"] == files["labels"] == files["placed"] == 1
+
+
 def test_keep_one_of_each_group(spark, docs_of):
     text = " ".join(f"t{i}" for i in range(60))
     rows = [(5, text), (3, text), (3, text), (9, text + " more"), (10, "other " * 3 + "words here"), (11, None), (12, ""), (None, "other " * 3 + "words here")]
