@@ -18,8 +18,10 @@
    the reversed index. A phrase is counted in the shard if both ways reach it,
    from its suffix and from its prefix. Pairs are counted first, and summed
    across shards; a filter of bounded size that holds the frequent ones tells
-   each shard which of its pairs go on to DEPTH words. These counts are summed
-   too; whatever the filter lets through, a word gives at most a row a level.
+   each shard which of its pairs go on to DEPTH words. A shard then sends a
+   phrase only with the occurrences that no longer phrase to the left covers:
+   at most one row a word, whatever the filter lets through. A phrase's count
+   is the sum over all rows that end with it.
 5. A phrase is dropped if a left or right extension is as frequent: a longer
    phrase that holds it and is as frequent implies such an extension. Each cut
    of a phrase into two parts looks their counts up by their words; the
@@ -217,6 +219,14 @@ def indexes(seq: pa.Table, words: pa.Table, depth: int) -> tuple[np.ndarray, Ind
     return np.concatenate([[0], number[by]]), Index(transform(s, depth - 1)), Index(transform(s[::-1], depth - 1))
 
 
+def _from_behind(number: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """The phrases' columns a, b, c, d from their last word on: the numbers of the last and the one before it, two to a
+    64-bit integer, and of the third, the fourth and the fifth from behind (0 for none)."""
+    w = np.zeros((len(words), DEPTH), np.int64)
+    w[:, :words.shape[1]] = number[words[:, ::-1]]
+    return [w[:, 0] << 32 | w[:, 1], w[:, 2], w[:, 3], w[:, 4]]
+
+
 def _columns(number: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
     """The phrases' columns a, b, c: the numbers of words 1 and 2, 3 and 4, and 5, two to a 64-bit integer (0 for none)."""
     w = np.zeros((len(words), DEPTH), np.int64)
@@ -249,15 +259,21 @@ def _in_rows(table: pa.Table) -> pa.Table:
 
 
 def _longer(frequent, depth: int):
-    """A shard's phrases of 3 to ``depth`` words and their counts, from its pairs that the filter holds."""
+    """A shard's phrases of 3 to ``depth`` words, from its pairs that the filter holds, each with the number of its
+    occurrences that no longer one to the left covers."""
     def run(seq: pa.Table, words: pa.Table) -> pa.Table:
-        built, out = indexes(seq, words, depth), [pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "c", "n")})]
+        built, out = indexes(seq, words, depth), [pa.table({k: pa.array([], pa.int64()) for k in ("a", "b", "c", "d", "n")})]
+
+        def send(number, phrase, n):
+            some = n > 0
+            out.append(pa.Table.from_arrays([pa.array(v) for v in _from_behind(number, phrase[some])] + [pa.array(n[some])], names=["a", "b", "c", "d", "n"]))
+
         if built is not None:
             number, forth, back = built
             phrase, n, low, other = _two(forth, len(number))
             known = in_bloom(frequent.value, _columns(number, phrase)[0])
             phrase, n, low, other = (v[known] for v in (phrase, n, low, other))
-            for _ in range(2, depth):
+            for k in range(2, depth):
                 order = np.argsort(low)
                 phrase, n, low, other = (v[order] for v in (phrase, n, low, other))
                 p, s, count, start, smaller = forth.extended(low, n)
@@ -265,9 +281,12 @@ def _longer(frequent, depth: int):
                 q, _, _, _, less = back.extended(other, n)
                 # an interval belongs to one phrase of a length: both ways must reach it
                 both = np.isin(start, low[q] + less)
-                p, start = p[both], start[both]
-                phrase, n, low, other = np.column_stack([s[both], phrase[p]]), count[both], start, other[p] + smaller[both]
-                out.append(pa.Table.from_arrays([pa.array(v) for v in _columns(number, phrase)] + [pa.array(n)], names=["a", "b", "c", "n"]))
+                p, start, count = p[both], start[both], count[both]
+                if k > 2:
+                    send(number, phrase, n - np.bincount(p, count, len(n)).astype(np.int64))
+                phrase, n, low, other = np.column_stack([s[both], phrase[p]]), count, start, other[p] + smaller[both]
+            if depth > 2:
+                send(number, phrase, n)
         return _in_rows(pa.concat_tables(out).combine_chunks())
     return run
 
@@ -287,6 +306,27 @@ def _frequent_words(own: DataFrame, least: int) -> DataFrame:
     return materialise(often.select("shard", "local", "lang", "word", "f", number.alias("id")), "words")
 
 
+def _ends(found: DataFrame, least: int) -> DataFrame:
+    """a, b, c (as in ``_columns``) and f of the phrases of three words or more whose count reaches ``least``, from rows
+    (a, b, c, d from behind, n): a phrase occurs with each row that ends with it. The rows of the same last three words
+    meet in a task, and only those frequent there go on."""
+    three, four, five = (Window.partitionBy(*"abcd"[:k]) for k in (2, 3, 4))
+    dealt = found.repartition("a", "b").sortWithinPartitions("a", "b", "c", "d")
+    rows = dealt.withColumn("f3", F.sum("n").over(three)).where(F.col("f3") >= least)
+    rows = rows.withColumn("f4", F.sum("n").over(four)).withColumn("f5", F.sum("n").over(five))
+    zero = F.lit(0).cast("long")
+    known = lambda c, f: F.when(F.col(f) >= least, F.col(c)).otherwise(zero).alias(c)
+    # a row a frequent phrase, about: those that are not frequent are cut to what is
+    ends = materialise(rows.groupBy("a", "b", known("c", "f4"), known("d", "f5")).agg(
+        F.max("f3").alias("f3"), F.max("f4").alias("f4"), F.max("f5").alias("f5")), "ends")
+    last, before = F.shiftright("a", 32), F.col("a").bitwiseAND(F.lit((1 << 32) - 1))
+    two = lambda x, y: F.shiftleft(x, 32).bitwiseOR(y)
+    b, c, d = F.col("b"), F.col("c"), F.col("d")
+    out = ends.select(two(b, before).alias("a"), two(last, zero).alias("b"), zero.alias("c"), F.col("f3").alias("f")).distinct()
+    out = out.union(ends.where("c > 0").select(two(c, b), two(before, last), zero, "f4").distinct())
+    return out.union(ends.where("d > 0").select(two(d, c), two(b, before), last, "f5").distinct())
+
+
 def counted_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The words of each language (lang, total), the frequent words (lang, word, f, id) and the frequent phrases of 2 to
     ``depth`` words (depth, w1, ..., f; 0 behind the last word)."""
@@ -303,8 +343,8 @@ def counted_phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, sha
     pairs = materialise(found.where(F.col("f") >= least), "pairs")
     # of bounded size; what it lets through by chance is counted and found below the least count
     frequent = spark.sparkContext.broadcast(bloom_filter(pairs.select(F.col("a").alias("key")), pairs.count()))
-    found = pair().applyInArrow(_longer(frequent, depth), "a long, b long, c long, n long")
-    more = materialise(found.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "longer")
+    found = pair().applyInArrow(_longer(frequent, depth), "a long, b long, c long, d long, n long")
+    more = materialise(_ends(found, least), "longer")
     none = F.lit(0).cast("long")
     two = pairs.select("a", none.alias("b"), none.alias("c"), "f")
     high, low = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")

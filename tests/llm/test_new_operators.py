@@ -192,6 +192,28 @@ def test_phrases_equal_brute_force(spark, shard_words):
     assert {tuple(r) for r in got.collect()} == _brute_phrases(rows, 5)
 
 
+def test_a_shard_sends_at_most_a_row_a_word():
+    """Phrases of 3 to 5 words: every occurrence is in one row, and a phrase's count is the sum over the rows that end with it."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(1, 9, 400)
+    seq = pa.table({"part": pa.array([0], pa.int32()), "ids": [phrases._pack(np.concatenate([[0], text]).astype(np.uint32))]})
+    words = pa.table({"local": pa.array(range(1, 9), pa.int32()), "id": pa.array(range(11, 19), pa.int32())})
+
+    class Everything:
+        value = np.full(64, ~np.uint64(0))
+
+    got = phrases._longer(Everything, 5)(seq, words)
+    assert got.num_rows <= len(text) and sum(got["n"].to_pylist()) == len(text) - 2
+    rows = [((r["a"] >> 32, r["a"] & 0xFFFFFFFF, r["b"], r["c"], r["d"]), r["n"]) for r in got.to_pylist()]
+    for k in (3, 4, 5):
+        want = collections.Counter(tuple(int(x) + 10 for x in text[i:i + k][::-1]) for i in range(len(text) - k + 1))
+        have = collections.Counter()
+        for w, n in rows:
+            if w[k - 1]:
+                have[w[:k]] += n
+        assert have == want
+
+
 def test_phrases_of_no_rows_and_first_ranks(spark, docs_of):
     assert phrases.collocations(docs_of(ODD).limit(0)).count() == 0
     rows = [(i, "red green blue red green. green blue") for i in range(10)]
