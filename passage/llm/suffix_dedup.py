@@ -43,17 +43,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from passage.llm._common import BASES, arrow_rows, byte_codes, materialise, mix64, powers, slices, text_or_empty, utf8
+from passage.llm._common import BASES, arrow_rows, byte_codes, give_back, materialise, mix64, powers, slices, text_or_empty, utf8
 
 LENGTH = 100
 GRAM = 48
-SLICE = 1 << 20
+#: Text hashed at once, which takes some 100 bytes of memory a byte; a longer document is handled alone.
+SLICE = 1 << 18
 #: Sampled records for each partition.
 SAMPLE = 100
 #: Bits of the Bloom filter for each record to find again, and its largest size in bits (64 MB).
 BLOOM_BITS, BLOOM_MAX, BLOOM_HASHES = 16, 1 << 29, 4
-#: Rows of an Arrow batch of records, which are 24 bytes each.
-RECORD_ROWS = 65_536
+#: Rows of an Arrow batch of records, which are 24 bytes each, and of what comes of them.
+RECORD_ROWS = 32_768
 
 _RECORD = "pid int, a long, b long, c long"
 _LEN_BITS = 7   # windows in a record: at most LENGTH - GRAM + 1
@@ -75,11 +76,16 @@ class _Tables:
 
     def at_least(self, n: int):
         if n > self.n:
-            self.n = n
+            self.n = n = max(n, SLICE)
             self.power = [powers(b, n + 1) for b in BASES]
             self.inverse = [powers(_inverse(b), n + 1) for b in BASES]
         return self
 
+    def forget(self, more_than: int):
+        """Drop tables that a long document made: the worker serves other tasks."""
+        if self.n > more_than:
+            self.n, self.power, self.inverse = 0, [], []
+
 
 _TABLES = _Tables()
 _CODES = [byte_codes(11), byte_codes(12)]
@@ -179,18 +185,54 @@ def _extract(length: int, gram: int, split: np.ndarray, bloom=None, keep_under:
             if keep_under is not None:
                 k = mix64((b ^ c).astype(np.uint64)) >> np.uint64(44) < np.uint64(keep_under)
                 a, b, c = a[k], b[k], c[k]
-            yield pa.RecordBatch.from_arrays([pa.array(_pids(a, b, c, split)), pa.array(a), pa.array(b), pa.array(c)], names=["pid", "a", "b", "c"])
+            yield from _cut(pa.RecordBatch.from_arrays([pa.array(_pids(a, b, c, split)), pa.array(a), pa.array(b), pa.array(c)], names=["pid", "a", "b", "c"]))
+            del raw, off, num, row, first, last, g, h, a, low, b, c
+            _TABLES.forget(2 * SLICE)
+        words = None
+        give_back()
     return run
 
 
+def _cut(batch: pa.RecordBatch):
+    """The batch in parts of RECORD_ROWS rows."""
+    for at in range(0, batch.num_rows, RECORD_ROWS):
+        yield batch.slice(at, RECORD_ROWS)
+
+
+def _whole_grams(batches):
+    """Sorted records (a, b, c) in runs of about a batch that end where a gram does; a gram of many batches is one run."""
+    held = []
+    for x in batches:
+        if not x.num_rows:
+            continue
+        cols = [np.asarray(x.column(k)) for k in ("a", "b", "c")]
+        gram = cols[0] >> 16
+        cut = int(np.searchsorted(gram, gram[-1]))  # where the batch's last gram begins
+        if cut or (held and held[-1][0][-1] >> 16 != gram[0]):
+            held.append([v[:cut] for v in cols])
+            yield [np.concatenate(v) for v in zip(*held)]
+            held = []
+        held.append([v[cut:].copy() for v in cols])
+    if held:
+        yield [np.concatenate(v) for v in zip(*held)]
+
+
 def _scan(find_groups: bool):
     """A sorted partition: kind 0 repeats, 1 earliest records of grams with several contexts, 2 the partition's ends."""
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        a, b, c = (np.concatenate([np.asarray(x.column(k)) for x in got]) for k in ("a", "b", "c"))
-        n, pid = len(a), TaskContext.get().partitionId()
+        first, tail = None, None
+        for a, b, c in _whole_grams(batches):
+            out, ends = scan(a, b, c, TaskContext.get().partitionId())
+            first, tail = first if first is not None else ends.slice(0, 1), ends.slice(1)
+            yield from _cut(out)
+            del a, b, c, out
+        if first is not None:
+            yield first
+            yield tail
+        give_back()
+
+    def scan(a, b, c, pid):
+        n = len(a)
         doc, size, lo, cls = c >> _LEN_BITS, c & ((1 << _LEN_BITS) - 1), b & 0xFFFFFFFF, b >> 32
         new = np.ones(n, bool)
         new[1:] = (a[1:] != a[:-1]) | (cls[1:] != cls[:-1])
@@ -217,20 +259,18 @@ def _scan(find_groups: bool):
             multi = lead[contexts[group] > 1]
             kinds.append(np.ones(len(multi), np.int8))
             picks.append(multi)
-        kinds.append(np.full(2, 2, np.int8))
-        picks.append(lead[[0, -1]])
         pick, kind = np.concatenate(picks), np.concatenate(kinds)
+        zero = pa.array(np.zeros(len(pick), np.int64))
+        out = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc[pick]), pa.array(lo[pick]), pa.array(size[pick]), *[zero] * 5], names=_SCANNED_NAMES)
         # the ends also say where they are, what they hold and how many contexts their gram has here
-        tail = kind == 2
-        ends = np.concatenate([np.zeros(len(pick) - 2, np.int64), [0, 1]])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(kind), pa.array(doc[pick]), pa.array(lo[pick]), pa.array(size[pick]), pa.array(np.where(tail, pid, 0)), pa.array(ends),
-            pa.array(np.where(tail, a[pick], 0)), pa.array(np.where(tail, cls[pick], 0)), pa.array(np.where(tail, contexts[group[run_of[pick]]], 0)),
-        ], names=["kind", "doc", "lo", "n", "pid", "end", "a", "cls", "contexts"])
+        two = lead[[0, -1]]
+        ends = [np.full(2, 2, np.int8), doc[two], lo[two], size[two], np.full(2, pid), np.arange(2), a[two], cls[two], contexts[group[run_of[two]]]]
+        return out, pa.RecordBatch.from_arrays([pa.array(v) for v in ends], names=_SCANNED_NAMES)
     return run
 
 
 _SCANNED = "kind byte, doc long, lo long, n long, pid long, end long, a long, cls long, contexts long"
+_SCANNED_NAMES = [f.split()[0] for f in _SCANNED.split(", ")]
 
 
 def _across(ends: list) -> tuple[list[tuple], list[tuple]]:
@@ -253,17 +293,18 @@ def _across(ends: list) -> tuple[list[tuple], list[tuple]]:
     return repeats, multi
 
 
-def _splitters(rows: list, n: int) -> np.ndarray:
-    s = sorted((r.a, r.b, r.c) for r in rows)
-    at = [len(s) * (i + 1) // n for i in range(n - 1)] if s else []
-    return np.array([s[i] for i in at], np.int64).reshape(-1, 3)
+def _splitters(rows: pa.Table, n: int) -> np.ndarray:
+    a, b, c = (np.asarray(rows[k], np.int64) for k in ("a", "b", "c"))
+    by = np.lexsort((c, b, a))
+    at = by[len(by) * np.arange(1, n) // n] if len(by) else by
+    return np.stack([a[at], b[at], c[at]], axis=1)
 
 
 def _repeats(texts: DataFrame, sample: DataFrame, rate: int, n: int, length: int, gram: int, bloom=None) -> tuple[DataFrame, list, list]:
     """One exchange: scanned rows (a written table), and what shows across partitions."""
     spark = texts.sparkSession
     none = np.zeros((0, 3), np.int64)
-    rows = sample.mapInArrow(_extract(length, gram, none, bloom, rate), _RECORD).select("a", "b", "c").collect()  # about SAMPLE * n rows
+    rows = sample.mapInArrow(_extract(length, gram, none, bloom, rate), _RECORD).select("a", "b", "c").toArrow()  # about SAMPLE * n rows
     split = _splitters(rows, n)
     records = texts.mapInArrow(_extract(length, gram, split, bloom), _RECORD)
     sorted_ = records.repartitionById(n, F.col("pid")).select("a", "b", "c").sortWithinPartitions("a", "b", "c")
@@ -287,7 +328,9 @@ def _bloom(found: DataFrame, more: list[tuple]):
             bits = _bits(np.asarray(b.column("doc")), np.asarray(b.column("lo")), size).ravel()
             np.bitwise_or.at(words, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
         at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].astype(np.int64))], names=["at", "word"])
+        yield from _cut(pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].astype(np.int64))], names=["at", "word"]))
+        del words, at
+        give_back()
 
     words = np.zeros(size // 64, np.uint64)
     parts = found.select("doc", "lo").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
@@ -353,6 +396,8 @@ def _pack(batches):
             b.column("num"), b.column("doc_id"), pa.array(np.diff(off)),
             pa.array([codec.compress(view[a:e], asbytes=True) for a, e in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary()),
         ], names=["num", "doc_id", "n_bytes", "packed"])
+        del raw, off, view
+    give_back()
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -382,6 +427,7 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array([o[0] for o in out], pa.int64()),
                                           pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())],
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    give_back()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +349,38 @@ def test_repeated_strings_odd_rows(spark, docs_of):
     assert suffix_dedup.remove_repeats(docs_of(ODD).where("false")).count() == 0
 
 
+def test_repeated_strings_hold_no_partition(monkeypatch):
+    """A sorted partition of 800,000 records passes in runs of whole grams: a worker holds some batches of it."""
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(suffix_dedup, "TaskContext", type("T", (), {"get": staticmethod(Task)}))
+    rng = np.random.default_rng(8)
+    n = 800_000
+    a = np.sort(rng.integers(-(1 << 62), 1 << 62, n // 2).repeat(2))
+    a[5000:5400] = a[5000]  # a gram of several batches below
+    b, c = rng.integers(0, 3, n) << 32 | np.arange(n), (np.arange(n) % 999) << 7 | 5
+
+    def batches(rows):
+        for at in range(0, n, rows):
+            yield pa.RecordBatch.from_arrays([pa.array(v[at:at + rows]) for v in (a, b, c)], names=["a", "b", "c"])
+
+    def scanned(rows, keep):
+        tracemalloc.start()
+        out = [x if keep else x.num_rows for x in suffix_dedup._scan(True)(batches(rows))]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sorted(map(tuple, (r.values() for x in out for r in x.to_pylist()))) if keep else most
+
+    assert scanned(32_768, False) < 24 * n
+    a, b, c = a[:20_000], b[:20_000], c[:20_000]
+    n = len(a)
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    whole = scanned(n, True)
+    assert scanned(128, True) == whole and [r[4:6] for r in whole if r[0] == 2] == [(3, 0), (3, 1)]
+
+
 # ------------------------------------------------------------------- top-k
 
 def test_top_k_equals_brute_force(spark):
