@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passage.llm._common import BASES, LOWER, byte_codes, mix64, powers, row_sums, text_or_empty, utf8, word_bounds
+from passage.llm._common import BASES, LOWER, byte_codes, give_back, mix64, powers, row_sums, slices, text_or_empty, utf8, word_bounds
 
 BITS = 18
 GRAMS = (4, 5, 6)
@@ -32,6 +32,10 @@ RATE = 0.3
 L2 = 1e-5
 #: Longer words give n-grams of consecutive pieces of this many bytes.
 PIECE = 64
+#: Words whose features are made at once: these take some 200 bytes of memory for each byte of a word.
+WORDS = 4096
+#: Text that the fit turns into sparse rows at once.
+SLICE = 1 << 18
 
 
 @dataclass
@@ -65,8 +69,15 @@ def units(col: pa.Array, lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarr
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature places of the words and the bounds of each word's features."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    places, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for at in range(0, len(words), WORDS):
+        place, bounds = _features(words[at:at + WORDS])
+        places.append(place)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(places), np.cumsum(np.concatenate(sizes))
+
+
+def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     framed, owner = [], []
     for i, w in enumerate(words):
         for at in range(0, max(len(w), 1), PIECE):
@@ -93,13 +104,16 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(np.repeat(who, size)[ok])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    place = (np.concatenate(places)[order] >> np.uint64(64 - BITS)).astype(np.int64)
+    place = (np.concatenate(places)[order] >> np.uint64(64 - BITS)).astype(np.int32)
     return place, np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
 def unit_scores(words: list[bytes], weights: np.ndarray) -> np.ndarray:
-    place, bounds = features(words)
-    return row_sums(weights[place].astype(np.float64), bounds)
+    out = [np.zeros(0)]
+    for at in range(0, len(words), WORDS):
+        place, bounds = _features(words[at:at + WORDS])
+        out.append(row_sums(weights[place].astype(np.float64), bounds))
+    return np.concatenate(out)
 
 
 #: Turns the units of a batch into other units: (words, index, bounds) to the same.
@@ -116,25 +130,33 @@ def raw_scores(col: pa.Array, model: Model, lower: bool, rewrite: Rewrite | None
     return total / np.sqrt(np.maximum(np.diff(bounds), 1))
 
 
+#: A sparse row: places, how often each feature occurs (as bytes where they suffice), and the root of the number of units.
+Row = tuple[np.ndarray, np.ndarray, float]
+
+
+def _values(row: Row) -> np.ndarray:
+    return (row[1].astype(np.float64) / row[2]).astype(np.float32)
+
+
 def _rows(col: pa.Array, lower: bool, rewrite: Rewrite | None):
-    """Sparse rows (places, values) of each text."""
+    """Sparse rows of each text."""
     words, index, bounds = units(col, lower)
     if rewrite:
         words, index, bounds = rewrite(words, index, bounds)
     place, fb = features(words)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if a == b:
-            yield np.zeros(0, np.int64), np.zeros(0, np.float32)
+            yield np.zeros(0, np.int32), np.zeros(0, np.uint8), 1.0
             continue
         w, n = np.unique(index[a:b], return_counts=True)
         cnt = fb[w + 1] - fb[w]
         src = np.repeat(fb[w] - (np.cumsum(cnt) - cnt), cnt) + np.arange(cnt.sum())
-        val = np.repeat(n, cnt).astype(np.float32)
         p, back = np.unique(place[src], return_inverse=True)
-        yield p, (np.bincount(back, val) / np.sqrt(b - a)).astype(np.float32)
+        times = np.bincount(back, np.repeat(n, cnt))
+        yield p, times.astype(np.min_scalar_type(int(times.max(initial=0)))), float(np.sqrt(b - a))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
+def fit_rows(rows: list[Row], y: np.ndarray) -> Model:
     """AdaGrad on the logistic loss; a fold left out fits the calibration."""
     n = len(rows)
     w, g2 = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-2, np.float32)
@@ -150,7 +172,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
             pick = rng.choice(train, BATCH) if len(train) > BATCH else train
             size = np.array([len(rows[i][0]) for i in pick])
             p = np.concatenate([rows[i][0] for i in pick])
-            v = np.concatenate([rows[i][1] for i in pick])
+            v = np.concatenate([_values(rows[i]) for i in pick])
             who = np.repeat(np.arange(len(pick)), size)
             z = np.bincount(who, w[p] * v, len(pick)) + bias
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
@@ -161,7 +183,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     fold = np.flatnonzero(left_out)
     if len(fold) < 20 or len(np.unique(y[fold])) < 2:
         return Model(w, bias, 1.0, 0.0)
-    z = np.array([float((w[rows[i][0]] * rows[i][1]).sum()) + bias for i in fold])
+    z = np.array([float((w[rows[i][0]] * _values(rows[i])).sum()) + bias for i in fold])
     pos, neg = y[fold].sum(), len(fold) - y[fold].sum()
     goal = np.where(y[fold] == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))  # Platt's targets
     a, b = 1.0, 0.0
@@ -198,11 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, lower: bool, rewrite: Callable[[], R
     def run(batches):
         change = rewrite() if rewrite else None
         got = []
-        for b in batches:
+        for b in slices(batches, limit=SLICE):
             ids = b.column("_id").to_pylist()
             got += [(i, y, r) for i, y, r in zip(ids, b.column("y").to_pylist(), _rows(b.column("text"), lower, change))]
+            give_back()  # else what a slice took stays between the rows kept of it
         got.sort(key=lambda g: (mix64(np.array([g[0]], np.int64).view(np.uint64))[0], g[0], g[1]))  # whatever order rows arrive in
         m = fit_rows([g[2] for g in got], np.array([g[1] for g in got], float))
+        del got
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.shift])],
                                          names=["weights", "bias", "slope", "shift"])
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -291,3 +292,25 @@ def test_fit_takes_one_text_of_a_repeated_id(spark, docs_of):
 def test_fit_without_labels_is_neutral(spark, docs_of):
     model = textlr.fit(docs_of(ODD), spark.createDataFrame([], "doc_id long, y int"), lower=True)
     assert (model.probability(np.zeros(2)) == model.probability(np.zeros(2))).all() and not model.weights.any()
+
+
+def test_classifier_holds_little_memory():
+    """Features of many words are made part by part, and a sparse row takes some five bytes a feature."""
+    words = [b"%08d" % i for i in range(60_000)]
+    weights = np.random.default_rng(4).normal(size=1 << textlr.BITS).astype(np.float32)
+    tracemalloc.start()
+    scores = textlr.unit_scores(words, weights)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    place, bounds = textlr.features(words)
+    assert len(bounds) == len(words) + 1 and bounds[-1] == len(place)
+    for i in (0, textlr.WORDS - 1, textlr.WORDS, 59_999):  # as each word by itself
+        own = textlr.features(words[i:i + 1])[0]
+        assert own.tolist() == place[bounds[i]:bounds[i + 1]].tolist()
+        assert scores[i] == pytest.approx(weights[own].astype(float).sum(), abs=1e-9)
+    texts = ["w " * 300 + " ".join(f"v{i}" for i in range(500)), "", None, "one two two"]
+    rows = list(textlr._rows(pa.array(texts), False, None))
+    assert [len(r[0]) == len(r[1]) for r in rows] == [True] * 4 and len(rows[1][0]) == len(rows[2][0]) == 0
+    assert sum(x.nbytes for x in rows[0][:2]) <= 6 * len(rows[0][0])
+    assert textlr._values(rows[0]).max() >= np.float32(300 / np.sqrt(800)) and textlr._values(rows[3]).max() >= np.float32(2 / np.sqrt(3))
